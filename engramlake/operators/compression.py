@@ -119,39 +119,41 @@ def compression_stats(versions: DataFrame, by: list[str] = ["method"]) -> DataFr
     )
 
 
-VALIDATION_RULES = ["min_ratio", "max_ratio", "not_empty", "truncation", "semantic", "decision", "entity", "new_words"]
-
-
 def _three(score: Column, ok: float, warn: float) -> Column:
     return X.label((score >= ok, "passed"), (score >= warn, "warning"), default="failed")
 
 
 def validate_versions(ver: DataFrame) -> DataFrame:
     """Rule outcomes of every version as one row per rule, computed inside the row of the version."""
-    o, c = F.col("original"), F.col("content")
-    lo, lc = F.lower(o), F.lower(c)
-    ratio = F.col("ratio")
-    truncation = 1 - F.length(c) / F.greatest(F.length(o), F.lit(1))
-    ents = X.entity_set(o)
-    phrase = F.when(F.size(ents) > 0, F.size(F.filter(ents, lambda e: lc.contains(F.lower(e)))) / F.size(ents)).otherwise(F.lit(1.0))
-    keys = F.filter(F.array(*[F.lit(w) for w in L.VALIDATION_DECISION]), lambda w: lo.contains(w))
-    dec = F.when(F.size(keys) > 0, F.size(F.filter(keys, lambda w: lc.contains(w))) / F.size(keys)).otherwise(F.lit(1.0))
-    names = F.filter(ents, lambda e: ~e.isin(L.ENTITY_STOP_WORDS))
-    ent = F.when(F.size(names) > 0, X.overlap(names, X.entity_set(c)) / F.size(names)).otherwise(F.lit(1.0))
-    new = F.size(F.filter(F.array_except(X.space_words(c), X.space_words(o)), lambda w: (F.length(w) > 2) & ~w.isin(L.VALIDATION_FILLER)))
+    v = ver.select("memory_id", "resolution", "memory_type", "ratio", "original", "content", F.lower("original").alias("lo"), F.lower("content").alias("lc"),
+                   X.entity_set(F.col("original")).alias("ents"), X.entity_set(F.col("content")).alias("cents"))
+    names = F.filter("ents", lambda e: ~e.isin(L.ENTITY_STOP_WORDS))
+    keys = F.filter(F.array(*[F.lit(w) for w in L.VALIDATION_DECISION]), lambda w: F.col("lo").contains(w))
+    part = lambda hits, of: F.when(F.size(of) > 0, hits / F.size(of)).otherwise(F.lit(1.0))
+    v = v.select(
+        "memory_id", "resolution", "memory_type", "ratio",
+        (1 - F.length("content") / F.greatest(F.length("original"), F.lit(1))).alias("truncation"),
+        (X.strip(F.col("content")) != "").alias("filled"),
+        ((F.col("original") == "") | (F.col("content") == "")).alias("blank"),
+        part(F.size(F.filter("ents", lambda e: F.col("lc").contains(F.lower(e)))), F.col("ents")).alias("phrase"),
+        part(F.size(F.filter(keys, lambda w: F.col("lc").contains(w))), keys).alias("dec"),
+        part(X.overlap(names, F.col("cents")), names).alias("ent"),
+        F.size(F.filter(F.array_except(F.split("lc", r"\s+"), F.split("lo", r"\s+")), lambda w: (F.length(w) > 2) & ~w.isin(L.VALIDATION_FILLER))).alias("new"),
+    )
+    ratio, new, filled, blank = F.col("ratio"), F.col("new"), F.col("filled"), F.col("blank")
     rules = [
         ("min_ratio", X.label((ratio >= 1.2, "passed"), default="warning"), F.least(F.lit(1.0), ratio / 1.2)),
         ("max_ratio", X.label((ratio <= 20, "passed"), default="failed"), F.when(ratio <= 20, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - (ratio - 20) / 100))),
-        ("not_empty", X.label((X.strip(c) != "", "passed"), default="failed"), F.when(X.strip(c) != "", 1.0).otherwise(0.0)),
-        ("truncation", X.label((truncation <= 0.8, "passed"), default="failed"), F.greatest(F.lit(0.0), 1 - truncation)),
-        ("semantic", F.when((o == "") | (c == ""), F.lit("failed")).otherwise(_three(phrase, 0.7, 0.4)), F.when((o == "") | (c == ""), 0.0).otherwise(phrase)),
-        ("decision", F.when(F.col("memory_type") == "decision", _three(dec, 0.8, 0.5)), dec),
-        ("entity", _three(ent, 0.7, 0.4), ent),
+        ("not_empty", X.label((filled, "passed"), default="failed"), F.when(filled, 1.0).otherwise(0.0)),
+        ("truncation", X.label((F.col("truncation") <= 0.8, "passed"), default="failed"), F.greatest(F.lit(0.0), 1 - F.col("truncation"))),
+        ("semantic", F.when(blank, F.lit("failed")).otherwise(_three(F.col("phrase"), 0.7, 0.4)), F.when(blank, 0.0).otherwise(F.col("phrase"))),
+        ("decision", F.when(F.col("memory_type") == "decision", _three(F.col("dec"), 0.8, 0.5)), F.col("dec")),
+        ("entity", _three(F.col("ent"), 0.7, 0.4), F.col("ent")),
         ("new_words", X.label((new == 0, "passed"), (new <= 3, "warning"), default="failed"),
          F.when(new == 0, 1.0).when(new <= 3, 0.8).otherwise(F.greatest(F.lit(0.0), 1 - new / 10))),
     ]
     outcome = F.array(*[F.struct(F.lit(n).alias("rule"), st.alias("status"), sc.cast("double").alias("score")) for n, st, sc in rules])
-    return ver.select("memory_id", "resolution", F.explode(outcome).alias("r")).select("memory_id", "resolution", "r.*").filter("status is not null")
+    return v.select("memory_id", "resolution", F.explode(outcome).alias("r")).select("memory_id", "resolution", "r.*").filter("status is not null")
 
 
 def validation_status(rules: DataFrame) -> DataFrame:

@@ -75,3 +75,18 @@ def prefix_budget(ranked: DataFrame, keys: list[str], order: list[Column], token
 def salted_distinct_count(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """Exact distinct count per key: first unique (key, value), then count; no key in one task."""
     return df.select(*keys, value).distinct().groupBy(*keys).agg(F.count(value).alias(name))
+
+
+def interval_join(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, end: str) -> DataFrame:
+    """Points inside half-open intervals [start, end) of the same keys; a null end is open.
+
+    Both sides are cut into calendar months: the equi-join is on keys and month, so neither a long
+    history nor many points of one key meet in one task as a plain range join would make them.
+    """
+    month = lambda c: F.year(c) * 12 + F.month(c)
+    last = points.agg(F.max(month(F.col(at)))).scalar()
+    p = points.withColumn("_m", month(F.col(at)))
+    stop = F.least(F.coalesce(month(F.col(end)), last), last)
+    begin = month(F.col(start))
+    i = intervals.filter(begin <= stop).withColumn("_m", F.explode(F.sequence(begin, stop)))
+    return p.join(i, [*keys, "_m"]).filter((F.col(start) <= F.col(at)) & (F.col(end).isNull() | (F.col(at) < F.col(end)))).drop("_m")
