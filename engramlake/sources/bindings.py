@@ -116,8 +116,8 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("decision_id"),
         F.col("o_custkey").alias("topic_id"),
-        F.concat(F.lit("decided "), F.lower("o_orderpriority"), F.lit(" total "),
-                 F.floor(F.col("o_totalprice") / 1000).cast("long"), F.lit(" status "), F.col("o_orderstatus")).alias("text"),
+        F.concat(F.lower("o_orderpriority"), F.lit(" status-"), F.lower("o_orderstatus"), F.lit(" total-"),
+                 F.floor(F.col("o_totalprice") / 100000).cast("long"), F.lit(" year-"), F.year("o_orderdate")).alias("text"),
         F.col("o_orderdate").cast("timestamp").alias("decided_at"),
         F.year("o_orderdate").alias("year"),
     )
@@ -170,3 +170,18 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").alias("created_at"),
         F.concat(F.lit("user_"), F.col("user_id")).alias("speaker"),
     )
+
+
+def memory_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decision memories as decisions worded by their first sentence."""
+    from engramlake.functions.text import sentence_list
+
+    m = memories(spark, sf_dir).filter("memory_type = 'decision'")
+    return m.select(F.col("memory_id").alias("decision_id"), "memory_id", "topic", "conv_id", "message_id", F.coalesce(F.get(sentence_list(F.col("content")), F.lit(0)), F.lit("")).alias("text"),
+                    F.col("created_at").alias("decided_at"), "valid_until", "confidence", "is_current")
+
+
+def compression_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One event per memory above the raw resolution, at its last update."""
+    m = memories(spark, sf_dir).filter("resolution > 0")
+    return m.select("memory_id", F.lit(0).alias("from_resolution"), F.col("resolution").alias("to_resolution"), (F.lit(1.0) + F.col("resolution") * 0.5).alias("ratio"), F.col("updated_at").alias("created_at"))

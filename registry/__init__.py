@@ -46,7 +46,7 @@ def _ctes():
                   '{{n}}', CAST(event_id % 30 + 1 AS VARCHAR)), '{{d}}', strftime(ts, '%-d %B %Y')) AS text,
                   ts AS created_at, 'user_' || user_id AS speaker FROM events""",
         "decs": """SELECT o_orderkey AS decision_id, o_custkey AS topic_id,
-                  'decided ' || lower(o_orderpriority) || ' total ' || CAST(floor(o_totalprice / 1000) AS BIGINT) || ' status ' || o_orderstatus AS text,
+                  lower(o_orderpriority) || ' status-' || lower(o_orderstatus) || ' total-' || CAST(floor(o_totalprice / 100000) AS BIGINT) || ' year-' || year(o_orderdate) AS text,
                   o_orderdate AS decided_at, o_orderdate AS valid_from,
                   lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS valid_until FROM orders""",
     }
