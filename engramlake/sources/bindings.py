@@ -105,6 +105,7 @@ def recall_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select(
         F.col("item_id").alias("query_id"),
         F.col("text"),
+        F.concat(F.lit("src"), F.expr("item_id % 20")).alias("topic"),
         F.expr("timestampadd(DAY, cast(item_id % 400 as int), timestamp'2023-12-01')").alias("asked_at"),
     )
 

@@ -38,7 +38,7 @@ def _ctes():
                   'v' || CAST(floor(value / 70) AS BIGINT) AS old_value, ts, 'src' || event_id % 3 AS source, {rels}[1 + event_id % 8] AS relation,
                   CASE WHEN event_id % 5 = 0 THEN 'superseded' WHEN event_id % 17 = 0 THEN 'deprecated' ELSE 'active' END AS status,
                   'user_' || user_id || ' ' || event_type || ' is v' || CAST(floor(value / 50) AS BIGINT) AS raw FROM events""",
-        "qry": """SELECT item_id AS query_id, text, TIMESTAMP '2023-12-01' + to_days(CAST(item_id % 400 AS INTEGER)) AS asked_at FROM benchmark""",
+        "qry": """SELECT item_id AS query_id, text, 'src' || item_id % 20 AS topic, TIMESTAMP '2023-12-01' + to_days(CAST(item_id % 400 AS INTEGER)) AS asked_at FROM benchmark""",
         "notes": f"""SELECT event_id AS message_id, user_id * 100 + day(ts) AS conv_id, event_id AS turn,
                   CASE WHEN event_id % 2 = 0 THEN 'user' ELSE 'assistant' END AS role,
                   replace(replace(replace(replace(replace(replace({notes}[1 + event_id % 17], '{{u}}', 'U' || user_id), '{{p}}', event_type),

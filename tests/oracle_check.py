@@ -7,6 +7,7 @@ import decimal
 import math
 import os
 import sys
+import threading
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -51,7 +52,12 @@ def compare(spark, con, fn, sql, sf_dir):
     t1 = time.time()
     if sql is None:
         return f"rows-only {len(rows)} {t1 - t0:.1f}s", True
-    res = con.execute(sql)
+    timer = threading.Timer(float(os.environ.get('DUCK_LIMIT', '25')), con.interrupt)
+    timer.start()
+    try:
+        res = con.execute(sql)
+    finally:
+        timer.cancel()
     names = [d[0] for d in res.description]
     dtypes = dict(zip(names, [str(d[1]) for d in res.description]))
     raw = res.fetchall()
