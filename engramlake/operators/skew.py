@@ -52,12 +52,12 @@ def running_total(df: DataFrame, keys: list[str], bucket: str, order: list[str],
     inside = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     sums = df.groupBy(*keys, bucket).agg(F.sum(value).alias("_t"))
     before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*keys, bucket, F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_b"))
+    sums = sums.select(*keys, bucket, F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"))
     return (
         df.withColumn("_i", F.sum(value).over(inside))
         .join(sums, [*keys, bucket], "left")
-        .withColumn(name, F.col("_i") + F.col("_b"))
-        .drop("_i", "_b")
+        .withColumn(name, F.col("_i") + F.col("_before"))
+        .drop("_i", "_before")
     )
 
 

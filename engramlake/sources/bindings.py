@@ -84,8 +84,12 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    return e.select(
+    return facts_of(table(spark, sf_dir, "events"))
+
+
+def facts_of(events: DataFrame) -> DataFrame:
+    """Facts of an events table or of a stream of events."""
+    return events.select(
         F.col("event_id").alias("fact_id"),
         F.concat(F.lit("user_"), F.col("user_id")).alias("entity"),
         F.col("event_type").alias("property"),
@@ -150,7 +154,12 @@ NOTE_TEMPLATES = [
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short English turns worded from the events, one per event; a conversation is a user's day."""
-    e = spread(table(spark, sf_dir, "events")).withColumn("ts", F.col("ts").cast("timestamp"))
+    return notes_of(spread(table(spark, sf_dir, "events")))
+
+
+def notes_of(events: DataFrame) -> DataFrame:
+    """Turns of an events table or of a stream of events."""
+    e = events.withColumn("ts", F.col("ts").cast("timestamp"))
     text = pick(NOTE_TEMPLATES, F.expr("event_id % 17"))
     fill = {
         "{u}": F.concat(F.lit("U"), F.col("user_id")),
