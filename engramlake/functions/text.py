@@ -54,9 +54,12 @@ def word_set(text: Column, min_len: int = 1) -> Column:
 
 
 def search_tokens(text: Column) -> Column:
-    """Latin words of two or more characters, and overlapping character pairs of CJK runs."""
+    """Latin words of two or more characters, and overlapping character pairs of CJK runs.
+
+    Texts without CJK letters, found by one search, skip the per-token step.
+    """
     runs = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-    return F.flatten(
+    pairs = F.flatten(
         F.transform(
             runs,
             lambda r: F.when(
@@ -65,6 +68,7 @@ def search_tokens(text: Column) -> Column:
             ).otherwise(F.array(r)),
         )
     )
+    return F.when(text.rlike("[぀-ヿ一-鿿]"), pairs).otherwise(runs)
 
 
 def sentence_list(text: Column) -> Column:

@@ -32,9 +32,7 @@ def mine_associations(mem: DataFrame, min_overlap: float = 0.3, cues: dict[str,
     sets = SIM.collapse(mem, "memory_id", X.word_list(F.col("content")), ["topic"])
     o = SIM.by_rarity(sets)
     p = SIM.jaccard_pairs(o, o, ["topic"], min_overlap)
-    ids = sets.select("set_id", "first_key")
-    p = p.join(ids.select(F.col("set_id").alias("a_id"), F.col("first_key").alias("a")), "a_id").join(ids.select(F.col("set_id").alias("b_id"), F.col("first_key").alias("b")), "b_id")
-    p = p.filter("a < b").select("a", "b", F.col("score").alias("overlap"))
+    p = p.filter("a_id < b_id").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.col("score").alias("overlap"))
     pad = X.padded(F.col("content"))
     marks = F.array_compact(F.array(*[F.when(X.has_phrase(F.col("_p"), ws), F.lit(t)) for t, ws in cues.items()]))
     m = mem.withColumn("_p", pad).select("memory_id", "conv_id", "resolution", "created_at", X.entity_set(F.col("content")).alias("e"), marks.alias("k"))

@@ -102,7 +102,8 @@ def superseded_by_similar(mem: DataFrame, t: float = 0.5) -> DataFrame:
     sets = SIM.collapse(mem, "memory_id", w, keys, [F.max("created_at").alias("newest")])
     o = SIM.by_rarity(sets)
     p = SIM.jaccard_pairs(o, o, keys, t).filter(F.col("score") > t)
-    near = p.join(sets.select(F.col("set_id").alias("b_id"), "newest"), "b_id").groupBy(F.col("a_id").alias("set_id")).agg(F.max("newest").alias("newest"))
+    near = p.join(sets.select(F.col("first_key").alias("b_id"), "newest"), "b_id").groupBy(F.col("a_id").alias("first_key")).agg(F.max("newest").alias("newest"))
+    near = near.join(sets.select("first_key", "set_id"), "first_key").select("set_id", "newest")
     m = mem.select("memory_id", "created_at", *keys, F.sha2(F.concat_ws(" ", *keys, F.array_join(F.array_sort(F.array_distinct(w)), " ")), 256).alias("set_id"))
     return m.join(near, "set_id").filter(F.col("newest") > F.col("created_at")).select("memory_id")
 
@@ -185,9 +186,9 @@ def repair_provenance(mem: DataFrame, msg: DataFrame, t: float = 0.8) -> DataFra
     """Most similar message (Jaccard above ``t``) of each memory without a source.  Copies count once."""
     a = SIM.collapse(mem.filter("message_id is null"), "memory_id", X.space_words(F.col("content")), [])
     b = SIM.collapse(msg, "message_id", X.space_words(F.col("text")), [])
-    both = SIM.by_rarity(a.select("set_id", "s").unionByName(b.select("set_id", "s")).dropDuplicates(["set_id"]))
+    both = SIM.by_rarity(a.select("set_id", "s").unionByName(b.select("set_id", "s")).dropDuplicates(["set_id"]), "set_id")
     o = both.select("set_id", "s", "o")
-    p = SIM.jaccard_pairs(o.join(a.select("set_id"), "set_id", "left_semi"), o.join(b.select("set_id"), "set_id", "left_semi"), [], t).filter(F.col("score") > t)
+    p = SIM.jaccard_pairs(o.join(a.select("set_id"), "set_id", "left_semi"), o.join(b.select("set_id"), "set_id", "left_semi"), [], t, id_col="set_id").filter(F.col("score") > t)
     p = p.join(b.select(F.col("set_id").alias("b_id"), F.col("first_key").alias("message_id")), "b_id")
     best = skew.latest_rows(p.select(F.col("a_id").alias("set_id"), "message_id", "score"), ["set_id"], [F.col("score"), -F.col("message_id")])
     m = mem.filter("message_id is null").select("memory_id", F.sha2(F.array_join(F.array_sort(F.array_distinct(X.space_words(F.col("content")))), " "), 256).alias("set_id"))
@@ -277,9 +278,9 @@ def near_duplicates(mem: DataFrame, t: float = 0.75, text: str = "content") -> D
     w = X.search_tokens(F.col(text))
     sets = SIM.collapse(mem, "memory_id", w, [])
     p = SIM.containment_pairs(SIM.by_rarity(sets), t)
-    both = p.select(F.explode(F.array(F.struct(F.col("a_id").alias("set_id"), F.col("b_id").alias("o")), F.struct(F.col("b_id").alias("set_id"), F.col("a_id").alias("o")))).alias("x")).select("x.*")
-    agg = both.join(sets.select(F.col("set_id").alias("o"), "first_key"), "o").groupBy("set_id").agg(F.count("*").alias("near_sets"), F.min("first_key").alias("near_key"))
-    s = sets.select("set_id", "first_key", "copies").join(agg, "set_id", "left")
+    both = p.select(F.explode(F.array(F.struct(F.col("a_id").alias("first_key"), F.col("b_id").alias("o")), F.struct(F.col("b_id").alias("first_key"), F.col("a_id").alias("o")))).alias("x")).select("x.*")
+    agg = both.groupBy("first_key").agg(F.count("*").alias("near_sets"), F.min("o").alias("near_key"))
+    s = sets.select("set_id", "first_key", "copies").join(agg, "first_key", "left")
     m = mem.select("memory_id", F.sha2(F.concat_ws(" ", F.array_join(F.array_sort(F.array_distinct(w)), " ")), 256).alias("set_id"))
     d = m.join(s, "set_id").filter("copies > 1 or near_sets is not null")
     return d.select("memory_id", "first_key", "copies", F.coalesce("near_sets", F.lit(0)).alias("near_sets"), "near_key")
@@ -290,7 +291,6 @@ def reflect(mem: DataFrame, edges: DataFrame, as_of, k: int = 25) -> DataFrame:
     s = state_vector(mem.filter("is_current and status in ('active', 'dormant')"), edges, as_of)
     pr = 0.3 * F.col("usage") + 0.25 * F.col("importance") + 0.25 * (1 - F.col("currentness")) + 0.2 * (1 - F.col("future_utility"))
     top = skew.top_k(s.withColumn("priority", F.round(pr, 9)), ["topic"], [F.col("priority").desc(), F.col("memory_id")], k)
-    sets = SIM.collapse(top, "memory_id", X.search_tokens(F.col("content")), ["topic"])
     dup = near_duplicates(top).select("memory_id", F.lit(True).alias("_d"))
     rel = edges.filter("strength >= 0.4").select(F.explode(F.array("src", "dst")).alias("memory_id")).groupBy("memory_id").agg(F.count("*").alias("_rel"))
     j = top.join(dup, "memory_id", "left").join(rel, "memory_id", "left")

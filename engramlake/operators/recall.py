@@ -197,8 +197,12 @@ def hybrid(vec: DataFrame, key: DataFrame, k: int, w_vec: float = 0.7, w_key: fl
 
 
 def text_index(mem: DataFrame, key: str = "memory_id", text: str = "content") -> DataFrame:
-    """Postings with term frequency and document length: the table all BM25 jobs read.  Write it once per corpus."""
-    d = mem.select(key, X.search_tokens(F.col(text)).alias("t"))
+    """Postings with term frequency and document length: the table all BM25 jobs read.  Write it once per corpus.
+
+    Documents are placed by their unique key before they are cut into tokens: the counts need no second
+    shuffle, and all postings of a document lie together, so later sums per document combine in one task.
+    """
+    d = mem.select(key, X.search_tokens(F.col(text)).alias("t")).repartition(key)
     return d.select(key, F.size("t").alias("dl"), F.explode("t").alias("token")).groupBy(key, "dl", "token").agg(F.count("*").alias("tf"))
 
 
@@ -214,20 +218,21 @@ def document_frequency(index: DataFrame) -> DataFrame:
 def bm25(q: DataFrame, index: DataFrame, stats: DataFrame | None = None, key: str = "memory_id") -> DataFrame:
     """BM25 of every (query, memory) pair that shares a term, and the greatest score the query could reach.
 
-    Postings are cut to query terms by a semi-join, so only those are shuffled.  The sum of a pair is
-    combined in the task that reads the document.
+    Query terms are counted first: up to a bound they are broadcast and the postings stay where they are,
+    so the sum of a pair is complete in the task that reads the document; beyond it the joins shuffle by term.
     """
     stats = stats if stats is not None else corpus_stats(index, key)
     terms = q.select("query_id", F.explode(F.array_distinct(X.search_tokens(F.col("text")))).alias("token"))
-    used = index.join(terms.select("token").distinct(), "token", "left_semi")
+    n_terms = terms.count()
+    used = index.join(skew.broadcast_within(terms.select("token").distinct(), n_terms), "token", "left_semi")
     n, avg = stats.select("n_docs").scalar(), stats.select("avg_dl").scalar()
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = terms.join(document_frequency(used), "token").select("query_id", "token", idf.alias("idf"))
     norm = BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / avg)
     part = F.col("idf") * (F.col("tf") * (BM25_K1 + 1)) / (F.col("tf") + norm)
     best = weighted.groupBy("query_id").agg((F.sum("idf") * (BM25_K1 + 1)).alias("max_possible"))
-    scored = weighted.join(used, "token").groupBy("query_id", key).agg(F.round(F.sum(part), 9).alias("score"))
-    return scored.join(best, "query_id")
+    scored = index.join(skew.broadcast_within(weighted, n_terms), "token").groupBy("query_id", key).agg(F.round(F.sum(part), 9).alias("score"))
+    return scored.join(skew.broadcast_within(best, n_terms), "query_id")
 
 
 def top_scored(scored: DataFrame, k: int) -> DataFrame:

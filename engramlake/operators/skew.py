@@ -90,3 +90,12 @@ def interval_join(points: DataFrame, intervals: DataFrame, keys: list[str], at:
     begin = month(F.col(start))
     i = intervals.filter(begin <= stop).withColumn("_m", F.explode(F.sequence(begin, stop)))
     return p.join(i, [*keys, "_m"]).filter((F.col(start) <= F.col(at)) & (F.col(end).isNull() | (F.col(at) < F.col(end)))).drop("_m")
+
+
+# Rows up to which a side is broadcast; beyond it the join is left to a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_within(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast ``df`` if a counted bound of its rows is small, else leave the join to the planner."""
+    return F.broadcast(df) if rows <= limit else df

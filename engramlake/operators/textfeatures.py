@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from engramlake.functions import lexicons as L
 from engramlake.functions import text as X
@@ -287,7 +288,7 @@ def pii_by_source(df: DataFrame, text: str, source: str) -> DataFrame:
     return m.groupBy(source).agg(*[F.sum(f"{n}_hits").alias(f"{n}_hits") for n, _, _ in PII], F.count("*").alias("texts"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Unicode compatibility form in Arrow batches; Spark has no such function."""
     return s.str.normalize("NFKC")
