@@ -233,7 +233,8 @@ def ground_answers(a: DataFrame, turns: DataFrame, names: str = r"(?:^|[^\p{L}])
     near = (F.size("at") > 0) & (X.overlap(F.col("at"), F.col("tt")) / F.size("at") >= 0.5)
     mine = (F.col("speaker") == F.col("subject")) | F.col("pad").contains(F.concat(F.lit(" "), F.col("subject"), F.lit(" ")))
     g = j.groupBy("answer_id").agg(F.bool_or(near & mine).alias("bound"), F.bool_or(near & ~mine & X.has_phrase(F.col("pad"), ["i", "my"])).alias("other"))
-    n = j.select("answer_id", "pad", F.explode("names").alias("name")).groupBy("answer_id", "name").agg(F.bool_or(F.col("pad").contains(F.concat(F.lit(" "), F.lower("name"), F.lit(" ")))).alias("seen"))
+    seen = F.col("pad").contains(F.concat(F.lit(" "), F.lower("name"), F.lit(" "))) | (F.col("speaker") == F.lower("name"))
+    n = j.select("answer_id", "pad", "speaker", F.explode("names").alias("name")).groupBy("answer_id", "name").agg(F.bool_or(seen).alias("seen"))
     n = n.groupBy("answer_id").agg(F.bool_and("seen").alias("all_seen"))
     r = a.select("answer_id").join(g, "answer_id", "left").join(n, "answer_id", "left")
     return r.select("answer_id", X.label((~F.coalesce("all_seen", F.lit(True)), "unknown_entity"), (F.col("other") & ~F.col("bound"), "misattributed"), (F.col("bound"), "grounded"), default="ungrounded").alias("verdict"))
