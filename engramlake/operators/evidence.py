@@ -75,8 +75,10 @@ def wide_slice(q: DataFrame, msg: DataFrame, per_channel: int = 40, actions=ACTI
     lexical = skew.top_k(lex, ["query_id"], [F.col("s").desc(), F.col("created_at").desc(), F.col("message_id")], per_channel, "r").select("query_id", "message_id", "r", F.lit(1).alias("channel"))
     names = q.select("query_id", F.explode(F.transform(F.regexp_extract_all(F.col("text"), F.lit(r"([A-Z][a-z]+)"), F.lit(1)), F.lower)).alias("term")).distinct()
     entity = _first(names.join(words, "term"), per_channel, 2)
-    dated = msg.filter(F.col("text").rlike(DATE_TEXT)).select("message_id").orderBy("message_id").limit(per_channel).withColumn("timed", F.lit(True))
-    temporal = _first(q.select("query_id", X.contains_any(F.lower("text"), TIME_INTENT).alias("timed")).filter("timed").join(dated, "timed"), per_channel, 3)
+    # The first dated turns do not depend on the question: one short list, handed to the questions that ask for a time.
+    dated = msg.filter(F.col("text").rlike(DATE_TEXT)).select("message_id").orderBy("message_id").limit(per_channel)
+    timed = q.filter(X.contains_any(F.lower("text"), TIME_INTENT)).select("query_id", F.explode(dated.agg(F.collect_list("message_id")).scalar()).alias("message_id"))
+    temporal = _first(timed, per_channel, 3)
     relation = _first(both.filter(F.col("term").isin(actions)), per_channel, 4)
     head = skew.top_k(msg.select("conv_id", "message_id", "turn"), ["conv_id"], [F.col("turn")], 5, "p")
     sess = head.select("conv_id", "message_id").join(words, "message_id").select("conv_id", "term").distinct().join(qw, "term").groupBy("query_id", "conv_id").agg(F.count("*").alias("n"))

@@ -82,7 +82,8 @@ def traverse(seeds: DataFrame, steps: DataFrame, depth: int = 2, max_nodes: int
             "set_id", F.col("next").alias("node"), F.round(F.col("strength") * F.col("_s"), 9).alias("strength"), F.concat("path", F.array("next")).alias("path"))
         nxt = nxt.join(seen.select("set_id", "node"), ["set_id", "node"], "left_anti")
         best = nxt.groupBy("set_id", "node").agg(F.min(F.struct((-F.col("strength")).alias("s"), "path")).alias("b"))
-        front = best.select("set_id", "node", F.lit(d).alias("depth"), (-F.col("b.s")).alias("strength"), F.col("b.path").alias("path"))
+        # Each hop is written once: the next hop and the set of visited nodes both read it.
+        front = materialise(best.select("set_id", "node", F.lit(d).alias("depth"), (-F.col("b.s")).alias("strength"), F.col("b.path").alias("path")), "hop")
         seen = seen.unionByName(front)
     top = skew.top_k(seen, ["set_id"], [F.col("depth"), F.col("strength").desc(), F.col("node")], max_nodes, "rank")
     return top.withColumn("proximity", F.round(F.col("strength") / (1 + F.col("depth")), 9))
@@ -260,12 +261,12 @@ def expand_hops(pool: DataFrame, steps: DataFrame, text: DataFrame, referents: s
 
     ``text`` is (node, raw); a query stops growing once none of its newest rows matches ``referents``.
     """
-    seen = pool.select("query_id", "node", F.lit(0).alias("hop"))
+    seen = materialise(pool.select("query_id", "node", F.lit(0).alias("hop")), "hop")
     front = seen
     for h in range(1, hops + 1):
         open_q = front.join(text, "node").filter(F.col("raw").rlike(referents)).select("query_id").distinct()
         n = front.join(open_q, "query_id", "left_semi").join(steps, "node").groupBy("query_id", F.col("next").alias("node")).agg(F.max("strength").alias("s"))
         n = n.join(seen.select("query_id", "node"), ["query_id", "node"], "left_anti")
-        front = skew.top_k(n, ["query_id"], [F.col("s").desc(), F.col("node")], per_hop).select("query_id", "node", F.lit(h).alias("hop"))
+        front = materialise(skew.top_k(n, ["query_id"], [F.col("s").desc(), F.col("node")], per_hop).select("query_id", "node", F.lit(h).alias("hop")), "hop")
         seen = seen.unionByName(front)
     return seen

@@ -12,6 +12,7 @@ from engramlake.operators import facts as E
 from engramlake.operators import graph as J
 from engramlake.operators import lifecycle as K
 from engramlake.operators import recall as H
+from engramlake.session import materialise
 
 
 def compile_conversations(msg: DataFrame, lex: Z.CompressionLexicon = Z.CompressionLexicon()) -> tuple[DataFrame, DataFrame]:
@@ -23,9 +24,9 @@ def compile_conversations(msg: DataFrame, lex: Z.CompressionLexicon = Z.Compress
 
 def reconstruct(q: DataFrame, mem: DataFrame, edges: DataFrame, index: DataFrame, as_of, seeds: int = 4, k: int = 20) -> DataFrame:
     """Evidence package rows per query: BM25 seeds, graph expansion, evidence rank and an open-conflict flag."""
-    top = H.top_scored(H.bm25(q, index), seeds).select(F.col("query_id").alias("set_id"), F.col("memory_id").alias("node"))
+    top = materialise(H.top_scored(H.bm25(q, index), seeds).select(F.col("query_id").alias("set_id"), F.col("memory_id").alias("node")), "seeds")
     nodes = J.traverse_memories(top, edges, mem).select(F.col("set_id").alias("query_id"), F.col("node").alias("memory_id"), "depth", "proximity")
-    ranked = V.rank_nodes(q, nodes, K.state_vector(mem, edges, as_of), k)
+    ranked = materialise(V.rank_nodes(q, nodes, K.state_vector(mem, edges, as_of), k), "ranked-nodes")
     sides = F.array(F.struct(F.col("src").alias("memory_id"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("memory_id"), F.col("src").alias("other")))
     con = edges.filter("type = 'contradicts'").select(F.explode(sides).alias("s")).select("s.*").distinct()
     ids = ranked.select("query_id", "memory_id")
@@ -36,10 +37,10 @@ def reconstruct(q: DataFrame, mem: DataFrame, edges: DataFrame, index: DataFrame
 def dense_context(q: DataFrame, turns: DataFrame, word_budget: int = 200) -> DataFrame:
     """Slice, extract facts, deduplicate, supersede, rank, retain chains and render, for a batch of questions."""
     f = E.supersede_facts(E.dedup_facts(E.extract_facts(turns)), ["location", "server", "click", "view", "purchase"])
-    f = f.join(turns.select(F.col("message_id").alias("fact_id"), F.col("conv_id").alias("session")), "fact_id")
+    f = materialise(f.join(turns.select(F.col("message_id").alias("fact_id"), F.col("conv_id").alias("session")), "fact_id"), "turn-facts")
     pool = V.wide_slice(q, turns).select("query_id", F.col("message_id").alias("fact_id"))
     kept = pool.join(f.select("fact_id"), "fact_id", "left_semi")
     ranked = V.rank_evidence(q, turns, 60).select("query_id", F.col("message_id").alias("fact_id"), "rank").join(kept, ["query_id", "fact_id"], "left_semi")
-    first = ranked.filter("rank <= 10")
+    first = materialise(ranked.filter("rank <= 10"), "first-facts")
     chains = J.retain_chains(q, first.select("query_id", "fact_id"), f).select("query_id", "fact_id", (F.col("rank") + 100).alias("rank"))
     return E.render_tiered(first.unionByName(chains), f, word_budget)

@@ -7,7 +7,7 @@ from engramlake.operators import facts as E
 from engramlake.operators import graph as J
 from engramlake.operators import lifecycle as K
 from engramlake.operators import recall as H
-from engramlake.plans import pipelines as P
+from engramlake.plans import composite as P
 from engramlake.session import AS_OF, materialise
 from engramlake.sources import bindings as B
 from registry import EXTRA_CTES, query
@@ -126,7 +126,7 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_i
 @query("rank_nodes", "SELECT query_id, memory_id, CAST(depth AS INTEGER) AS depth, round(lexical, 6) AS lexical, round(score, 6) AS score, rank FROM rnodes")
 def rank_nodes(spark, d):
     q = B.recall_queries(spark, d)
-    top = H.top_scored(H.bm25(q, materialise(index(spark, d), "text-index")), 4).select(F.col("query_id").alias("set_id"), F.col("memory_id").alias("node"))
+    top = materialise(H.top_scored(H.bm25(q, materialise(index(spark, d), "text-index")), 4).select(F.col("query_id").alias("set_id"), F.col("memory_id").alias("node")), "seeds")
     nodes = J.traverse_memories(top, B.edges(spark, d), B.memories(spark, d)).select(F.col("set_id").alias("query_id"), F.col("node").alias("memory_id"), "depth", "proximity")
     return r6(V.rank_nodes(q, nodes, sv(spark, d)), "lexical", "score")
 
