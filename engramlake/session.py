@@ -30,19 +30,24 @@ def build_session(app: str = "engramlake", master: str | None = None, shuffle_pa
     return spark
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach: ``spark.checkpoint.dir`` where the cluster names one.
 
-    Only a local master falls back to a temporary folder of this machine.
+    Without it a folder set on the context is used; only a local master falls back to a temporary
+    folder of this machine, as in tests.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if base:
         return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    base = tempfile.mkdtemp(prefix="spark-engramlake-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    if sc.applicationId not in _LOCAL_DIRS:
+        _LOCAL_DIRS[sc.applicationId] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _LOCAL_DIRS[sc.applicationId]
 
 
 def work_path(spark: SparkSession, label: str) -> str:
