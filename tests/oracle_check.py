@@ -114,7 +114,8 @@ def main():
 def registry_module(name):
     import registry
 
-    return registry.QUERIES[name].__module__.split(".")[-1]
+    fn = registry.QUERIES.get(name)
+    return fn and fn.__module__.split(".")[-1]
 
 
 if __name__ == "__main__":
