@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engramlake.llm import lines, mixing, tokens
+from engramlake.llm import langmodel, lines, mixing, neardup, quality, tokens
 from engramlake.llm.common import table
 
 QUERIES: dict = {}
@@ -36,3 +36,18 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_source_mixing", mixing.mix_sql("documents"))
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "mix_rate", "mix_copies", "mix_copy", "mix_key")
+
+
+@query("op5_maxent_scores")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langmodel.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op6_quality_scores")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_near_duplicates")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))

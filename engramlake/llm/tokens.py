@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from engramlake.llm.common import ship
+
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 512
 #: Pieces of one text that are held at a time, and merged pieces that a worker remembers.
@@ -106,5 +108,6 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, limit: int = LIMIT) -
             n = [c.count(t.as_py()) for t in b.column(2)]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
+    ship(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(F.col("doc_id").cast("long"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
