@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engramlake.llm import decontaminate, html, langmodel, licenses, lines, mixing, neardup, quality, tokens
+from engramlake.llm import decontaminate, html, langmodel, licenses, lines, mixing, neardup, quality, secrets, tokens
 from engramlake.llm.common import table
 
 QUERIES: dict = {}
@@ -66,3 +66,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_main_text")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(table(spark, sf_dir, "pages"))
+
+
+@query("op3_secret_findings")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents")).filter("is_secret")
