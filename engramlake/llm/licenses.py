@@ -24,7 +24,7 @@ from engramlake.llm.common import fold, whole_text
 
 # Spellings that licence matching treats as equal, by canonical word.
 SPELLINGS = [
-    (" licence", " license"), (" sub license", " sublicense"), (" non commercial", " noncommercial"), (" per cent ", " percent "),
+    (" licence", " license"), (" sub license", " sublicense"), (" sublicence", " sublicense"), (" non commercial", " noncommercial"), (" per cent ", " percent "),
     (" organisation", " organization"), (" authoris", " authoriz"), (" recognis", " recogniz"), (" merchantibility ", " merchantability "),
     (" favour", " favor"), (" fulfil ", " fulfill "), (" judgement ", " judgment "), (" acknowledgement", " acknowledgment"),
     (" copyright owner", " copyright holder"), (" https ", " http "), (" www ", " "), (" v2 0 ", " version 2 0 "), (" v3 ", " version 3 "),

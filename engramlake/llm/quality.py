@@ -139,6 +139,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
     # The draw is bounded by the two parameters, so it may be broadcast and its features collected.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
     got = feature_table(texts).filter("x is not null").join(F.broadcast(chosen), "doc_id").select("p", "x").toArrow()
+    if not got.num_rows:
+        return None
     p = np.array(got["p"].to_pylist(), dtype=int)
     x = np.array(got["x"].to_pylist(), dtype=np.float64).reshape(len(p), -1)
     if not (p == 1).any():
