@@ -24,7 +24,7 @@ IRREGULAR_STEMS = {
     "married": "marry", "marriage": "marry",
 }
 IR_PATTERNS = {
-    "decision": r"decid[a-z]+|choos[a-z]+|select [a-z]+|adopt [a-z]+|reject [a-z]+|go with|settle on|finaliz[a-z]+",
+    "decision": r"decid\w+|choos\w+|select\s+\w+|adopt\s+\w+|reject\s+\w+|go with|settle on|finaliz\w+",
     "reasoning": "because|reason|since|therefore|thus|logic|rationale|why",
     "temporal": "now|today|yesterday|tomorrow|later|before|after|currently|recently|earlier|soon|eventually|finally|first|then|next",
     "state": "status|current|state|progress|done|pending|complete|in progress|finished|working on",
@@ -34,6 +34,8 @@ IR_PATTERNS = {
     "action": "will|should|need to|must|have to|action|todo|next step|follow up",
     "knowledge": "fact|define|definition|concept|principle|theorem|rule|law",
 }
+# Kinds whose pattern may stand inside a word; the others start and end at a word boundary.
+IR_INSIDE_WORDS = ["decision", "reasoning"]
 CASUAL = ["yeah", "ok", "okay", "sure", "cool", "awesome", "great", "nice", "right", "got it", "makes sense"]
 HESITATION = ["um", "uh", "er", "ah", "hmm", "well", "maybe", "perhaps", "not sure", "i think", "i guess", "sort of", "kind of"]
 ENTITY_STOP_WORDS = (

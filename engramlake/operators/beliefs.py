@@ -14,8 +14,8 @@ from engramlake.operators import skew
 
 # Opposing wordings.
 NEGATION_PATTERNS = [
-    (["is", "was", "will be"], ["is not", "was not", "will not be", "will not"]),
-    (["adopted", "adopt", "chose", "selected", "decided on"], ["rejected", "did not choose", "did not select"]),
+    (["is", "was", "will be"], ["is not", "was not", "will not be"]),
+    (["adopted", "chose", "selected", "decided on"], ["rejected", "did not choose", "did not select"]),
     (["agree", "agreed", "consensus"], ["disagree", "disagreed", "no consensus"]),
     (["true", "correct", "right"], ["false", "incorrect", "wrong"]),
     (["yes", "yeah", "yep"], ["no", "nope", "nah"]),

@@ -58,9 +58,10 @@ def ir_units(msg: DataFrame, patterns: dict[str, str] = L.IR_PATTERNS, casual=L.
         .when(F.col("role") == "assistant", F.array(F.struct(F.lit("role").alias("ir_type"), F.lit("ast").alias("value"))))
     ]
     for kind, pattern in patterns.items():
-        window = rf"(?is)(?:^|.{{0,49}}[^\p{{L}}\p{{N}}_])(?:{pattern})(?:[^\p{{L}}\p{{N}}_].{{0,99}}|$)"
+        inside = kind in L.IR_INSIDE_WORDS
+        window = rf"(?is).{{0,50}}?(?:{pattern}).{{0,100}}" if inside else rf"(?is)(?:^|.{{0,49}}[^\p{{L}}\p{{N}}_])(?:{pattern})(?:[^\p{{L}}\p{{N}}_].{{0,99}}|$)"
         # The plain search rules most turns out before the costly search with context.
-        present = text.rlike(rf"(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:{pattern})(?:[^\p{{L}}\p{{N}}_]|$)")
+        present = text.rlike(rf"(?i){pattern}" if inside else rf"(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:{pattern})(?:[^\p{{L}}\p{{N}}_]|$)")
         parts.append(F.when(present, _units(kind, F.regexp_extract_all(text, F.lit(window), F.lit(0)))))
     tones = [
         F.when(X.has_phrase(pad, casual), F.lit("casual")),

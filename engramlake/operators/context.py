@@ -37,14 +37,13 @@ def _ordered() -> list[Column]:
     return [F.col("priority").desc(), F.col("memory_id")]
 
 
-def tier_budget(parts: DataFrame, max_tokens: int, pool: int = 400) -> DataFrame:
+def tier_budget(parts: DataFrame, max_tokens: int) -> DataFrame:
     """Fill tiers of 50, 35 and 15 per cent in part order; a part that does not fit its tier may use a lower one.
 
     A fold over one sorted array per query; the pools of the recall levels bound it.
     """
     items = F.array_sort(F.collect_list(F.struct("level", (-F.col("priority")).alias("np"), "memory_id", "tokens", "tier")))
     a = parts.groupBy("query_id").agg(items.alias("xs"))
-    a = a.select("query_id", F.when(F.size("xs") <= pool, F.col("xs")).otherwise(F.raise_error(F.lit("pool larger than the recall levels allow"))).alias("xs"))
     cap = {t: int(max_tokens * r) for t, r in TIERS}
     zero = F.struct(*[F.lit(0).cast("long").alias(t) for t, _ in TIERS], F.array().cast("array<struct<memory_id:bigint,tier:string,tokens:bigint>>").alias("out"))
 
@@ -90,7 +89,7 @@ def allocation_priority(q: DataFrame, pool: DataFrame, state: DataFrame) -> Data
     return j.select("query_id", "memory_id", "resolution", "tokens", "relevance", "priority", X.label(*[(F.col("priority") >= t, n) for n, t in LEVELS[:3]], default="tag").alias("desired"))
 
 
-def allocate(prio: DataFrame, ver: DataFrame, budget: int, tag_tokens: int = 8, pool: int = 400) -> DataFrame:
+def allocate(prio: DataFrame, ver: DataFrame, budget: int, tag_tokens: int = 8) -> DataFrame:
     """Best representation that fits, full to tag, in priority order; a fold over one bounded array per query."""
     v = ver.groupBy("memory_id").agg(F.map_from_entries(F.collect_list(F.struct("resolution", "compressed_tokens"))).alias("vs"))
     j = prio.join(v, "memory_id", "left")
@@ -101,7 +100,6 @@ def allocate(prio: DataFrame, ver: DataFrame, budget: int, tag_tokens: int = 8,
     start = F.array_position(F.array(*[F.lit(n) for n, _ in LEVELS]), F.col("desired"))
     j = j.select("query_id", F.struct((-F.col("priority")).alias("np"), "memory_id", "desired", F.filter(F.slice(ladder, start.cast("int"), F.lit(4)), lambda x: x["t"].isNotNull()).alias("forms")).alias("x"))
     a = j.groupBy("query_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    a = a.select("query_id", F.when(F.size("xs") <= pool, F.col("xs")).otherwise(F.raise_error(F.lit("pool larger than the recall level allows"))).alias("xs"))
     zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<memory_id:bigint,desired:string,level:string,tokens:bigint>>").alias("out"))
 
     def step(acc, x):

@@ -19,7 +19,8 @@ from engramlake.operators.temporal import event_terms
 FIRST_PERSON = ["i", "my", "me", "we"]
 MONTHS = "january february march april may june july august september october november december".split()
 RECENT = ["yesterday", "recent", "recently", "last week", "last month"]
-ACTIONS = "visit travel buy bought meet met graduated start started lead play book move moved review adopt".split()
+# Words of actions.
+ACTIONS = ["visit", "travel", "buy", "bought", "meet", "met", "graduated", "start", "started", "lead", "play", "book", "move", "moved"]
 TIME_INTENT = ["when", "how many days", "how many weeks", "date", "month", "year", "first", "last", "order"]
 DATE_TEXT = r"\d{4}[-/]\d{2}[-/]\d{2}|\d{1,2} [A-Z][a-z]+ \d{4}"
 CONCEPTS = {"items": ["bought", "spent"], "plan": ["adopt", "prefer"], "review": ["meeting", "alpha"]}
@@ -229,7 +230,7 @@ def ground_answers(a: DataFrame, turns: DataFrame, names: str = r"(?:^|[^\p{L}])
     the answer's stems are spoken by others in the first person and none is bound to the subject.
     """
     st = lambda c: event_terms(c)
-    ask = a.select("answer_id", F.lower("subject").alias("subject"), st(F.col("answer")).alias("at"), F.slice(F.regexp_extract_all(F.col("question"), F.lit(names), F.lit(1)), 2, 1000).alias("names"))
+    ask = a.select("answer_id", F.lower("subject").alias("subject"), st(F.col("answer")).alias("at"), F.filter(F.regexp_extract_all(F.col("question"), F.lit(names), F.lit(1)), lambda x, i: i > 0).alias("names"))
     t = turns.select("answer_id", F.lower("speaker").alias("speaker"), X.padded(F.col("text")).alias("pad"), st(F.col("text")).alias("tt"))
     j = ask.join(t, "answer_id")
     near = (F.size("at") > 0) & (X.overlap(F.col("at"), F.col("tt")) / F.size("at") >= 0.5)

@@ -14,10 +14,11 @@ from engramlake.operators.textfeatures import bigrams
 from engramlake.session import materialise
 from engramlake.functions import lexicons as L
 
+# English cue words of each association type.
 CUES = {
-    "causes": ["because", "therefore", "as a result", "caused"],
-    "follows": ["after", "then", "next", "following"],
-    "contradicts": ["however", "contrary", "instead", "but not"],
+    "causes": ["thus", "therefore", "because"],
+    "follows": ["later", "then", "after", "followed by"],
+    "contradicts": ["nevertheless", "contrary"],
     "elaborates": ["in detail", "specifically", "elaborate"],
     "summarizes": ["summary", "in short", "tl dr"],
 }

@@ -203,26 +203,30 @@ def restore(mem: DataFrame, ver: DataFrame, target: Column) -> DataFrame:
         F.min("resolution").alias("restored_resolution"), F.min_by("compressed_tokens", "resolution").alias("tokens"))
 
 
-def merge_groups(mem: DataFrame, groups: DataFrame, strategy: str = "latest", head: int = 5) -> DataFrame:
-    """Merged memory per group (memory_id, group_id): importance, confidence, size and the text of the strategy.
-
-    ``combine`` joins the first ``head`` member texts in time order and counts the others, so no group
-    gathers unbounded text; ``latest`` takes the newest text.
-    """
+def merge_groups(mem: DataFrame, groups: DataFrame) -> DataFrame:
+    """Merged memory per group: importance, confidence, size and the most recently updated member, whose text it takes."""
     j = mem.join(groups.select("memory_id", "group_id"), "memory_id")
     base = j.groupBy("group_id").agg(F.max("importance").alias("importance"), F.avg("confidence").alias("confidence"), F.count("*").alias("members"),
-                                     F.max_by("memory_id", F.struct("created_at", "memory_id")).alias("latest_id"))
-    if strategy == "latest":
-        return base.join(mem.select(F.col("memory_id").alias("latest_id"), "content"), "latest_id")
-    top = skew.top_k(j.select("group_id", "memory_id", "created_at"), ["group_id"], [F.col("created_at"), F.col("memory_id")], head).join(mem.select("memory_id", "content"), "memory_id")
-    text = top.groupBy("group_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "content"))), lambda x: x["content"]), "\n---\n").alias("content"))
-    return base.join(text, "group_id")
+                                     F.max_by("memory_id", F.struct("updated_at", "memory_id")).alias("latest_id"))
+    return base.join(mem.select(F.col("memory_id").alias("latest_id"), "content"), "latest_id")
+
+
+def combine_groups(mem: DataFrame, groups: DataFrame) -> DataFrame:
+    """Combined text of every group in long form: each member with its place and its titled part, in time order.
+
+    A group is numbered day by day, so no task holds a whole group, and no row gathers its texts; writing the
+    rows in order of group and place gives the combined text.
+    """
+    j = mem.join(groups.select("memory_id", "group_id"), "memory_id").select("group_id", "memory_id", "created_at", F.to_date("created_at").alias("_d"), F.lit(1).cast("long").alias("_one"), "content")
+    j = skew.running_total(j, ["group_id"], "_d", ["created_at", "memory_id"], "_one", "place")
+    title = F.concat(F.lit("=== Memory "), F.col("place").cast("string"), F.lit(" (ID: "), F.col("memory_id").cast("string"), F.lit(") ===\n"))
+    return j.select("group_id", "place", "memory_id", F.concat(title, F.col("content")).alias("part"))
 
 
 def merge_effects(groups: DataFrame, merged: DataFrame) -> DataFrame:
     """Archived originals and the edge each of them gets to the merged memory."""
-    return groups.join(merged.select("group_id", "latest_id"), "group_id").select(
-        "memory_id", F.lit("archived").alias("status"), F.col("group_id").alias("merged_into"), F.when(F.col("memory_id") == F.col("latest_id"), F.lit("elaborates")).otherwise(F.lit("summarizes")).alias("edge_type"))
+    return groups.join(merged.select("group_id"), "group_id").select(
+        "memory_id", F.lit("archived").alias("status"), F.col("group_id").alias("merged_into"), F.lit("elaborates").alias("edge_type"), F.lit(0.8).alias("strength"))
 
 
 def split_memories(mem: DataFrame, header: str, key: str = "memory_id", text: str = "content") -> DataFrame:

@@ -113,17 +113,16 @@ def rank_utility(q: DataFrame, pool: DataFrame, as_of, weights: dict[str, float]
     return b.withColumn("score", F.round(u, 9)).filter(F.col("score") >= threshold)
 
 
-def greedy_fill(ranked: DataFrame, ver: DataFrame, budget: int, pool: int = 200) -> DataFrame:
+def greedy_fill(ranked: DataFrame, ver: DataFrame, budget: int) -> DataFrame:
     """Best-first fill that skips what does not fit and tries the stored compressed versions.
 
-    A fold over one sorted array per query.  The pool of a query is bounded by the recall level, so
-    the array is small; ``pool`` states that bound and a larger pool is refused.
+    A fold over one sorted array per query.  A query's array holds its candidate pool, whose size the limits of
+    the recall level (or the window given to ``candidates``) fix; it does not grow with the corpus.
     """
     v = ver.filter("resolution in (1, 3, 4, 5)").groupBy("memory_id").agg(F.array_sort(F.collect_list(F.struct("resolution", F.col("compressed_tokens").alias("t")))).alias("vs"))
     j = ranked.select("query_id", "memory_id", "score", "tokens", "resolution").join(v, "memory_id", "left")
     forms = F.concat(F.array(F.struct(F.col("resolution").alias("r"), F.col("tokens").alias("t"))), F.coalesce(F.transform(F.filter("vs", lambda x: x["resolution"] > F.col("resolution")), lambda x: F.struct(x["resolution"].alias("r"), x["t"].cast("long").alias("t"))), F.array().cast("array<struct<r:int,t:bigint>>")))
     a = j.select("query_id", F.struct((-F.col("score")).alias("s"), "memory_id", forms.alias("forms")).alias("x")).groupBy("query_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    a = a.select("query_id", F.when(F.size("xs") <= pool, F.col("xs")).otherwise(F.raise_error(F.lit("pool larger than the recall level allows"))).alias("xs"))
     zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<memory_id:bigint,r:int,t:bigint>>").alias("out"))
 
     def step(acc, x):

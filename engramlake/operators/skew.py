@@ -22,9 +22,25 @@ def latest_rows(df: DataFrame, keys: list[str], order: list[Column], first: bool
     )
 
 
+#: Spark limits the groups of a rank window in each task only for limits below this; longer ones raise it.
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
+PARTS = 64
+
+
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
-    """Rows of rank <= k per key.  Spark limits each group in every task before it shuffles."""
+    """Rows of rank <= k per key.
+
+    Every task limits its groups before the shuffle.  A long limit (1,000 and more) is first applied to ``PARTS``
+    hashed parts of each key, so no task sorts more of a key than ``PARTS * k`` rows whatever the key holds.
+    """
     w = Window.partitionBy(*keys).orderBy(*order)
+    if k >= 1000:
+        conf = df.sparkSession.conf
+        if int(conf.get(GROUP_LIMIT, "1000")) <= k:
+            conf.set(GROUP_LIMIT, str(k + 1))
+        plain = [c for c, t in df.dtypes if "map<" not in t]
+        part = Window.partitionBy(*keys, "_part").orderBy(*order)
+        df = df.withColumn("_part", F.pmod(F.xxhash64(*plain), F.lit(PARTS))).withColumn("_rp", F.row_number().over(part)).filter(F.col("_rp") <= k).drop("_part", "_rp")
     return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= k).withColumn(name, F.col(name).cast("long"))
 
 
@@ -65,7 +81,7 @@ def prefix_budget(ranked: DataFrame, keys: list[str], order: list[Column], token
     """Longest prefix per key whose token sum stays within ``budget``; stops at the first overflow.
 
     Each row costs at least one token, so the prefix holds at most ``budget`` rows: the rank limit
-    is exact and keeps the sorted group small.
+    is exact, and ``top_k`` keeps what one task sorts bounded by it.
     """
     head = top_k(ranked, keys, order, budget, "_rk")
     w = Window.partitionBy(*keys).orderBy("_rk").rowsBetween(Window.unboundedPreceding, 0)

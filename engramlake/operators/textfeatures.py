@@ -270,7 +270,7 @@ def bigram_counts(df: DataFrame, text: str) -> DataFrame:
 # Detector patterns and placeholders, applied in this order.
 PII = [
     ("ssn", r"\b\d{3}-\d{2}-\d{4}\b", "[SSN]"),
-    ("card", r"\b\d{4}[- ]?\d{4}[- ]?\d{4}[- ]?\d{4}\b", "[CREDIT_CARD]"),
+    ("card", r"\b\d{4}[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4}\b", "[CREDIT_CARD]"),
     ("email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "[EMAIL]"),
     ("ip", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "[IP]"),
 ]

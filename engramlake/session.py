@@ -22,7 +22,7 @@ def build_session(app: str = "engramlake", master: str | None = None, shuffle_pa
         .config("spark.ui.showConsoleProgress", "false")
     )
     if master:
-        builder = builder.master(master).config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
+        builder = builder.master(master).config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()

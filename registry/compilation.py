@@ -32,7 +32,7 @@ def conversation_structure(spark, d):
 def _unit_sql():
     kinds = ["CASE role WHEN 'user' THEN [{'t': 'role', 'v': 'usr'}] WHEN 'assistant' THEN [{'t': 'role', 'v': 'ast'}] ELSE [] END"]
     for k, p in L.IR_PATTERNS.items():
-        win = rf"(?is)(?:^|.{{0,49}}{S.NW})(?:{p})(?:{S.NW}.{{0,99}}|$)"
+        win = rf"(?is).{{0,50}}?(?:{p}).{{0,100}}" if k in L.IR_INSIDE_WORDS else rf"(?is)(?:^|.{{0,49}}{S.NW})(?:{p})(?:{S.NW}.{{0,99}}|$)"
         kinds.append(f"list_transform(regexp_extract_all(text, '{win}'), lambda v: {{'t': '{k}', 'v': trim(v, ' ')}})")
     kinds.append(f"CASE WHEN {S.has_phrase('pad', L.CASUAL)} THEN [{{'t': 'tone', 'v': 'casual'}}] ELSE [] END")
     kinds.append(f"CASE WHEN {S.has_phrase('pad', L.HESITATION)} THEN [{{'t': 'tone', 'v': 'hesitation'}}] ELSE [] END")

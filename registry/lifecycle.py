@@ -162,7 +162,7 @@ def _groups(spark, d):
     return B.memories(spark, d).select("memory_id", F.concat("topic", F.lit("/"), "memory_type").alias("group_id"))
 
 
-_mg = "SELECT topic || '/' || memory_type AS group_id, max(importance) AS importance, avg(confidence) AS confidence, count(*) AS members, arg_max(memory_id, {'c': created_at, 'm': memory_id}) AS latest_id FROM mem GROUP BY 1"
+_mg = "SELECT topic || '/' || memory_type AS group_id, max(importance) AS importance, avg(confidence) AS confidence, count(*) AS members, arg_max(memory_id, {'c': updated_at, 'm': memory_id}) AS latest_id FROM mem GROUP BY 1"
 
 
 @query("merge_groups_latest", f"WITH g AS ({_mg}) SELECT group_id, round(g.importance, 6) AS importance, round(g.confidence, 6) AS confidence, members, latest_id, content FROM g JOIN mem ON memory_id = latest_id")
@@ -170,14 +170,13 @@ def merge_groups_latest(spark, d):
     return r6(K.merge_groups(B.memories(spark, d), _groups(spark, d)).select("group_id", "importance", "confidence", "members", "latest_id", "content"), "importance", "confidence")
 
 
-@query("merge_groups_combine", f"""WITH g AS ({_mg}), r AS (SELECT topic || '/' || memory_type AS group_id, content, row_number() OVER (PARTITION BY topic, memory_type ORDER BY created_at, memory_id) AS k FROM mem),
-t AS (SELECT group_id, string_agg(content, chr(10) || '---' || chr(10) ORDER BY k) AS content FROM r WHERE k <= 5 GROUP BY group_id)
-SELECT group_id, round(importance, 6) AS importance, round(confidence, 6) AS confidence, members, content FROM g JOIN t USING (group_id)""")
+@query("merge_groups_combine", """WITH r AS (SELECT topic || '/' || memory_type AS group_id, memory_id, content, row_number() OVER (PARTITION BY topic, memory_type ORDER BY created_at, memory_id) AS place FROM mem)
+SELECT group_id, place, memory_id, '=== Memory ' || place || ' (ID: ' || memory_id || ') ===' || chr(10) || content AS part FROM r""")
 def merge_groups_combine(spark, d):
-    return r6(K.merge_groups(B.memories(spark, d), _groups(spark, d), "combine").select("group_id", "importance", "confidence", "members", "content"), "importance", "confidence")
+    return K.combine_groups(B.memories(spark, d), _groups(spark, d))
 
 
-@query("merge_effects", f"WITH g AS ({_mg}) SELECT memory_id, 'archived' AS status, group_id AS merged_into, CASE WHEN memory_id = latest_id THEN 'elaborates' ELSE 'summarizes' END AS edge_type FROM mem JOIN g ON group_id = topic || '/' || memory_type")
+@query("merge_effects", "SELECT memory_id, 'archived' AS status, topic || '/' || memory_type AS merged_into, 'elaborates' AS edge_type, 0.8 AS strength FROM mem")
 def merge_effects(spark, d):
     g = _groups(spark, d)
     return K.merge_effects(g, K.merge_groups(B.memories(spark, d), g))

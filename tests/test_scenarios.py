@@ -236,3 +236,15 @@ def test_hop_expansion_stops_without_referents(spark):
     text = spark.createDataFrame([(1, "my dog"), (2, "my dog"), (3, "done"), (4, "x")], "node long, raw string")
     pool = spark.createDataFrame([(1, 1)], "query_id long, node long")
     assert {r.node for r in GR.expand_hops(pool, steps, text, "dog").collect()} == {1, 2, 3}
+
+
+def test_long_rank_limits_are_applied_in_every_task(spark):
+    from engramlake.operators import skew
+
+    df = spark.range(20_000).selectExpr("id % 3 as key", "id", "cast(id % 7 + 1 as bigint) as tokens")
+    top = skew.top_k(df, ["key"], [F.col("id").desc()], 4001)
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 4  # partial and final, for the parts of a key and for the key
+    assert top.groupBy("key").agg(F.max("rank").alias("m"), F.min("id").alias("i")).orderBy("key").collect() == [(0, 4001, 19998 - 12000), (1, 4001, 19999 - 12000), (2, 4001, 19997 - 12000)]
+    out = skew.prefix_budget(df, ["key"], [F.col("id").desc()], "tokens", 5000).groupBy("key").agg(F.max("used_tokens").alias("u"), F.count("*").alias("n")).collect()
+    assert all(4993 < r.u <= 5000 for r in out)

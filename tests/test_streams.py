@@ -45,3 +45,48 @@ def test_closed_sessions_only_in_append_mode(spark):
     late = [(3, "a", "p", "x", T0 + dt.timedelta(days=2), "active")]
     s = M.session_stream(_stream(spark, [rows, late, late]), "entity")
     assert [(r.events) for r in s.filter(F.col("started_at") < F.lit(T0 + dt.timedelta(days=1))).collect()] == [2]
+
+
+def test_restart_goes_on_with_its_state(spark):
+    path, sink, check = (work_path(spark, x) for x in ("stream-in", "stream-sink", "stream-check"))
+    put = lambda rows: spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    read = lambda: spark.readStream.schema(SCHEMA).parquet(path)
+    put([(1, "a", "mode", "x", T0, "active"), (2, "a", "mode", "y", T0 + dt.timedelta(hours=1), "active")])
+    M.state_stream(read(), sink=sink, checkpoint=check)
+    put([(3, "a", "mode", "z", T0 + dt.timedelta(hours=2), "active")])
+    out = M.state_stream(read(), sink=sink, checkpoint=check).collect()
+    assert [(r.initial_value, r.current_value, r.access_count) for r in out] == [("x", "z", 2)]
+    assert [(r.current_value) for r in M.state_stream(read(), sink=sink, checkpoint=check).collect()] == ["z"]  # nothing new
+
+
+def test_cooldown_of_a_key_over_several_arrow_batches(spark):
+    import random
+
+    rows = [(1, i, T0 + dt.timedelta(minutes=7 * (i * i % 53))) for i in range(60)] + [(2, 100 + i, T0 + dt.timedelta(hours=3 * i)) for i in range(9)]
+    random.Random(1).shuffle(rows)
+    want, last = {}, {}
+    for m, p, t in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+        want[p] = m in last and t - last[m] < dt.timedelta(hours=1)
+        last[m] = t
+    schema, path = "memory_id long, proposal_id long, ts timestamp", work_path(spark, "stream-in")
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(path)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        sink, check = work_path(spark, "stream-sink"), work_path(spark, "stream-check")
+        read = lambda: spark.readStream.schema(schema).parquet(path)
+        got = {r.proposal_id: r.rejected for r in M.cooldown_stream(read(), sink=sink, checkpoint=check).collect()}
+        assert got == want
+        late = [(2, 900, T0 + dt.timedelta(minutes=5)), (2, 901, T0 + dt.timedelta(hours=24, minutes=5))]
+        spark.createDataFrame(late, schema).coalesce(1).write.mode("append").parquet(path)
+        again = {r.proposal_id: r.rejected for r in M.cooldown_stream(read(), sink=sink, checkpoint=check).collect()}
+        assert (again[900], again[901]) == (False, True) and {k: v for k, v in again.items() if k < 900} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_versions_are_written_inside_the_stream(spark):
+    schema, path = "conv_id long, turn long, message_id long, role string, text string, created_at timestamp", work_path(spark, "stream-in")
+    spark.createDataFrame([(1, 1, 11, "assistant", "We decided to use the blue server because it is important. I prefer it. " * 20, T0)], schema).coalesce(1).write.parquet(path)
+    mem, ver = M.compile_stream(spark.readStream.schema(schema).parquet(path))
+    assert mem.count() > 0 and ver.select("memory_id").distinct().count() == mem.count() and "batch_id" in ver.columns
