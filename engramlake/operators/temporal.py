@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engramlake.functions import lexicons as L
 from engramlake.functions import text as X
 from engramlake.operators import skew
 from engramlake.operators.textfeatures import anchored
+from engramlake.session import materialise
 
 TIME_WORDS = ["yesterday", "last night", "last week", "last weekend", "last fri", "last tue", "next month", "this month", "last month", "last year", "ago",
               "years now", "since", "two weekends", "past weekend", "friday before", "weekend before"]
@@ -102,23 +103,42 @@ def supersession_heads(edges: DataFrame, depth: int = 10) -> DataFrame:
     return result
 
 
-def superseding_decisions(dec: DataFrame, topic: str, shared: int = 3) -> DataFrame:
+def superseding_decisions(dec: DataFrame, topic: str, shared: int = 3, look: int = 16) -> DataFrame:
     """First later decision of the same topic that shares at least three words.
 
-    Two texts share three words exactly if they share a set of three words, so every decision is
-    listed under its word triples and only looks at the next entry of each triple: no pairs of a group
-    are formed.  Groups are cut by year for the look-ahead.
+    Words are ordered from rare to common, and a text is listed under all but its last two: two texts that share
+    three words share one they are both listed under.  Each list is numbered in time order (year by year, so no
+    list is one task), and every decision looks at the next entries of its lists, ``look`` at first and four times
+    as many in each further round.  A candidate is compared on its whole word set; a list is left as soon as its
+    next entry is later than the best one found, so a word of many decisions costs no pairs of its group.
     """
-    w = F.array_sort(F.array_distinct(X.space_words(F.col("text"))))
-    n = F.size("w")
-    idx = lambda lo: F.when(lo <= n, F.sequence(lo, n)).otherwise(F.array().cast("array<int>"))
-    triples = F.flatten(F.transform(idx(F.lit(1)), lambda i: F.flatten(F.transform(idx(i + 1), lambda j: F.transform(idx(j + 1), lambda k: F.concat_ws(" ", F.get("w", i - 1), F.get("w", j - 1), F.get("w", k - 1)))))))
-    t = dec.select("decision_id", topic, "decided_at", w.alias("w")).select("decision_id", topic, "decided_at", F.explode(triples).alias("g"))
-    times = t.groupBy(topic, "g", "decided_at").agg(F.min("decision_id").alias("first_id")).withColumn("y", F.year("decided_at"))
-    times = skew.neighbour(times, [topic, "g"], "y", ["decided_at"], ["decided_at", "first_id"], "next_", forward=True).filter("next_first_id is not null")
-    cand = t.join(times.select(topic, "g", "decided_at", "next_decided_at", "next_first_id"), [topic, "g", "decided_at"])
-    best = cand.groupBy("decision_id").agg(F.min(F.struct("next_decided_at", "next_first_id")).alias("b"))
-    return best.select("decision_id", F.col("b.next_first_id").alias("superseded_by"), F.col("b.next_decided_at").alias("superseded_at"))
+    words = dec.select("decision_id", topic, "decided_at", F.array_distinct(X.space_words(F.col("text"))).alias("w")).filter(F.size("w") >= shared)
+    words = materialise(words, "decision-words")
+    t = words.select("decision_id", topic, "decided_at", F.size("w").alias("n"), F.explode("w").alias("g"))
+    t = t.join(t.groupBy("g").agg(F.count("*").alias("c")), "g")
+    rare = Window.partitionBy("decision_id").orderBy("c", "g")  # the words of one text
+    t = t.withColumn("_k", F.row_number().over(rare)).filter(F.col("_k") <= F.col("n") - (shared - 1))
+    t = t.select(topic, "g", "decision_id", "decided_at", F.year("decided_at").alias("_y"), F.lit(1).cast("long").alias("_one"))
+    lists = materialise(skew.running_total(t, [topic, "g"], "_y", ["decided_at", "decision_id"], "_one", "pos").drop("_y", "_one"), "decision-lists")
+    later = lists.select(topic, "g", "pos", F.col("decision_id").alias("other"), F.col("decided_at").alias("at"))
+    sets = words.select("decision_id", "w")
+    open_, best, offset = lists.withColumn("best_at", F.lit(None).cast("timestamp")), None, 1
+    while True:
+        probe = open_.withColumn("pos", F.explode(F.sequence(F.col("pos") + offset, F.col("pos") + (offset + look - 1)))).join(later, [topic, "g", "pos"])
+        probe = probe.filter((F.col("at") > F.col("decided_at")) & (F.col("best_at").isNull() | (F.col("at") <= F.col("best_at")))).select("decision_id", "other", "at").distinct()
+        both = probe.join(sets, "decision_id").join(sets.select(F.col("decision_id").alias("other"), F.col("w").alias("ow")), "other").filter(F.size(F.array_intersect("w", "ow")) >= shared)
+        found = both.select("decision_id", F.struct("at", "other").alias("b"))
+        found = (found if best is None else found.union(best)).groupBy("decision_id").agg(F.min("b").alias("b"))
+        best = materialise(found, "decision-best")
+        # A list goes on if it has an entry after those looked at that is not later than the best one found.
+        offset += look
+        ahead = later.select(topic, "g", (F.col("pos") - offset).alias("pos"), "at")
+        known = best.select("decision_id", F.col("b.at").alias("best_at"))
+        open_ = materialise(open_.drop("best_at").join(ahead, [topic, "g", "pos"]).join(known, "decision_id", "left").filter("best_at is null or at <= best_at").drop("at"), "decision-open")
+        if open_.isEmpty():
+            break
+        look *= 4
+    return best.select("decision_id", F.col("b.other").alias("superseded_by"), F.col("b.at").alias("superseded_at"))
 
 
 def decision_events(dec: DataFrame, mem: DataFrame, msg: DataFrame, edges: DataFrame, min_shared: int = 2) -> DataFrame:

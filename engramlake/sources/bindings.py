@@ -183,11 +183,9 @@ def notes_of(events: DataFrame) -> DataFrame:
 
 
 def memory_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decision memories as decisions worded by their first sentence."""
-    from engramlake.functions.text import sentence_list
-
+    """Decision memories as decisions worded by their whole text."""
     m = memories(spark, sf_dir).filter("memory_type = 'decision'")
-    return m.select(F.col("memory_id").alias("decision_id"), "memory_id", "topic", "conv_id", "message_id", F.coalesce(F.get(sentence_list(F.col("content")), F.lit(0)), F.lit("")).alias("text"),
+    return m.select(F.col("memory_id").alias("decision_id"), "memory_id", "topic", "conv_id", "message_id", F.coalesce("content", F.lit("")).alias("text"),
                     F.col("created_at").alias("decided_at"), "valid_until", "confidence", "is_current")
 
 

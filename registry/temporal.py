@@ -14,7 +14,7 @@ NOW = f"TIMESTAMP '{AS_OF}'"
 _times = "[" + ", ".join(f"TIMESTAMP '{t}'" for t in TIMES) + "]"
 
 EXTRA_CTES["cev"] = "SELECT memory_id, 0 AS from_resolution, resolution AS to_resolution, 1.0 + resolution * 0.5 AS ratio, updated_at AS created_at FROM mem WHERE resolution > 0"
-EXTRA_CTES["mdec"] = f"""SELECT memory_id AS decision_id, memory_id, topic, conv_id, message_id, coalesce(({S.sentences('content')})[1], '') AS text, created_at AS decided_at, valid_until, confidence, is_current
+EXTRA_CTES["mdec"] = f"""SELECT memory_id AS decision_id, memory_id, topic, conv_id, message_id, coalesce(content, '') AS text, created_at AS decided_at, valid_until, confidence, is_current
 FROM mem WHERE memory_type = 'decision'"""
 EXTRA_CTES["gone"] = """SELECT m.*, CASE WHEN status IN ('archived', 'deep_archived') THEN updated_at END AS gs, c.g,
  least(coalesce(CASE WHEN status IN ('archived', 'deep_archived') THEN updated_at END, c.g), coalesce(c.g, CASE WHEN status IN ('archived', 'deep_archived') THEN updated_at END)) AS gone_at

@@ -248,3 +248,18 @@ def test_long_rank_limits_are_applied_in_every_task(spark):
     assert top.groupBy("key").agg(F.max("rank").alias("m"), F.min("id").alias("i")).orderBy("key").collect() == [(0, 4001, 19998 - 12000), (1, 4001, 19999 - 12000), (2, 4001, 19997 - 12000)]
     out = skew.prefix_budget(df, ["key"], [F.col("id").desc()], "tokens", 5000).groupBy("key").agg(F.max("used_tokens").alias("u"), F.count("*").alias("n")).collect()
     assert all(4993 < r.u <= 5000 for r in out)
+
+
+def test_superseding_decisions_against_pairs_and_long_texts(spark):
+    from engramlake.operators import temporal as TE
+
+    r = random.Random(4)
+    rows = [(i, "t" if i % 3 else "u", " ".join(r.choice(["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta", f"own{i}"]) for _ in range(r.randint(1, 6))), dt.datetime(2024, 1, 1) + dt.timedelta(days=r.randint(0, 600))) for i in range(150)]
+    rows += [(900, "v", " ".join(f"w{i}" for i in range(20_000)), dt.datetime(2024, 1, 1)), (901, "v", "w5 w19999 w77 other", dt.datetime(2024, 2, 1)), (902, "v", "w5 w6 no", dt.datetime(2024, 1, 15))]
+    want = {}
+    for i, t, x, d in rows:
+        later = [(e, j) for j, u, y, e in rows if u == t and e > d and len(set(x.split()) & set(y.split())) >= 3]
+        if later:
+            want[i] = min(later)[1]
+    got = {x.decision_id: x.superseded_by for x in TE.superseding_decisions(spark.createDataFrame(rows, "decision_id long, topic string, text string, decided_at timestamp"), "topic", look=2).collect()}
+    assert got == want and got[900] == 901
