@@ -24,30 +24,53 @@ CUES = {
 }
 
 
-def mine_associations(mem: DataFrame, min_overlap: float = 0.3, cues: dict[str, list[str]] = CUES, threshold: float = 0.3) -> DataFrame:
-    """Typed links between memories of one topic whose words overlap.
+#: Two texts below this word overlap reach the total of 0.3 only by entities and closeness in time, or by resolution.
+OVERLAP, NEAR_DAYS = 0.3, 6
 
-    Candidates come from an exact set-similarity join inside the topic (no pairs without shared rare
-    words); copies of one text are linked through their first memory instead of to each other.
+
+def association_pairs(mem: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one topic that can reach a total of 0.3, found without forming the pairs of a topic.
+
+    With word overlap o, closeness t, entity overlap e and resolution part r the total is 0.3 o + 0.2 t + 0.2 e + 0.3 r:
+    * o >= 0.3: an exact set-similarity join; copies of one text are linked through their first memory;
+    * r = 0.8: memories of one conversation whose resolutions differ by one or two;
+    * else r = 0 and e + t > 1.05, so t > 0.05: a shared entity within six days, joined on entity and days.
     """
     sets = SIM.collapse(mem, "memory_id", X.word_list(F.col("content")), ["topic"])
     o = SIM.by_rarity(sets)
-    p = SIM.jaccard_pairs(o, o, ["topic"], min_overlap)
-    p = p.filter("a_id < b_id").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.col("score").alias("overlap"))
+    like = SIM.jaccard_pairs(o, o, ["topic"], OVERLAP).filter("a_id < b_id").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    c = mem.filter("conv_id is not null").select("topic", "conv_id", "resolution", "memory_id")
+    steps = c.withColumn("resolution", F.explode(F.array(*[F.col("resolution") + d for d in (1, 2)]))).withColumnRenamed("memory_id", "lower")
+    same = c.join(steps, ["topic", "conv_id", "resolution"]).select(F.least("lower", "memory_id").alias("a"), F.greatest("lower", "memory_id").alias("b"))
+    e = mem.select("topic", "memory_id", "created_at", F.explode(F.array_distinct(X.entity_set(F.col("content")))).alias("entity"), F.floor(F.unix_date(F.to_date("created_at")) / (NEAR_DAYS + 1)).alias("span"))
+    later = e.withColumn("span", F.explode(F.array(F.col("span") - 1, F.col("span"), F.col("span") + 1))).select("topic", "entity", "span", F.col("memory_id").alias("b"), F.col("created_at").alias("at"))
+    near = e.join(later, ["topic", "entity", "span"]).filter("memory_id < b").filter(F.abs(F.unix_micros("created_at") - F.unix_micros("at")) <= NEAR_DAYS * 86_400_000_000).select(F.col("memory_id").alias("a"), "b")
+    return like.union(same).union(near).distinct()
+
+
+def mine_associations(mem: DataFrame, cues: dict[str, list[str]] = CUES, threshold: float = 0.3) -> DataFrame:
+    """Typed links between memories of one topic: related by the total, summarizes by resolution, and by cue words.
+
+    ``threshold`` is at least 0.3, the least total for which ``association_pairs`` is complete.
+    """
+    if threshold < 0.3:
+        raise ValueError("pairs are complete from a total of 0.3 on")
     pad = X.padded(F.col("content"))
     marks = F.array_compact(F.array(*[F.when(X.has_phrase(F.col("_p"), ws), F.lit(t)) for t, ws in cues.items()]))
-    m = mem.withColumn("_p", pad).select("memory_id", "conv_id", "resolution", "created_at", X.entity_set(F.col("content")).alias("e"), marks.alias("k"))
+    m = mem.withColumn("_p", pad).select("memory_id", "conv_id", "resolution", "created_at", X.entity_set(F.col("content")).alias("e"), marks.alias("k"), F.array_distinct(X.word_list(F.col("content"))).alias("w"))
     side = lambda s: m.select(*[F.col(c).alias(f"{s}_{c}") for c in m.columns])
-    j = p.join(side("a"), F.col("a") == F.col("a_memory_id")).join(side("b"), F.col("b") == F.col("b_memory_id"))
+    j = association_pairs(mem).join(side("a"), F.col("a") == F.col("a_memory_id")).join(side("b"), F.col("b") == F.col("b_memory_id"))
+    j = j.withColumn("overlap", F.when((F.size("a_w") > 0) & (F.size("b_w") > 0), F.round(X.jaccard(F.col("a_w"), F.col("b_w")), 9)).otherwise(0.0)).drop("a_w", "b_w")
     gap = F.abs(F.unix_micros("a_created_at") - F.unix_micros("b_created_at")) / F.lit(86400000000.0)
     both = (F.size("a_e") > 0) & (F.size("b_e") > 0)
     diff = F.abs(F.col("a_resolution") - F.col("b_resolution"))
     same = F.col("a_conv_id") == F.col("b_conv_id")
     res = F.when(same & diff.between(1, 2), 0.8).when(same & (F.col("overlap") > 0.5), 0.6).otherwise(0.0)
     s = F.round(F.col("overlap") * 0.3 + F.exp(-gap / 2.0) * 0.2 + F.when(both, X.jaccard(F.col("a_e"), F.col("b_e"))).otherwise(0.0) * 0.2 + res * 0.3, 9)
+    j = j.withColumn("res", res).withColumn("s", s).filter((F.col("s") >= threshold) | (F.col("res") > 0.5))
     link = lambda t, v: F.struct(t.alias("type"), v.alias("strength"))
     links = F.concat(
-        F.array_compact(F.array(F.when(s >= threshold, link(F.lit("related"), s)), F.when(res > 0.5, link(F.lit("summarizes"), res)))),
+        F.array_compact(F.array(F.when(F.col("s") >= threshold, link(F.lit("related"), F.col("s"))), F.when(F.col("res") > 0.5, link(F.lit("summarizes"), F.col("res"))))),
         F.transform(F.array_union("a_k", "b_k"), lambda t: link(t, F.lit(0.7))))
     return j.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.explode(links).alias("l")).groupBy("src", "dst", "l.type").agg(F.max("l.strength").alias("strength"))
 
