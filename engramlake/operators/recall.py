@@ -7,6 +7,9 @@ is limited in every task before the shuffle.
 
 from __future__ import annotations
 
+import uuid
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -214,23 +217,45 @@ def document_frequency(index: DataFrame) -> DataFrame:
     return index.groupBy("token").agg(F.count("*").alias("df"))
 
 
-def bm25(q: DataFrame, index: DataFrame, stats: DataFrame | None = None, key: str = "memory_id") -> DataFrame:
+class TextIndex(NamedTuple):
+    """Postings, one row of corpus statistics and the document frequency of each token."""
+
+    postings: DataFrame
+    stats: DataFrame
+    frequency: DataFrame
+
+
+def store_index(mem: DataFrame, path: str, key: str = "memory_id", text: str = "content", buckets: int = 64) -> TextIndex:
+    """Write the index of a corpus once: postings bucketed by document, with the statistics beside them.
+
+    Sums per document over a bucketed table need no exchange.  ``buckets`` should grow with the corpus.
+    """
+    spark = mem.sparkSession
+    name = f"text_index_{uuid.uuid4().hex}"
+    text_index(mem, key, text).write.bucketBy(buckets, key).option("path", f"{path}/postings").saveAsTable(name)
+    postings = spark.table(name)
+    corpus_stats(postings, key).write.parquet(f"{path}/stats")
+    document_frequency(postings).write.parquet(f"{path}/frequency")
+    return TextIndex(postings, spark.read.parquet(f"{path}/stats"), spark.read.parquet(f"{path}/frequency"))
+
+
+def bm25(q: DataFrame, index: TextIndex | DataFrame, key: str = "memory_id") -> DataFrame:
     """BM25 of every (query, memory) pair that shares a term, and the greatest score the query could reach.
 
     Query terms are counted first: up to a bound they are broadcast and the postings stay where they are,
     so the sum of a pair is complete in the task that reads the document; beyond it the joins shuffle by term.
     """
-    stats = stats if stats is not None else corpus_stats(index, key)
+    if isinstance(index, DataFrame):
+        index = TextIndex(index, corpus_stats(index, key), document_frequency(index))
     terms = q.select("query_id", F.explode(F.array_distinct(X.search_tokens(F.col("text")))).alias("token"))
     n_terms = terms.count()
-    used = index.join(skew.broadcast_within(terms.select("token").distinct(), n_terms), "token", "left_semi")
-    n, avg = stats.select("n_docs").scalar(), stats.select("avg_dl").scalar()
+    n, avg = index.stats.select("n_docs").scalar(), index.stats.select("avg_dl").scalar()
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = terms.join(document_frequency(used), "token").select("query_id", "token", idf.alias("idf"))
+    weighted = index.frequency.join(skew.broadcast_within(terms, n_terms), "token").select("query_id", "token", idf.alias("idf"))
     norm = BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / avg)
     part = F.col("idf") * (F.col("tf") * (BM25_K1 + 1)) / (F.col("tf") + norm)
     best = weighted.groupBy("query_id").agg((F.sum("idf") * (BM25_K1 + 1)).alias("max_possible"))
-    scored = index.join(skew.broadcast_within(weighted, n_terms), "token").groupBy("query_id", key).agg(F.round(F.sum(part), 9).alias("score"))
+    scored = index.postings.join(skew.broadcast_within(weighted, n_terms), "token").groupBy("query_id", key).agg(F.round(F.sum(part), 9).alias("score"))
     return scored.join(skew.broadcast_within(best, n_terms), "query_id")
 
 
@@ -239,8 +264,8 @@ def top_scored(scored: DataFrame, k: int) -> DataFrame:
 
 
 def sessionise(df: DataFrame, keys: list[str], ts: str, order: str, gap_seconds: int = 300) -> DataFrame:
-    """Session number per key: a new one after ``gap_seconds`` of silence.  Cut by day, so no key is one task."""
-    d = df.withColumn("_d", F.to_date(ts))
+    """Session number per key: a new one after ``gap_seconds`` of silence.  Cut by hour, so no key (nor the whole stream, without keys) is one task."""
+    d = df.withColumn("_d", F.date_trunc("hour", ts))
     d = skew.neighbour(d, keys, "_d", [ts, order], [ts], "_p_")
     gap = (F.unix_micros(ts) - F.unix_micros(f"_p_{ts}")) > gap_seconds * 1000000
     d = d.withColumn("_g", F.coalesce(gap.cast("long"), F.lit(0)))

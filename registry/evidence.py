@@ -15,7 +15,7 @@ from registry import snippets as S
 from registry.compression import versions
 from registry.graph import bfs_sql
 from registry.lifecycle import NOW, sv
-from registry.recall import index, pool
+from registry.recall import index, stored_index, pool
 from registry.temporal import when_questions
 from registry.textfeatures import bigram_sql
 
@@ -126,7 +126,7 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_i
 @query("rank_nodes", "SELECT query_id, memory_id, CAST(depth AS INTEGER) AS depth, round(lexical, 6) AS lexical, round(score, 6) AS score, rank FROM rnodes")
 def rank_nodes(spark, d):
     q = B.recall_queries(spark, d)
-    top = materialise(H.top_scored(H.bm25(q, materialise(index(spark, d), "text-index")), 4).select(F.col("query_id").alias("set_id"), F.col("memory_id").alias("node")), "seeds")
+    top = materialise(H.top_scored(H.bm25(q, stored_index(spark, d)), 4).select(F.col("query_id").alias("set_id"), F.col("memory_id").alias("node")), "seeds")
     nodes = J.traverse_memories(top, B.edges(spark, d), B.memories(spark, d)).select(F.col("set_id").alias("query_id"), F.col("node").alias("memory_id"), "depth", "proximity")
     return r6(V.rank_nodes(q, nodes, sv(spark, d)), "lexical", "score")
 

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from engramlake.operators import recall as H
 from engramlake.operators import vectors as V
-from engramlake.session import AS_OF, materialise
+from engramlake.session import AS_OF, work_path
 from engramlake.sources import bindings as B
 from registry import EXTRA_CTES, query
 from registry import snippets as S
@@ -197,8 +197,19 @@ b AS (SELECT query_id, sum(idf) * 2.5 AS max_possible FROM w GROUP BY query_id),
 s AS (SELECT query_id, memory_id, round(sum(idf * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * dl / n.a))), 9) AS score FROM w JOIN idx USING (token), n GROUP BY query_id, memory_id) SELECT * FROM s JOIN b USING (query_id)"""
 
 
+_STORED: dict = {}
+
+
+def stored_index(spark, d):
+    """The index of a corpus is written once per application and read by every query over it."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STORED:
+        _STORED[key] = H.store_index(B.memories(spark, d), work_path(spark, "text-index"), buckets=16)
+    return _STORED[key]
+
+
 def scored(spark, d):
-    return H.bm25(_q(spark, d), materialise(index(spark, d), "text-index"))
+    return H.bm25(_q(spark, d), stored_index(spark, d))
 
 
 @query("corpus_stats", "SELECT count(*) AS n_docs, round(avg(dl), 6) AS avg_dl FROM (SELECT memory_id, max(dl) AS dl FROM idx GROUP BY memory_id)")
