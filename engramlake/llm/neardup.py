@@ -9,13 +9,12 @@ Plan. Equal sets collapse to their smallest id first, so copies are never paired
 verified against one pivot, the member that meets most others in its buckets. Links are grouped; afterwards a pair of
 one bucket can only still matter if its components differ and one of them is not the pivot's. Those pairs are formed
 through size classes, and only where an exact bound allows a link: shingles that no other candidate has cannot be
-shared, so a set of ``n`` shingles of which ``v`` are shared has an intersection of at most ``v`` with anything. So a
-bucket of thousands of copies costs one verification per member, and no link between different texts is lost by this
-pruning. Links are confirmed on the full sets. Grouping first runs union-find inside each partition, which leaves a
+shared, and the shared ones are split into those inside and outside the pivot's set. So a bucket of thousands of copies
+costs one verification per member, and no link between different texts is lost by this pruning. Links are confirmed on the full sets. Grouping first runs union-find inside each partition, which leaves a
 forest, then alternates large-star and small-star steps over the remaining links, cut by reliable checkpoints.
 
 Defined cases: null or blank texts have no set and stay alone; a null id links with nothing and is kept; rows that repeat
-an id count as one document with several texts; an empty table gives no rows; other columns are not read.
+an id keep one row each, grouped by their own texts; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -108,12 +107,16 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
+    """node, n, items of every text with words; the node is named after the digest of the set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for b in batches:
-            sets = [shingles(t.as_py()).view(np.int64) for t in b.column(1)]
-            yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "n", "items"])
+            sets = [x for t in b.column(0) if len(x := shingles(t.as_py()))]
+            yield pa.record_batch([pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["digest", "n", "items"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "node long, n long, items array<long>")
+    return docs.select("text").mapInArrow(run, "digest binary, n long, items array<long>").select(F.xxhash64("digest").alias("node"), "n", "items")
 
 
 def local_forest(links: DataFrame) -> DataFrame:
@@ -142,7 +145,7 @@ def local_forest(links: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, component (smallest node reachable) of every node that has a link in ``links`` (a, b)."""
+    """node, component (smallest node reachable, itself included) of every node that has a link in ``links`` (a, b)."""
     state, last = cut_lineage(local_forest(links).distinct()), None
     while True:
         mark = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -156,7 +159,8 @@ def components(links: DataFrame) -> DataFrame:
         # Small star: a node and its smaller neighbours get the least of them.
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         state = cut_lineage(large.join(small, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).distinct())
-    return state.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+    both = state.select(F.col("a").alias("node"), F.col("b").alias("component")).union(state.select("b", "b"))
+    return both.groupBy("node").agg(F.min("component").alias("component"))
 
 
 def _fits(n1: str, v1: str, n2: str, v2: str) -> str:
@@ -164,49 +168,59 @@ def _fits(n1: str, v1: str, n2: str, v2: str) -> str:
     return f"(100 + {PERCENT}) * least({v1}, {v2}) >= {PERCENT} * ({n1} + {n2})"
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the limit."""
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, both (size of the intersection of the full sets) and whether that links them."""
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("ai"))
     right = sets.select(F.col("node").alias("b"), F.col("items").alias("bi"))
-    both = F.size(F.array_intersect("ai", "bi"))
-    return pairs.join(left, "a").join(right, "b").filter(100 * both >= PERCENT * (F.size("ai") + F.size("bi") - both)).select("a", "b").distinct()
+    found = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("ai", "bi")).alias("both"), (F.size("ai") + F.size("bi")).alias("all"))
+    return found.select("a", "b", "both", (100 * F.col("both") >= PERCENT * (F.col("all") - F.col("both"))).alias("linked"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     ship(docs.sparkSession)
-    sig = materialise(signatures(docs), "nd-signatures")
-    reps = sig.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"))
+    sig = materialise(signatures(docs).withColumn("node", F.xxhash64("digest")), "nd-signatures")
+    reps = sig.filter("digest is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
     reps = materialise(reps, "nd-sets")
     banded = reps.select("node", F.explode("keys").alias("key"))
     buckets = banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     met = materialise(banded.join(buckets, "key"), "nd-buckets")
     nodes = met.groupBy("node").agg(F.sum("size").alias("meets"))
-    sets = materialise(shingle_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")), "nd-items")
+    # The ids to fetch grow with the input, so they are never broadcast: one shuffle of the texts, at every size.
+    wanted = reps.join(nodes, "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct().hint("merge")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sets = materialise(shingle_sets(texts.join(wanted, "doc_id", "left_semi")), "nd-items")
     own = sets.select("node", F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("c"), F.min("node").alias("node")).filter("c = 1")
     own = own.groupBy("node").agg(F.count("*").alias("own"))
     facts = sets.groupBy("node").agg(F.max("n").alias("n")).join(own, "node", "left").join(nodes, "node").select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("v"), "meets")
-    members = materialise(met.select("key", "node", "size").join(facts, "node"), "nd-members")
-    pivots = members.groupBy("key").agg(F.max(F.struct("meets", (-F.col("node")).alias("low"), "n", "v")).alias("p")).select("key", (-F.col("p.low")).alias("pivot"), F.col("p.n").alias("pn"), F.col("p.v").alias("pv"))
-    star = members.join(pivots, "key").filter("node <> pivot").filter(_fits("n", "v", "pn", "pv")).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = materialise(verified(star, sets), "nd-star")
+    members = materialise(met.join(facts, "node"), "nd-members")
+    pivots = members.groupBy("key").agg(F.max(F.struct("meets", "node", "n", "v")).alias("p")).select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.v").alias("pv"))
+    star = members.join(pivots, "key").filter("node <> pivot").filter(F.expr(_fits("n", "v", "pn", "pv")) | (F.col("size") > 2))
+    star = materialise(overlaps(star.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), sets).distinct(), "nd-star")
+    links = star.filter("linked").select("a", "b")
     first = components(links)
 
-    # What the pivots leave open: pairs of one bucket in different components, one of them outside the pivot's.
+    # What the pivots leave open: pairs of one bucket in different components, one of them outside the pivot's. What two
+    # members share lies inside the pivot's set (at most the lesser overlap with it) or outside (at most the lesser
+    # number of further shared shingles).
     ratio = F.log(F.lit(1.02))
-    lo = F.ceil(F.lit(PERCENT / 100) * F.col("n") - 1e-6)
-    hi = F.floor((100 + PERCENT) / PERCENT * F.col("v") - F.col("n") + 1e-6)
-    label = members.filter("size > 2").join(first, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-    centre = pivots.join(first.withColumnRenamed("node", "pivot"), "pivot", "left").select("key", "pivot", F.coalesce("component", "pivot").alias("centre"))
-    label = materialise(label.join(centre, "key").withColumn("cls", F.floor(F.log("n") / ratio)), "nd-labels")
-    outer = label.filter("comp <> centre and node <> pivot").withColumn("lo", lo).withColumn("hi", hi).filter("hi >= lo")
-    outer = outer.select("key", F.col("node").alias("a"), F.col("n").alias("an"), F.col("v").alias("av"), F.col("comp").alias("ac"), F.explode(F.sequence(F.floor(F.log("lo") / ratio), F.floor(F.log("hi") / ratio))).alias("cls"))
-    inner = label.filter("node <> pivot").select("key", "cls", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("v").alias("bv"), F.col("comp").alias("bc"))
-    rest = outer.join(inner, ["key", "cls"]).filter("ac <> bc").filter(_fits("an", "av", "bn", "bv")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    comp = components(links.union(verified(rest, sets)))
-
-    out = sig.join(reps.select("digest", "node"), "digest", "left").join(comp, "node", "left")
-    group = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "node", "doc_id")).cast("long")
+    label = members.filter("size > 2").join(pivots.select("key", "pivot"), "key").filter("node <> pivot")
+    label = label.join(star.select(F.col("a").alias("node"), F.col("b").alias("pivot"), F.col("both").alias("ip")), ["node", "pivot"])
+    label = label.join(first, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    label = label.join(first.select(F.col("node").alias("pivot"), F.col("component").alias("centre")), "pivot", "left").withColumn("centre", F.coalesce("centre", "pivot"))
+    label = materialise(label.select("key", "node", "n", "v", "ip", (F.col("v") - F.col("ip")).alias("o"), "comp", "centre", F.floor(F.log("n") / ratio).alias("cls")), "nd-labels")
+    lo, hi = F.ceil(F.lit(PERCENT / 100) * F.col("n") - 1e-6), F.floor((100 + PERCENT) / PERCENT * F.col("v") - F.col("n") + 1e-6)
+    side = lambda df, x: df.select("key", "cls", *[F.col(c).alias(x + c) for c in ("node", "n", "ip", "o", "comp")])
+    outer = label.filter("comp <> centre").withColumn("lo", lo).withColumn("hi", hi).filter("hi >= lo")
+    outer = side(outer.withColumn("cls", F.explode(F.sequence(F.floor(F.log("lo") / ratio), F.floor(F.log("hi") / ratio)))), "a")
+    fits = f"(100 + {PERCENT}) * (least(aip, bip) + least(ao, bo)) >= {PERCENT} * (an + bn)"
+    rest = outer.join(side(label, "b"), ["key", "cls"]).filter("acomp <> bcomp").filter(fits).select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b")).distinct()
+    comp = components(links.union(overlaps(rest, sets).filter("linked").select("a", "b")))
+
+    least = comp.join(reps.select("node", "rep"), "node")
+    least = least.join(least.groupBy("component").agg(F.min("rep").alias("smallest")), "component").select("node", "smallest")
+    out = sig.join(reps.select("node", "rep").join(least, "node", "left"), "node", "left")
+    group = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.coalesce("smallest", "rep")).cast("long")
     return out.select("doc_id", "n_shingles", group.alias("component_id"), F.coalesce(F.col("doc_id") == group, F.lit(True)).alias("kept"))
 
 
