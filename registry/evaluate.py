@@ -73,7 +73,7 @@ def lineitem_percentiles(spark, d):
     return r6(V.percentiles(B.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("name"), (F.col("l_extendedprice") / 1000).alias("value")), ["name"]), "mean", "median")
 
 
-@query("metric_percentiles_approx")
+@query("metric_percentiles_approx", "SELECT name, count(*) AS n, " + ", ".join(f"quantile_disc(value, {p / 100}) AS p{p}" for p in (50, 90, 95, 99)) + " FROM metrics GROUP BY name")
 def metric_percentiles_approx(spark, d):
     return V.approx_percentiles(metrics(spark, d), ["name"])
 

@@ -286,7 +286,12 @@ def context_parts(spark, d):
     return r6(parts(spark, d).select("query_id", "memory_id", "level", "tokens", "priority", "tier"), "priority")
 
 
-@query("tier_budget")
+@query("tier_budget", """WITH RECURSIVE p AS (SELECT query_id, memory_id, tokens, tier, row_number() OVER (PARTITION BY query_id ORDER BY level, -priority, memory_id, tokens, tier) AS rn FROM parts),
+f AS (SELECT DISTINCT query_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS h, CAST(0 AS BIGINT) AS m, CAST(0 AS BIGINT) AS l, CAST(NULL AS BIGINT) AS memory_id, CAST(NULL AS VARCHAR) AS tier, CAST(NULL AS BIGINT) AS tokens FROM p
+UNION ALL SELECT query_id, rn, h + CASE WHEN u = 'high' THEN t ELSE 0 END, m + CASE WHEN u = 'medium' THEN t ELSE 0 END, l + CASE WHEN u = 'low' THEN t ELSE 0 END, memory_id, u, t FROM
+ (SELECT p.query_id, p.rn, f.h, f.m, f.l, p.memory_id, p.tokens AS t, CASE WHEN p.tier = 'high' AND f.h + p.tokens <= 4000 THEN 'high' WHEN p.tier <> 'low' AND f.m + p.tokens <= 2800 THEN 'medium' WHEN f.l + p.tokens <= 1200 THEN 'low' END AS u
+  FROM f JOIN p ON p.query_id = f.query_id AND p.rn = f.rn + 1) x)
+SELECT query_id, memory_id, tier, tokens FROM f WHERE tier IS NOT NULL""")
 def tier_budget(spark, d):
     return I.tier_budget(parts(spark, d), 8000)
 
@@ -322,15 +327,25 @@ def allocation_priority(spark, d):
     return r6(aprio(spark, d).select("query_id", "memory_id", "relevance", "priority", "desired"), "relevance", "priority")
 
 
-@query("allocate_context")
+_alloc = """WITH RECURSIVE p AS (SELECT a.query_id, a.memory_id, a.priority, a.desired, a.tokens, x.compressed_tokens AS c, coalesce(x.compressed_tokens, y.compressed_tokens) AS s, row_number() OVER (PARTITION BY a.query_id ORDER BY -a.priority, a.memory_id) AS rn
+ FROM aprio a LEFT JOIN vers x ON x.memory_id = a.memory_id AND x.resolution = a.resolution + 1 LEFT JOIN vers y ON y.memory_id = a.memory_id AND y.resolution = a.resolution + 2),
+f AS (SELECT DISTINCT query_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS used, CAST(NULL AS BIGINT) AS memory_id, CAST(NULL AS VARCHAR) AS desired, CAST(NULL AS VARCHAR) AS level, CAST(NULL AS BIGINT) AS tokens, CAST(NULL AS DOUBLE) AS priority FROM p
+UNION ALL SELECT query_id, rn, used + t, memory_id, desired, level, t, priority FROM (SELECT *, CAST(CASE level WHEN 'full' THEN tokens WHEN 'compressed' THEN c WHEN 'summary' THEN s WHEN 'tag' THEN 8 ELSE 0 END AS BIGINT) AS t FROM
+ (SELECT p.*, f.used, CASE WHEN p.desired = 'full' AND f.used + p.tokens <= 3000 THEN 'full' WHEN p.desired IN ('full', 'compressed') AND f.used + p.c <= 3000 THEN 'compressed' WHEN p.desired <> 'tag' AND f.used + p.s <= 3000 THEN 'summary' WHEN f.used + 8 <= 3000 THEN 'tag' ELSE 'omit' END AS level
+  FROM f JOIN p ON p.query_id = f.query_id AND p.rn = f.rn + 1) x) y)
+"""
+
+
+@query("allocate_context", _alloc + "SELECT query_id, memory_id, desired, level, tokens FROM f WHERE level IS NOT NULL")
 def allocate_context(spark, d):
     return I.allocate(aprio(spark, d), versions(spark, d), 3000)
 
 
-@query("allocation_stats")
+@query("allocation_stats", _alloc + """SELECT query_id, CAST(sum(tokens) AS BIGINT) AS used_tokens, count(*) FILTER (level = 'full') AS full, count(*) FILTER (level = 'compressed') AS compressed, count(*) FILTER (level = 'summary') AS summary, count(*) FILTER (level = 'tag') AS tag, count(*) FILTER (level = 'omit') AS omit,
+ round(CASE WHEN sum(tokens) > 0 THEN sum(priority) FILTER (level <> 'omit') / sum(tokens) ELSE 0.0 END, 6) AS utility_per_token FROM f WHERE level IS NOT NULL GROUP BY query_id""".replace(" AS full,", ' AS "full",'))
 def allocation_stats(spark, d):
     p = aprio(spark, d)
-    return I.allocation_stats(I.allocate(p, versions(spark, d), 3000), p)
+    return r6(I.allocation_stats(I.allocate(p, versions(spark, d), 3000), p), "utility_per_token")
 
 
 @query("dense_context")

@@ -101,7 +101,11 @@ def rank_utility(spark, d):
     return r6(rutil(spark, d).select("query_id", "memory_id", "relevance", "recency", "score"), "relevance", "recency", "score")
 
 
-@query("greedy_fill")
+@query("greedy_fill", """WITH RECURSIVE v AS (SELECT memory_id, list({'r': resolution, 't': compressed_tokens} ORDER BY resolution) AS vs FROM vers WHERE resolution IN (1, 3, 4, 5) GROUP BY memory_id),
+p AS (SELECT query_id, memory_id, list_concat([{'r': resolution, 't': tokens}], coalesce(list_filter(vs, lambda x: x.r > resolution), [])) AS forms, row_number() OVER (PARTITION BY query_id ORDER BY -score, memory_id) AS rn FROM rutil LEFT JOIN v USING (memory_id)),
+f AS (SELECT DISTINCT query_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS used, CAST(NULL AS BIGINT) AS memory_id, CAST(NULL AS INTEGER) AS resolution, CAST(NULL AS BIGINT) AS tokens FROM p
+UNION ALL SELECT query_id, rn, used + coalesce(fit.t, 0), memory_id, fit.r, fit.t FROM (SELECT p.query_id, p.rn, f.used, p.memory_id, list_filter(p.forms, lambda x: f.used + x.t <= 2000)[1] AS fit FROM f JOIN p ON p.query_id = f.query_id AND p.rn = f.rn + 1) x)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rn) - 1 AS pos, memory_id, resolution, tokens FROM f WHERE tokens IS NOT NULL""")
 def greedy_fill(spark, d):
     return H.greedy_fill(rutil(spark, d), versions(spark, d), 2000)
 
