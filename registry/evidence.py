@@ -154,7 +154,11 @@ def widen_selection(spark, d):
     return widened(spark, d)
 
 
-@query("diverse_select")
+@query("diverse_select", f"""WITH RECURSIVE p AS (SELECT query_id, message_id, conv_id, rank, CAST(least(len({S.space_words('text')}), CASE WHEN role = 'assistant' THEN 35 ELSE 120 END) AS BIGINT) AS tokens, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rn FROM erank JOIN notes USING (message_id) WHERE rank <= 60),
+f AS (SELECT DISTINCT query_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS used, CAST([] AS BIGINT[]) AS convs, CAST(NULL AS BIGINT) AS message_id, CAST(NULL AS BIGINT) AS conv_id, CAST(NULL AS BIGINT) AS rank, CAST(NULL AS BIGINT) AS tokens FROM p
+UNION ALL SELECT query_id, rn, CASE WHEN ok THEN used + tokens ELSE used END, CASE WHEN ok THEN list_append(convs, conv_id) ELSE convs END, CASE WHEN ok THEN message_id END, conv_id, rank, tokens FROM
+ (SELECT p.*, f.used, f.convs, (f.used + p.tokens <= 250 OR len(f.convs) = 0) AND len(list_filter(f.convs, lambda c: c = p.conv_id)) < 2 AS ok FROM f JOIN p ON p.query_id = f.query_id AND p.rn = f.rn + 1) x)
+SELECT query_id, message_id, conv_id, rank, tokens FROM f WHERE message_id IS NOT NULL""")
 def diverse_select(spark, d):
     return V.diverse_select(V.rank_evidence(ask(spark, d), B.notes(spark, d), 60), B.notes(spark, d))
 
@@ -382,7 +386,19 @@ def retain_chains(spark, d):
     return J.retain_chains(q, V.rank_evidence(q, n, 5).select("query_id", F.col("message_id").alias("fact_id")), chain_facts(spark, d))
 
 
-@query("expand_hops")
+def _hops_sql(hops=3, per_hop=15):
+    """Hops one after the other: a query goes on while its newest rows hold a referent."""
+    parts = ["""x AS MATERIALIZED (SELECT message_id AS node, next FROM (SELECT message_id, lead(message_id) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM notes) WHERE next IS NOT NULL),
+st AS MATERIALIZED (SELECT node, next FROM x UNION SELECT next, node FROM x), h0 AS MATERIALIZED (SELECT query_id, message_id AS node, 0 AS hop FROM erank WHERE rank <= 5)"""]
+    for h in range(1, hops + 1):
+        seen = " UNION ALL ".join(f"SELECT query_id, node FROM h{i}" for i in range(h))
+        parts.append(f"""h{h} AS MATERIALIZED (SELECT query_id, node, {h} AS hop FROM (SELECT DISTINCT f.query_id, st.next AS node FROM h{h - 1} f JOIN st ON st.node = f.node
+ WHERE f.query_id IN (SELECT g.query_id FROM h{h - 1} g JOIN notes n ON n.message_id = g.node WHERE regexp_matches(n.text, '(?i)plan|server|team'))) y
+ WHERE NOT EXISTS (SELECT 1 FROM ({seen}) s WHERE s.query_id = y.query_id AND s.node = y.node) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY node) <= {per_hop})""")
+    return "WITH " + ",\n".join(parts) + " " + " UNION ALL ".join(f"SELECT query_id, node, CAST(hop AS INTEGER) AS hop FROM h{i}" for i in range(hops + 1))
+
+
+@query("expand_hops", _hops_sql())
 def expand_hops(spark, d):
     q, n, f = ask(spark, d), B.notes(spark, d), B.facts(spark, d)
     pool_ = V.rank_evidence(q, n, 5).select("query_id", F.col("message_id").alias("node"))
