@@ -23,6 +23,10 @@ IRREGULAR_STEMS = {
     "written": "write", "wrote": "write", "spoken": "speak", "spoke": "speak", "taught": "teach", "heard": "hear",
     "married": "marry", "marriage": "marry",
 }
+TEMPORAL_TYPES, STATE_TYPES, COMPOSITION_TYPES = ["temporal", "temporal-reasoning"], ["knowledge-update"], ["multi-hop", "multi-session"]
+TEMPORAL_QUESTIONS = ["how many days", "how many weeks", "how many months", "order from first to last", "which event happened first"]
+STATE_QUESTIONS = ["currently", "now", "previously", "used to", "updated"]
+COMPOSITION_QUESTIONS = ["where did", "why did", "what country", "who is", "how did"]
 IR_PATTERNS = {
     "decision": r"decid\w+|choos\w+|select\s+\w+|adopt\s+\w+|reject\s+\w+|go with|settle on|finaliz\w+",
     "reasoning": "because|reason|since|therefore|thus|logic|rationale|why",

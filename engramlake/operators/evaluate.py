@@ -136,16 +136,17 @@ def attribute_failures(s: DataFrame) -> DataFrame:
 
 
 def failure_taxonomy(s: DataFrame) -> DataFrame:
-    """Failure class of wrong answers (question, text, context, oracle_recall, expected_abstention, outcome)."""
+    """Failure class of wrong answers (question, text, context, oracle_recall, expected_abstention, outcome, question_type)."""
+    kind = F.coalesce(F.col("question_type"), F.lit("")) if "question_type" in s.columns else F.lit("")
     ql, al = F.lower("question"), F.lower("text")
     words = F.filter(X.space_words(F.col("text")), lambda w: F.length(w) > 4)
     ungrounded = (F.size(X.space_words(F.col("text"))) > 2) & ~F.exists(words, lambda w: F.lower("context").contains(w))
     c = X.label(
         (F.col("expected_abstention") & ~X.contains_any(al, ["none", "not mentioned", "unknown", "i don't know"]), "abstention"),
         (~F.col("expected_abstention") & X.contains_any(al, ["i don't know", "not mentioned"]) & F.col("oracle_recall"), "abstention"),
-        (X.contains_any(ql, ["how many days", "how many weeks", "how many months", "order from first to last", "which event happened first"]), "temporal"),
-        (X.contains_any(ql, ["currently", "now", "previously", "used to", "updated"]), "state"),
-        (X.contains_any(ql, ["where did", "why did", "what country", "who is", "how did"]) & F.col("oracle_recall"), "composition"),
+        (kind.isin(L.TEMPORAL_TYPES) | X.contains_any(ql, L.TEMPORAL_QUESTIONS), "temporal"),
+        (kind.isin(L.STATE_TYPES) | X.contains_any(ql, L.STATE_QUESTIONS), "state"),
+        ((kind.isin(L.COMPOSITION_TYPES) | X.contains_any(ql, L.COMPOSITION_QUESTIONS)) & F.col("oracle_recall"), "composition"),
         (~F.col("oracle_recall"), "retrieval"), (X.contains_any(al, ["her home country", "her dog", "the country", "his"]), "entity"), (ungrounded, "verification"), default="grounding")
     return s.filter("outcome <> 'pass'").withColumn("failure", c)
 

@@ -30,8 +30,16 @@ ASSERTION = r"(?i)(?:the\s+)?([a-zA-Z0-9_\s]+?)\s+(?:actually\s+runs\s+on|runs\s
 ENTITY_NAME = r"(?i)(?:project|user|team)\s+([a-z]*[0-9_-][a-z0-9_-]*|alpha)"
 
 
-def extract_facts(msg: DataFrame, entity_pattern: str = ENTITY_NAME) -> DataFrame:
-    """One fact per turn; the first sentence pattern that matches decides.  A narrow pass of expressions."""
+PROJECT_PREFIX = r"(?i)^(?:project\s+[a-zA-Z0-9_-]+\s+|the\s+)"
+ROLES = ["user", "assistant", "teammate", "general"]
+
+
+def extract_facts(msg: DataFrame, entity_pattern: str = ENTITY_NAME, default_source: Column | None = None) -> DataFrame:
+    """One fact per turn; the first sentence pattern that matches decides.  A narrow pass of expressions.
+
+    ``default_source`` names who speaks where the text does not tell; a name that is no role is also the entity of a
+    turn that names none.
+    """
     t = X.strip(F.col("text"))
     low = F.lower(t)
     got = lambda pat, i: F.trim(F.regexp_extract(t, pat, i))
@@ -43,7 +51,7 @@ def extract_facts(msg: DataFrame, entity_pattern: str = ENTITY_NAME) -> DataFram
         (old if old is not None else F.lit(None).cast("string")).alias("old_value"), F.lit(status).alias("status"))
     setting = F.coalesce(none(got(SETTING, 1)), none(got(SETTING, 2)), none(got(SETTING, 3)), F.lit("tool"))
     f = (
-        F.when(t.rlike(MIGRATION), fact("migrated", tidy(got(MIGRATION, 1)), value_of(got(MIGRATION, 3)), none(got(MIGRATION, 2))))
+        F.when(t.rlike(MIGRATION), fact("migrated", tidy(F.regexp_replace(got(MIGRATION, 1), PROJECT_PREFIX, "")), value_of(got(MIGRATION, 3)), none(got(MIGRATION, 2))))
         .when(t.rlike(NEGATION), fact("never", tidy(got(NEGATION, 1)), F.lit("none"), status="unspecified"))
         .when(t.rlike(LOCATION), fact("located_at", F.lit("location"), got(LOCATION, 1)))
         .when(t.rlike(HABIT), fact("prefers", F.lit("drinks"), got(HABIT, 1)))
@@ -53,9 +61,11 @@ def extract_facts(msg: DataFrame, entity_pattern: str = ENTITY_NAME) -> DataFram
         .otherwise(fact("asserts", F.lit("statement"), t))
     )
     name = F.regexp_extract(low, entity_pattern, 1)
-    source = X.label((low.contains("teammate reported"), "teammate"), (low.contains("assistant"), "assistant"), default="user")
+    said = default_source if default_source is not None else F.lit("user")
+    source = F.when(low.contains("teammate reported"), "teammate").when(low.contains("assistant"), "assistant").otherwise(said)
+    speaker = F.when(~F.lower(said).isin(ROLES), F.lower(said))
     return msg.filter(t != "").select(
-        F.col("message_id").alias("fact_id"), F.when(name != "", name).otherwise(F.lit("general")).alias("entity"), source.alias("source"),
+        F.col("message_id").alias("fact_id"), F.when(name != "", name).otherwise(F.coalesce(speaker, F.lit("general"))).alias("entity"), source.alias("source"),
         F.col("created_at").alias("ts"), t.alias("raw"), f.alias("f")).select("fact_id", "entity", "f.*", "source", "ts", "raw")
 
 

@@ -1,5 +1,7 @@
 from pyspark.sql import functions as F
 
+from engramlake.functions import lexicons as L
+from engramlake.functions.text import pick
 from engramlake.operators import evaluate as V
 from engramlake.operators import graph as J
 from engramlake.sources import bindings as B
@@ -178,14 +180,14 @@ def attribute_failures(spark, d):
 _al, _ql = "lower(text)", "lower(question)"
 
 
-@query("failure_taxonomy", f"""WITH a AS (SELECT *, in_context AS oracle_recall FROM fails WHERE outcome <> 'pass'),
+@query("failure_taxonomy", f"""WITH a AS (SELECT *, in_context AS oracle_recall, ['single', 'temporal-reasoning', 'knowledge-update', 'multi-hop', 'single', 'multi-session'][1 + question_id % 6] AS kind FROM fails WHERE outcome <> 'pass'),
 c AS (SELECT CASE WHEN expected_abstention AND NOT {S.contains_any(_al, ['none', 'not mentioned', 'unknown', "i don't know"])} THEN 'abstention' WHEN NOT expected_abstention AND {S.contains_any(_al, ["i don't know", 'not mentioned'])} AND oracle_recall THEN 'abstention'
- WHEN {S.contains_any(_ql, ['how many days', 'how many weeks', 'how many months', 'order from first to last', 'which event happened first'])} THEN 'temporal' WHEN {S.contains_any(_ql, ['currently', 'now', 'previously', 'used to', 'updated'])} THEN 'state'
- WHEN {S.contains_any(_ql, ['where did', 'why did', 'what country', 'who is', 'how did'])} AND oracle_recall THEN 'composition' WHEN NOT oracle_recall THEN 'retrieval' WHEN {S.contains_any(_al, ['her home country', 'her dog', 'the country', 'his'])} THEN 'entity'
+ WHEN kind = 'temporal-reasoning' OR {S.contains_any(_ql, L.TEMPORAL_QUESTIONS)} THEN 'temporal' WHEN kind = 'knowledge-update' OR {S.contains_any(_ql, L.STATE_QUESTIONS)} THEN 'state'
+ WHEN (kind IN ('multi-hop', 'multi-session') OR {S.contains_any(_ql, L.COMPOSITION_QUESTIONS)}) AND oracle_recall THEN 'composition' WHEN NOT oracle_recall THEN 'retrieval' WHEN {S.contains_any(_al, ['her home country', 'her dog', 'the country', 'his'])} THEN 'entity'
  WHEN len({S.space_words('text')}) > 2 AND len(list_filter({S.space_words('text')}, lambda w: length(w) > 4 AND contains(lower(context), w))) = 0 THEN 'verification' ELSE 'grounding' END AS failure FROM a)
 SELECT failure, count(*) AS n FROM c GROUP BY failure""")
 def failure_taxonomy(spark, d):
-    return V.failure_taxonomy(fails(spark, d).withColumn("oracle_recall", F.col("in_context"))).groupBy("failure").agg(F.count("*").alias("n"))
+    return V.failure_taxonomy(fails(spark, d).withColumn("oracle_recall", F.col("in_context")).withColumn("question_type", pick(["single", "temporal-reasoning", "knowledge-update", "multi-hop", "single", "multi-session"], F.expr("question_id % 6")))).groupBy("failure").agg(F.count("*").alias("n"))
 
 
 @query("compare_runs", """WITH g AS (SELECT CAST(day(ts) AS INTEGER) AS run, name, avg(value) AS value FROM metrics GROUP BY ALL)

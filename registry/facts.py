@@ -21,7 +21,7 @@ def _extract_sql():
     setting = f"coalesce(nullif({g(E.SETTING, 1)}, ''), nullif({g(E.SETTING, 2)}, ''), nullif({g(E.SETTING, 3)}, ''), 'tool')"
     return f"""
 WITH a AS (SELECT message_id, created_at, {t} AS t FROM notes),
-b AS (SELECT *, CASE WHEN {m(E.MIGRATION)} THEN {st('migrated', tidy(g(E.MIGRATION, 1)), val(g(E.MIGRATION, 3)), f"nullif({g(E.MIGRATION, 2)}, '')")}
+b AS (SELECT *, CASE WHEN {m(E.MIGRATION)} THEN {st('migrated', tidy(f"regexp_replace({g(E.MIGRATION, 1)}, {S.q(E.PROJECT_PREFIX)}, '')"), val(g(E.MIGRATION, 3)), f"nullif({g(E.MIGRATION, 2)}, '')")}
  WHEN {m(E.NEGATION)} THEN {st('never', tidy(g(E.NEGATION, 1)), "'none'", s='unspecified')} WHEN {m(E.LOCATION)} THEN {st('located_at', "'location'", g(E.LOCATION, 1))}
  WHEN {m(E.HABIT)} THEN {st('prefers', "'drinks'", g(E.HABIT, 1))} WHEN {m(E.SETTING)} THEN {st('prefers', tidy(setting), val(g(E.SETTING, 4)))}
  WHEN {beh} THEN {st('behavior', "'behavior_tendency'", 't')} WHEN {m(E.ASSERTION)} THEN {st('asserts', tidy(g(E.ASSERTION, 1)), val(g(E.ASSERTION, 2)))}
