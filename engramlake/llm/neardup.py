@@ -182,7 +182,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sig = materialise(signatures(docs).withColumn("node", F.xxhash64("digest")), "nd-signatures")
     reps = sig.filter("digest is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
     reps = materialise(reps, "nd-sets")
-    banded = reps.select("node", F.explode("keys").alias("key"))
+    banded = reps.select("node", F.posexplode("keys").alias("band", "key"))
     buckets = banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     met = materialise(banded.join(buckets, "key"), "nd-buckets")
     nodes = met.groupBy("node").agg(F.sum("size").alias("meets"))
@@ -202,19 +202,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     # What the pivots leave open: pairs of one bucket in different components, one of them outside the pivot's. What two
     # members share lies inside the pivot's set (at most the lesser overlap with it) or outside (at most the lesser
-    # number of further shared shingles).
+    # number of further shared shingles). A pair that meets in several buckets is formed in the first of them only.
     ratio = F.log(F.lit(1.02))
     label = members.filter("size > 2").join(pivots.select("key", "pivot"), "key").filter("node <> pivot")
     label = label.join(star.select(F.col("a").alias("node"), F.col("b").alias("pivot"), F.col("both").alias("ip")), ["node", "pivot"])
     label = label.join(first, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
     label = label.join(first.select(F.col("node").alias("pivot"), F.col("component").alias("centre")), "pivot", "left").withColumn("centre", F.coalesce("centre", "pivot"))
-    label = materialise(label.select("key", "node", "n", "v", "ip", (F.col("v") - F.col("ip")).alias("o"), "comp", "centre", F.floor(F.log("n") / ratio).alias("cls")), "nd-labels")
+    label = label.join(reps.select("node", "keys"), "node").withColumn("earlier", F.slice("keys", F.lit(1), F.col("band")))
+    label = materialise(label.select("key", "earlier", "node", "n", "v", "ip", (F.col("v") - F.col("ip")).alias("o"), "comp", "centre", F.floor(F.log("n") / ratio).alias("cls")), "nd-labels")
     lo, hi = F.ceil(F.lit(PERCENT / 100) * F.col("n") - 1e-6), F.floor((100 + PERCENT) / PERCENT * F.col("v") - F.col("n") + 1e-6)
-    side = lambda df, x: df.select("key", "cls", *[F.col(c).alias(x + c) for c in ("node", "n", "ip", "o", "comp")])
+    side = lambda df, x: df.select("key", "cls", *[F.col(c).alias(x + c) for c in ("node", "n", "ip", "o", "comp", "earlier")])
     outer = label.filter("comp <> centre").withColumn("lo", lo).withColumn("hi", hi).filter("hi >= lo")
     outer = side(outer.withColumn("cls", F.explode(F.sequence(F.floor(F.log("lo") / ratio), F.floor(F.log("hi") / ratio)))), "a")
     fits = f"(100 + {PERCENT}) * (least(aip, bip) + least(ao, bo)) >= {PERCENT} * (an + bn)"
-    rest = outer.join(side(label, "b"), ["key", "cls"]).filter("acomp <> bcomp").filter(fits).select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b")).distinct()
+    rest = outer.join(side(label, "b"), ["key", "cls"]).filter("acomp <> bcomp").filter(fits).filter("not arrays_overlap(aearlier, bearlier)").select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b")).distinct()
     comp = components(links.union(overlaps(rest, sets).filter("linked").select("a", "b")))
 
     least = comp.join(reps.select("node", "rep"), "node")
