@@ -27,6 +27,12 @@ TEMPORAL_TYPES, STATE_TYPES, COMPOSITION_TYPES = ["temporal", "temporal-reasonin
 TEMPORAL_QUESTIONS = ["how many days", "how many weeks", "how many months", "order from first to last", "which event happened first"]
 STATE_QUESTIONS = ["currently", "now", "previously", "used to", "updated"]
 COMPOSITION_QUESTIONS = ["where did", "why did", "what country", "who is", "how did"]
+RECENCY_QUESTIONS = ["recent", "now", "current", "currently", "latest", "updated"]
+MONEY_QUESTIONS = ["money", "spent", "spend", "cost", "price", "dollar", "$", "expense", "expenses", "fee", "pay", "paid"]
+MONEY_FOCUS = ["bike", "hotel", "car", "trip", "plant", "doctor", "clothing", "clothes", "shoe", "shoes"]
+COUNT_QUESTIONS = ["how many", "how much", "total", "count"]
+QUANTITY = r"\b(?:\d+|one|two|three|four|five|six|seven|eight|nine|ten)\b"
+DIRECT_RELATIONS = ["asserts", "prefers", "located_at"]
 IR_PATTERNS = {
     "decision": r"decid\w+|choos\w+|select\s+\w+|adopt\s+\w+|reject\s+\w+|go with|settle on|finaliz\w+",
     "reasoning": "because|reason|since|therefore|thus|logic|rationale|why",

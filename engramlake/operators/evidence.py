@@ -22,6 +22,7 @@ RECENT = ["yesterday", "recent", "recently", "last week", "last month"]
 # Words of actions.
 ACTIONS = ["visit", "travel", "buy", "bought", "meet", "met", "graduated", "start", "started", "lead", "play", "book", "move", "moved"]
 TIME_INTENT = ["when", "how many days", "how many weeks", "date", "month", "year", "first", "last", "order"]
+TARGET_DATE = r"\b(\d{4})[-/](\d{2})[-/](\d{2})\b"
 DATE_TEXT = r"\d{4}[-/]\d{2}[-/]\d{2}|\d{1,2} [A-Z][a-z]+ \d{4}"
 CONCEPTS = {"items": ["bought", "spent"], "plan": ["adopt", "prefer"], "review": ["meeting", "alpha"]}
 # Weights of the evidence score and of the ranked evidence.
@@ -92,7 +93,11 @@ def wide_slice(q: DataFrame, msg: DataFrame, per_channel: int = 40, actions=ACTI
 
 
 def evidence_score(q: DataFrame, msg: DataFrame, concepts: dict[str, list[str]] = CONCEPTS, weights: dict[str, float] = SCORE_WEIGHTS) -> DataFrame:
-    """Multi-part score of every (question, turn) pair that shares a stem, with its parts."""
+    """Multi-part score of every (question, turn) pair that shares a stem, with its parts.
+
+    ``msg`` may bring the relation of the fact a turn states (``relation``); without it no turn counts as a direct statement.
+    """
+    relation = F.col("relation") if "relation" in msg.columns else F.lit(None).cast("string")
     n = msg.select(F.count("*")).scalar()
     st = lambda c: X.stem(c, L.IRREGULAR_STEMS)
     qt = q.select("query_id", F.explode(F.filter(X.word_set(F.col("text"), 3), lambda w: ~w.isin(L.STOP_WORDS))).alias("term")).withColumn("stem", st(F.col("term")))
@@ -105,7 +110,7 @@ def evidence_score(q: DataFrame, msg: DataFrame, concepts: dict[str, list[str]]
         F.sum(F.coalesce("exact", F.lit(6.0))).alias("idf"), F.sum(F.when(F.col("exact").isNotNull(), 1.0).otherwise(0.8)).alias("matched"))
     pad = F.col("_p")
     turn = msg.withColumn("_p", X.padded(F.col("text"))).select(
-        "message_id", "conv_id", "turn", "role", "speaker", "created_at", pad.alias("pad"), X.has_phrase(pad, FIRST_PERSON).alias("me"), F.col("text").rlike(r"\d").alias("num"),
+        "message_id", "conv_id", "turn", "role", "speaker", "created_at", relation.alias("relation"), pad.alias("pad"), X.has_phrase(pad, FIRST_PERSON).alias("me"), F.col("text").rlike(r"\d").alias("num"),
         F.filter(F.array(*[F.lit(m) for m in MONTHS]), lambda m: pad.contains(F.concat(F.lit(" "), m, F.lit(" ")))).alias("months"), X.has_phrase(pad, RECENT + ["ago"]).alias("recent"),
         F.array_compact(F.array(*[F.when(X.has_phrase(pad, ws), F.lit(c)) for c, ws in concepts.items()])).alias("concepts"))
     qpad = X.padded(F.col("text"))
@@ -122,7 +127,7 @@ def evidence_score(q: DataFrame, msg: DataFrame, concepts: dict[str, list[str]]
         "entity": 20.0 * F.size(F.filter("names", lambda e: ~e.isin(L.STOP_WORDS) & inside(e))),
         "actor": F.when(mine, 15.0 + F.when(F.col("me"), 10.0).otherwise(0.0)).when(inside(F.col("subject")), 12.0).when(F.col("me"), -8.0).otherwise(0.0),
         "temporal": 12.0 * X.overlap(F.col("months"), F.col("qmonths")) + F.when(F.col("recent") & F.col("qrecent"), 10.0).otherwise(0.0),
-        "provenance": F.when(F.col("role") == "user", 5.0).otherwise(0.0) + F.when(F.col("num"), 3.0).otherwise(0.0),
+        "provenance": F.when(F.col("relation").isin(L.DIRECT_RELATIONS), 5.0).otherwise(0.0) + F.when(F.col("num"), 3.0).otherwise(0.0),
     }
     j = j.withColumns({k: c.cast("double") for k, c in parts.items()})
     score = reduce(lambda a, b: a + b, [F.col(k) * v for k, v in weights.items()])
@@ -134,16 +139,31 @@ def top_evidence(scored: DataFrame, k: int) -> DataFrame:
 
 
 def rank_evidence(q: DataFrame, msg: DataFrame, k: int = 10) -> DataFrame:
-    """Overlap with half points for a shared four-letter beginning, plus speaker priority and graph constant."""
+    """Overlap with half points for a shared four-letter beginning, entity priority, date or recency, quantities and hops.
+
+    ``msg`` may bring the entity of the fact a turn states (``entity``) and its distance in hops (``hop``).
+    """
     qt = q.select("query_id", F.explode(F.filter(X.word_set(F.col("text"), 3), lambda w: ~w.isin(L.STOP_WORDS))).alias("term")).withColumn("g", F.substring("term", 1, 4))
     total = qt.groupBy("query_id").agg(F.count("*").alias("n"))
     w = msg.select("message_id", F.explode(X.word_set(F.col("text"), 3)).alias("word")).withColumn("g", F.substring("word", 1, 4))
     p = qt.join(w, "g").groupBy("query_id", "message_id", "term").agg(F.max((F.col("term") == F.col("word")).cast("int")).alias("exact"), F.max((F.length("word") >= 4).cast("int")).alias("long"))
     value = F.when(F.col("exact") == 1, 1.0).when((F.length("term") >= 4) & (F.col("long") == 1), 0.5).otherwise(0.0)
     s = p.groupBy("query_id", "message_id").agg(F.sum(value).alias("v")).filter("v > 0").join(total, "query_id")
-    j = s.join(msg.select("message_id", F.lower("speaker").alias("sp"), X.padded(F.col("text")).alias("pad")), "message_id").join(q.select("query_id", F.lower("subject").alias("su")), "query_id")
-    e = F.when(F.col("sp") == F.col("su"), 15.0).when(F.col("pad").contains(F.concat(F.lit(" "), F.col("su"), F.lit(" "))), 4.0).otherwise(0.0)
-    j = j.select("query_id", "message_id", F.round(F.col("v") / F.col("n") * 10.0 + 2.5 * e + 10.0, 9).alias("score"))
+    entity = F.lower("entity") if "entity" in msg.columns else F.lit("")
+    hop = F.coalesce(F.col("hop"), F.lit(0)) if "hop" in msg.columns else F.lit(0)
+    low, ql = F.lower("text"), F.lower("text")
+    has = lambda c, words: X.contains_any(c, words)
+    turn = msg.select("message_id", F.lower("speaker").alias("sp"), X.padded(F.col("text")).alias("pad"), low.alias("low"), entity.alias("en"), hop.alias("hop"), F.to_date("created_at").alias("day"),
+                      F.regexp_like(low, F.lit(L.QUANTITY)).alias("quantity"))
+    focus = F.filter(F.array(*[F.lit(w) for w in L.MONEY_FOCUS]), lambda w: F.contains(ql, w))
+    ask = q.select("query_id", F.lower("subject").alias("su"), F.regexp_extract("text", TARGET_DATE, 0).alias("target"), has(ql, L.RECENCY_QUESTIONS).alias("recent"), has(ql, L.MONEY_QUESTIONS).alias("money"), focus.alias("focus"), has(ql, L.COUNT_QUESTIONS).alias("counts"))
+    j = s.join(turn, "message_id").join(ask, "query_id")
+    e = F.when(F.col("sp") == F.col("su"), 15.0).when(F.contains("en", F.col("su")), 10.0).when(F.col("pad").contains(F.concat(F.lit(" "), F.col("su"), F.lit(" "))), 4.0).otherwise(0.0)
+    dated = F.contains(F.date_format("day", "yyyy-MM-dd"), F.col("target")) | F.contains("low", F.col("target"))
+    t = F.when(F.col("target") != "", F.when(dated, 10.0).otherwise(0.0)).when(F.col("recent"), F.greatest(F.lit(0.0), (F.year("day") - 2020) * 1.5 + F.month("day") / 12.0)).otherwise(0.0)
+    about = (F.size("focus") == 0) | F.exists("focus", lambda w: F.contains(F.col("low"), w))
+    bonus = F.when(F.col("money"), F.when(about & has(F.col("low"), ["$", "dollar"]), 25.0).when(about & has(F.col("low"), ["spent", "cost", "price", "paid"]), 10.0).otherwise(0.0)).when(F.col("counts") & F.col("quantity"), 5.0).otherwise(0.0)
+    j = j.select("query_id", "message_id", F.round(F.col("v") / F.col("n") * 10.0 + bonus + 2.5 * e + 1.5 * F.coalesce(t, F.lit(0.0)) + 10.0 / (1.0 + F.col("hop")), 9).alias("score"))
     return top_evidence(j, k)
 
 

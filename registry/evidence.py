@@ -9,6 +9,7 @@ from engramlake.operators import lifecycle as K
 from engramlake.operators import recall as H
 from engramlake.plans import composite as P
 from engramlake.session import AS_OF, materialise
+from engramlake.operators.facts import extract_facts
 from engramlake.sources import bindings as B
 from registry import EXTRA_CTES, query
 from registry import snippets as S
@@ -85,16 +86,23 @@ _conc = lambda keys, words: "list_filter([" + ", ".join(f"CASE WHEN {S.has_phras
 EXTRA_CTES["escore"] = f"""WITH qt AS (SELECT query_id, term, {S.stem('term', L.IRREGULAR_STEMS)} AS stem FROM (SELECT query_id, unnest(list_distinct(list_filter({S.words('text')}, lambda x: length(x) >= 3 AND x NOT IN ({STOP})))) AS term FROM eq)),
 w0 AS (SELECT message_id, unnest(list_distinct(list_filter({S.words('text')}, lambda x: length(x) >= 3))) AS word FROM notes), w AS MATERIALIZED (SELECT *, {S.stem('word', L.IRREGULAR_STEMS)} AS stem FROM w0), df AS (SELECT word, count(*) AS df FROM w GROUP BY word), n AS (SELECT count(*) AS n FROM notes),
 pr AS (SELECT query_id, message_id, term, max(CASE WHEN term = word THEN 1.0 + n / (df + 1) END) AS exact FROM qt JOIN w USING (stem) JOIN df USING (word), n GROUP BY ALL), lx AS (SELECT query_id, message_id, sum(coalesce(exact, 6.0)) AS idf, sum(CASE WHEN exact IS NOT NULL THEN 1.0 ELSE 0.8 END) AS m FROM pr GROUP BY ALL),
-t0 AS (SELECT *, {S.padded('text')} AS pad FROM notes), t AS (SELECT message_id, conv_id, role, speaker, created_at, pad, {S.has_phrase('pad', V.FIRST_PERSON)} AS me, regexp_matches(text, '[0-9]') AS num, {_months} AS months, {S.has_phrase('pad', V.RECENT + ['ago'])} AS recent, {_conc(None, True)} AS cs FROM t0),
+t0 AS (SELECT n.*, x.relation, {S.padded('text')} AS pad FROM notes n LEFT JOIN xfacts x ON x.fact_id = n.message_id), t AS (SELECT message_id, conv_id, role, speaker, created_at, relation, pad, {S.has_phrase('pad', V.FIRST_PERSON)} AS me, regexp_matches(text, '[0-9]') AS num, {_months} AS months, {S.has_phrase('pad', V.RECENT + ['ago'])} AS recent, {_conc(None, True)} AS cs FROM t0),
 q0 AS (SELECT *, {S.padded('text')} AS pad FROM eq), q AS (SELECT query_id, lower(subject) AS subject, {_caps} AS names, {_months} AS qm, {S.has_phrase('pad', V.RECENT)} AS qr, {_conc(None, False)} AS qc FROM q0), qn AS (SELECT query_id, count(*) AS qn FROM qt GROUP BY query_id),
 j AS (SELECT lx.query_id, lx.message_id, conv_id, role, speaker, created_at, idf + m / qn * 15.0 AS lexical, 15.0 * len(list_intersect(cs, qc)) AS semantic, 20.0 * len(list_filter(names, lambda e: e NOT IN ({STOP}) AND {_has('pad', 'e')})) AS entity,
  CASE WHEN lower(speaker) = subject THEN 15.0 + CASE WHEN me THEN 10.0 ELSE 0.0 END WHEN {_has('pad', 'subject')} THEN 12.0 WHEN me THEN -8.0 ELSE 0.0 END AS actor, 12.0 * len(list_intersect(months, qm)) + CASE WHEN recent AND qr THEN 10.0 ELSE 0.0 END AS temporal,
- CASE WHEN role = 'user' THEN 5.0 ELSE 0.0 END + CASE WHEN num THEN 3.0 ELSE 0.0 END AS provenance FROM lx JOIN t USING (message_id) JOIN q ON q.query_id = lx.query_id JOIN qn ON qn.query_id = lx.query_id)
+ CASE WHEN relation IN ('asserts', 'prefers', 'located_at') THEN 5.0 ELSE 0.0 END + CASE WHEN num THEN 3.0 ELSE 0.0 END AS provenance FROM lx JOIN t USING (message_id) JOIN q ON q.query_id = lx.query_id JOIN qn ON qn.query_id = lx.query_id)
 SELECT *, round(lexical + semantic + 1.5 * entity + 2.0 * actor + 1.5 * temporal + 0.5 * provenance, 9) AS score FROM j"""
 
 
+def stated(spark, d):
+    """Turns with the relation and entity of the fact each states."""
+    n = B.notes(spark, d)
+    f = extract_facts(n).select(F.col("fact_id").alias("message_id"), "relation", "entity")
+    return n.join(f, "message_id", "left")
+
+
 def escore(spark, d):
-    return V.evidence_score(ask(spark, d), B.notes(spark, d))
+    return V.evidence_score(ask(spark, d), stated(spark, d))
 
 
 @query("evidence_score", "SELECT query_id, message_id, round(lexical, 5) AS lexical, semantic, entity, actor, temporal, provenance, round(score, 5) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, message_id) AS rank FROM escore QUALIFY rank <= 30")
@@ -105,14 +113,21 @@ def evidence_score(spark, d):
 
 EXTRA_CTES["erank"] = f"""WITH qt AS (SELECT query_id, unnest(list_distinct(list_filter({S.words('text')}, lambda x: length(x) >= 3 AND x NOT IN ({STOP})))) AS term FROM eq), w AS MATERIALIZED (SELECT message_id, unnest(list_distinct(list_filter({S.words('text')}, lambda x: length(x) >= 3))) AS word FROM notes),
 p AS (SELECT query_id, message_id, term, max(CAST(term = word AS INTEGER)) AS ex, max(CAST(length(word) >= 4 AS INTEGER)) AS lg FROM qt JOIN w ON left(term, 4) = left(word, 4) GROUP BY ALL),
-s AS (SELECT query_id, message_id, sum(CASE WHEN ex = 1 THEN 1.0 WHEN length(term) >= 4 AND lg = 1 THEN 0.5 ELSE 0.0 END) AS v FROM p GROUP BY ALL), n AS (SELECT query_id, count(*) AS n FROM qt GROUP BY query_id), t AS (SELECT message_id, lower(speaker) AS sp, {S.padded('text')} AS pad FROM notes),
-j AS (SELECT s.query_id, s.message_id, round(v / n * 10.0 + 2.5 * CASE WHEN sp = lower(subject) THEN 15.0 WHEN {_has('pad', 'lower(subject)')} THEN 4.0 ELSE 0.0 END + 10.0, 9) AS score FROM s JOIN n USING (query_id) JOIN t USING (message_id) JOIN eq ON eq.query_id = s.query_id WHERE v > 0)
+s AS (SELECT query_id, message_id, sum(CASE WHEN ex = 1 THEN 1.0 WHEN length(term) >= 4 AND lg = 1 THEN 0.5 ELSE 0.0 END) AS v FROM p GROUP BY ALL), n AS (SELECT query_id, count(*) AS n FROM qt GROUP BY query_id), t AS (SELECT n.message_id, lower(speaker) AS sp, {S.padded('text')} AS pad, lower(text) AS low, lower(x.entity) AS en, CAST(n.created_at AS DATE) AS day FROM notes n LEFT JOIN xfacts x ON x.fact_id = n.message_id),
+a AS (SELECT query_id, lower(subject) AS su, regexp_extract(text, {S.q(V.TARGET_DATE)}, 0) AS target, lower(text) AS ql FROM eq),
+j AS (SELECT s.query_id, s.message_id, round(v / n * 10.0
+ + CASE WHEN {S.contains_any('ql', L.MONEY_QUESTIONS)} THEN CASE WHEN NOT ({S.contains_any('ql', L.MONEY_FOCUS)} AND NOT len(list_filter({S.lst(L.MONEY_FOCUS)}, lambda w: contains(ql, w) AND contains(low, w))) > 0) AND {S.contains_any('low', ['$', 'dollar'])} THEN 25.0
+   WHEN NOT ({S.contains_any('ql', L.MONEY_FOCUS)} AND NOT len(list_filter({S.lst(L.MONEY_FOCUS)}, lambda w: contains(ql, w) AND contains(low, w))) > 0) AND {S.contains_any('low', ['spent', 'cost', 'price', 'paid'])} THEN 10.0 ELSE 0.0 END
+   WHEN {S.contains_any('ql', L.COUNT_QUESTIONS)} AND regexp_matches(low, {S.q(L.QUANTITY)}) THEN 5.0 ELSE 0.0 END
+ + 2.5 * CASE WHEN sp = su THEN 15.0 WHEN contains(en, su) THEN 10.0 WHEN {_has('pad', 'su')} THEN 4.0 ELSE 0.0 END
+ + 1.5 * CASE WHEN target <> '' THEN CASE WHEN contains(CAST(day AS VARCHAR), target) OR contains(low, target) THEN 10.0 ELSE 0.0 END WHEN {S.contains_any('ql', L.RECENCY_QUESTIONS)} THEN greatest(0.0, (year(day) - 2020) * 1.5 + month(day) / 12.0) ELSE 0.0 END
+ + 10.0, 9) AS score FROM s JOIN n USING (query_id) JOIN t USING (message_id) JOIN a ON a.query_id = s.query_id WHERE v > 0)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, message_id) AS rank FROM j QUALIFY rank <= 60"""
 
 
 @query("rank_evidence", "SELECT query_id, message_id, round(score, 6) AS score, rank FROM erank WHERE rank <= 10")
 def rank_evidence(spark, d):
-    return r6(V.rank_evidence(ask(spark, d), B.notes(spark, d), 10), "score")
+    return r6(V.rank_evidence(ask(spark, d), stated(spark, d), 10), "score")
 
 
 EXTRA_CTES["nseed"] = "SELECT query_id AS set_id, memory_id AS node FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) <= 4"
@@ -146,7 +161,7 @@ SELECT query_id, message_id, CAST(class AS INTEGER) AS class, row_number() OVER
 
 def widened(spark, d):
     q, n = ask(spark, d), B.notes(spark, d)
-    return V.widen(V.rank_evidence(q, n, 60), V.wide_slice(q, n), q, n)
+    return V.widen(V.rank_evidence(q, stated(spark, d), 60), V.wide_slice(q, n), q, n)
 
 
 @query("widen_selection", "SELECT * FROM widened")
@@ -160,7 +175,7 @@ UNION ALL SELECT query_id, rn, CASE WHEN ok THEN used + tokens ELSE used END, CA
  (SELECT p.*, f.used, f.convs, (f.used + p.tokens <= 250 OR len(f.convs) = 0) AND len(list_filter(f.convs, lambda c: c = p.conv_id)) < 2 AS ok FROM f JOIN p ON p.query_id = f.query_id AND p.rn = f.rn + 1) x)
 SELECT query_id, message_id, conv_id, rank, tokens FROM f WHERE message_id IS NOT NULL""")
 def diverse_select(spark, d):
-    return V.diverse_select(V.rank_evidence(ask(spark, d), B.notes(spark, d), 60), B.notes(spark, d))
+    return V.diverse_select(V.rank_evidence(ask(spark, d), stated(spark, d), 60), B.notes(spark, d))
 
 
 @query("coverage_certificate", f"""WITH s AS (SELECT query_id, message_id FROM widened WHERE rank <= 12), t AS (SELECT message_id, conv_id, speaker, created_at, {S.padded('text')} AS pad FROM notes), q AS (SELECT query_id, lower(subject) AS subject, asked_at, {S.padded('text')} AS qpad FROM eq),
@@ -179,7 +194,7 @@ SELECT query_id, unresolved, t IS NOT NULL AND unresolved IS NULL AS sufficient
 
 def suff(spark, d):
     q, n = ask(spark, d), B.notes(spark, d)
-    return V.sufficiency(q, V.rank_evidence(q, n, 2), n)
+    return V.sufficiency(q, V.rank_evidence(q, stated(spark, d), 2), n)
 
 
 @query("evidence_sufficiency", "SELECT * FROM suff")
@@ -190,7 +205,7 @@ def evidence_sufficiency(spark, d):
 @query("ground_answers")
 def ground_answers(spark, d):
     q, n = ask(spark, d), B.notes(spark, d)
-    sel = V.rank_evidence(q, n, 10)
+    sel = V.rank_evidence(q, stated(spark, d), 10)
     best = sel.filter("rank = 1").join(n.select("message_id", "text"), "message_id").select("query_id", F.col("text").alias("answer"))
     a = q.join(best, "query_id").select(F.col("query_id").alias("answer_id"), F.col("text").alias("question"), "answer", "subject")
     return V.ground_answers(a, sel.join(n.select("message_id", "speaker", "text"), "message_id").select(F.col("query_id").alias("answer_id"), "speaker", "text"))
@@ -243,7 +258,7 @@ j AS (SELECT r.query_id, r.message_id, r.rank, greatest(0.0, 100.0 - (r.rank - 1
 SELECT query_id, message_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS new_rank FROM j""")
 def hop_rerank(spark, d):
     q, n = ask(spark, d), B.notes(spark, d)
-    ranked = V.rank_evidence(q, n, 60)
+    ranked = V.rank_evidence(q, stated(spark, d), 60)
     from engramlake.operators.skew import neighbour
 
     nx = neighbour(n.select("conv_id", "turn", "message_id", F.expr("turn div 64").alias("b")), ["conv_id"], "b", ["turn"], ["message_id"], "next_", forward=True).filter("next_message_id is not null")
@@ -272,7 +287,7 @@ def search_propositions(spark, d):
 @query("repair_coverage")
 def repair_coverage(spark, d):
     n = B.notes(spark, d)
-    ranked = V.rank_evidence(ask(spark, d), n, 60)
+    ranked = V.rank_evidence(ask(spark, d), stated(spark, d), 60)
     return V.repair_coverage(V.diverse_select(ranked, n), ranked, n)
 
 
@@ -383,7 +398,7 @@ h AS (SELECT g.query_id, g.fact_id, s + CASE WHEN s >= 8 AND EXISTS (SELECT 1 FR
 SELECT query_id, fact_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fact_id) AS rank FROM h QUALIFY rank <= 3""")
 def retain_chains(spark, d):
     q, n = ask(spark, d), B.notes(spark, d)
-    return J.retain_chains(q, V.rank_evidence(q, n, 5).select("query_id", F.col("message_id").alias("fact_id")), chain_facts(spark, d))
+    return J.retain_chains(q, V.rank_evidence(q, stated(spark, d), 5).select("query_id", F.col("message_id").alias("fact_id")), chain_facts(spark, d))
 
 
 def _hops_sql(hops=3, per_hop=15):
@@ -401,7 +416,7 @@ st AS MATERIALIZED (SELECT node, next FROM x UNION SELECT next, node FROM x), h0
 @query("expand_hops", _hops_sql())
 def expand_hops(spark, d):
     q, n, f = ask(spark, d), B.notes(spark, d), B.facts(spark, d)
-    pool_ = V.rank_evidence(q, n, 5).select("query_id", F.col("message_id").alias("node"))
+    pool_ = V.rank_evidence(q, stated(spark, d), 5).select("query_id", F.col("message_id").alias("node"))
     from engramlake.operators.skew import neighbour
 
     nx = neighbour(n.select("conv_id", "turn", "message_id", F.expr("turn div 64").alias("b")), ["conv_id"], "b", ["turn"], ["message_id"], "next_", forward=True).filter("next_message_id is not null")
