@@ -15,6 +15,7 @@ CORE = [
     "extract_facts", "detect_conflicts", "state_history", "resolve_facts", "expand_by_value", "aggregate_quantities", "belief_evolution", "compare_beliefs",
     "state_at", "supersession_heads", "superseding_decisions", "context_at", "recall_bm25_within_budget", "session_gate", "knn_topic_centroids", "sessionise_stream_order",
     "retrieve_two_stage", "wide_slice", "evidence_score", "reconstruct_evidence", "select_parts", "traverse", "dependents", "dependency_cycles", "staleness", "near_duplicates",
+    "greedy_fill", "tier_budget", "allocate_context", "diverse_select", "expand_hops", "merge_groups_combine", "mine_associations", "rank_evidence", "failure_taxonomy",
     "validate_proposals", "compliance_report", "lineitem_percentiles", "aggregate_scores", "stream_state", "stream_sessions", "stream_cooldown", "package_edges", "retain_chains",
 ]
 NAMES = sorted(SQLS) if os.environ.get("ORACLE_ALL") else CORE
