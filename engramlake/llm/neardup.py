@@ -3,7 +3,8 @@
 A document's set holds its distinct 5-word shingles as 64-bit hashes (ASCII letters lower-cased; fewer words: the whole
 sequence as one). SuperMinHash gives each element one rank and one slot per level from a seeded partial permutation;
 a slot keeps the least rank + level, and levels stop as soon as no later level can lower any slot. Signatures of 125
-slots are cut into 25 bands of 5: two sets of Jaccard 0.85 share no band with a probability of about 4e-7.
+slots are cut into 25 bands of 5: two sets of Jaccard 0.85 share no band with a probability of about 4e-7, two of
+Jaccard 0.8 with about 5e-5. The limit of a link is an argument, 85 % by default.
 
 Plan. Equal sets collapse to their smallest id first, so copies are never paired. Within a band bucket every member is
 verified against one pivot, the member that meets most others in its buckets. Links are grouped; afterwards a pair of
@@ -163,21 +164,21 @@ def components(links: DataFrame) -> DataFrame:
     return both.groupBy("node").agg(F.min("component").alias("component"))
 
 
-def _fits(n1: str, v1: str, n2: str, v2: str) -> str:
+def _fits(n1: str, v1: str, n2: str, v2: str, percent: int) -> str:
     """A link is still possible: intersections are at most the shared shingles of either side."""
-    return f"(100 + {PERCENT}) * least({v1}, {v2}) >= {PERCENT} * ({n1} + {n2})"
+    return f"(100 + {percent}) * least({v1}, {v2}) >= {percent} * ({n1} + {n2})"
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def overlaps(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """a, b, both (size of the intersection of the full sets) and whether that links them."""
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("ai"))
     right = sets.select(F.col("node").alias("b"), F.col("items").alias("bi"))
     found = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("ai", "bi")).alias("both"), (F.size("ai") + F.size("bi")).alias("all"))
-    return found.select("a", "b", "both", (100 * F.col("both") >= PERCENT * (F.col("all") - F.col("both"))).alias("linked"))
+    return found.select("a", "b", "both", (100 * F.col("both") >= percent * (F.col("all") - F.col("both"))).alias("linked"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document."""
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every document; sets that share ``percent`` of their union are linked."""
     ship(docs.sparkSession)
     sig = materialise(signatures(docs).withColumn("node", F.xxhash64("digest")), "nd-signatures")
     reps = sig.filter("digest is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
@@ -195,8 +196,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     facts = sets.groupBy("node").agg(F.max("n").alias("n")).join(own, "node", "left").join(nodes, "node").select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("v"), "meets")
     members = materialise(met.join(facts, "node"), "nd-members")
     pivots = members.groupBy("key").agg(F.max(F.struct("meets", "node", "n", "v")).alias("p")).select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.v").alias("pv"))
-    star = members.join(pivots, "key").filter("node <> pivot").filter(F.expr(_fits("n", "v", "pn", "pv")) | (F.col("size") > 2))
-    star = materialise(overlaps(star.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), sets).distinct(), "nd-star")
+    star = members.join(pivots, "key").filter("node <> pivot").filter(F.expr(_fits("n", "v", "pn", "pv", percent)) | (F.col("size") > 2))
+    star = materialise(overlaps(star.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), sets, percent).distinct(), "nd-star")
     links = star.filter("linked").select("a", "b")
     first = components(links)
 
@@ -210,13 +211,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     label = label.join(first.select(F.col("node").alias("pivot"), F.col("component").alias("centre")), "pivot", "left").withColumn("centre", F.coalesce("centre", "pivot"))
     label = label.join(reps.select("node", "keys"), "node").withColumn("earlier", F.slice("keys", F.lit(1), F.col("band")))
     label = materialise(label.select("key", "earlier", "node", "n", "v", "ip", (F.col("v") - F.col("ip")).alias("o"), "comp", "centre", F.floor(F.log("n") / ratio).alias("cls")), "nd-labels")
-    lo, hi = F.ceil(F.lit(PERCENT / 100) * F.col("n") - 1e-6), F.floor((100 + PERCENT) / PERCENT * F.col("v") - F.col("n") + 1e-6)
+    lo, hi = F.ceil(F.lit(percent / 100) * F.col("n") - 1e-6), F.floor((100 + percent) / percent * F.col("v") - F.col("n") + 1e-6)
     side = lambda df, x: df.select("key", "cls", *[F.col(c).alias(x + c) for c in ("node", "n", "ip", "o", "comp", "earlier")])
     outer = label.filter("comp <> centre").withColumn("lo", lo).withColumn("hi", hi).filter("hi >= lo")
     outer = side(outer.withColumn("cls", F.explode(F.sequence(F.floor(F.log("lo") / ratio), F.floor(F.log("hi") / ratio)))), "a")
-    fits = f"(100 + {PERCENT}) * (least(aip, bip) + least(ao, bo)) >= {PERCENT} * (an + bn)"
+    fits = f"(100 + {percent}) * (least(aip, bip) + least(ao, bo)) >= {percent} * (an + bn)"
     rest = outer.join(side(label, "b"), ["key", "cls"]).filter("acomp <> bcomp").filter(fits).filter("not arrays_overlap(aearlier, bearlier)").select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b")).distinct()
-    comp = components(links.union(overlaps(rest, sets).filter("linked").select("a", "b")))
+    comp = components(links.union(overlaps(rest, sets, percent).filter("linked").select("a", "b")))
 
     least = comp.join(reps.select("node", "rep"), "node")
     least = least.join(least.groupBy("component").agg(F.min("rep").alias("smallest")), "component").select("node", "smallest")
@@ -225,9 +226,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", group.alias("component_id"), F.coalesce(F.col("doc_id") == group, F.lit(True)).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Documents without all but the smallest id of each group; of rows that repeat a kept id one stays."""
-    found = near_duplicates(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("nd_rows"), F.bool_or("kept").alias("nd_kept")).filter("nd_rows > 1 or not nd_kept")
+    found = near_duplicates(docs, percent).filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("nd_rows"), F.bool_or("kept").alias("nd_kept")).filter("nd_rows > 1 or not nd_kept")
     flags = materialise(found.select(F.col("doc_id").alias("nd_id"), "nd_rows", "nd_kept"), "nd-flags")
     marked = docs.join(flags, F.col("doc_id") == F.col("nd_id"), "left").filter("nd_kept is null or nd_kept")
     once = marked.filter("nd_rows is null or nd_rows = 1")

@@ -309,6 +309,15 @@ def test_near_duplicates_against_brute_force(spark):
     assert neardup.drop_near_duplicates(odd_rows(spark)).count() == 8  # 1, 3, 4, 5, 6, 7 and the two without an id
 
 
+def test_near_duplicates_at_another_limit(spark):
+    base = [f"b{i}" for i in range(102)]  # 98 shingles
+    edit = lambda *at: " ".join("e" if i in at else x for i, x in enumerate(base))
+    rows = [(1, " ".join(base)), (2, edit(50, 20)), (3, edit(10, 50, 90))]  # 88/108 = 0.815; 83/113 = 0.735 with 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in neardup.drop_near_duplicates(docs, 80).collect()) == [1, 3]
+    assert all(r.kept for r in neardup.near_duplicates(docs).collect())
+
+
 def test_super_minhash_estimates_jaccard():
     r = np.random.default_rng(4)
     err = []
