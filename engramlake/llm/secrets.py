@@ -1,7 +1,8 @@
 """Secret scans: candidate strings judged by a random forest.
 
 Candidates are found in whole texts by one pattern: known key prefixes, private-key blocks, and runs of at least 16 key
-characters that hold a digit and a letter or stand as the value of an assignment. Each is described by its length, its
+characters that hold a digit and a letter or stand as the value of an assignment (quoted or not; the name is no part of
+it). Each is described by its length, its
 transitions between character classes, repeated and distinct characters, the share that dictionary words cover, the
 kind of place it was found in (source or path), and the words before and after it. A random forest, trained from
 labelled findings, removes false positives (placeholders, digests of commits and files, identifiers, long words).
@@ -33,12 +34,14 @@ NEAR = 48
 MARK = "[SECRET]"
 # Prefixes of public key formats.
 PREFIXES = r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|glpat-[A-Za-z0-9_-]{20,}|sk_(?:live|test)_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{8,}"
-#: The parts are possessive and start only where no key character stands before, so a scan is linear in the text.
+#: The parts are possessive and start only where no key character stands before, so a scan is linear in the text. An
+#: equals sign ends a name and may stand before a candidate; inside it is padding at the end only. A private key goes on
+#: to its END line, whatever its length, but not beyond the next line of five dashes.
 CANDIDATE = (
-    r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,10000}(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?"
-    rf"|(?<![A-Za-z0-9_+/=-])(?:{PREFIXES}"
-    r"|(?=[A-Za-z_+/=-]{0,200}[0-9])(?=[0-9_+/=-]{0,200}[A-Za-z])[A-Za-z0-9_+/=-]{16,}+)"
-    r"|(?<=[:=\s\"'])(?<=(?:[kK]ey|KEY|[tT]oken|TOKEN|[sS]ecret|SECRET|[pP]assword|PASSWORD|[pP]asswd|pwd)\s{0,2}[:=]\s{0,2}[\"']?)[^\s\"',;<>]{8,}+"
+    r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,30}PRIVATE KEY-----|[A-Za-z0-9+/=\s]*+)"
+    rf"|(?<![A-Za-z0-9_+/-])(?:{PREFIXES}"
+    r"|(?=[A-Za-z_+/-]{0,200}[0-9])(?=[0-9_+/-]{0,200}[A-Za-z])[A-Za-z0-9_+/-]{16,}+(?:={1,2}(?![A-Za-z0-9_+/=\"'-]))?+)"
+    r"|(?<=[:=\s\"'])(?<=(?:[kK]ey|KEY|[tT]oken|TOKEN|[sS]ecret|SECRET|[pP]assword|PASSWORD|[pP]asswd|pwd)\s{0,2}[:=]\s{0,2}[\"']?)(?:[^\s\"',;<>&]|&(?!\w{1,40}=)){8,}+"
 )
 # Words that speak for a placeholder or an ordinary identifier.
 DICTIONARY = "example sample test your here change replace insert placeholder dummy default fake demo null none undefined user name client server config value string number index image file path page section article version release build commit branch main master data table column http https www com org net the and for with that this from are was will have not key token secret password api access auth public private id uuid hash sha md5".split()
@@ -50,7 +53,7 @@ CLUES = {
     "quoted": r"[\"'`]$",
     "link": r"(?i)(?:https?://|www\.|[/?&#]$|src=|href=|data:image|base64,)",
 }
-FEATURES = ["length", "upper", "lower", "digit", "other", "switches", "digit_switches", "case_switches", "runs", "distinct", "hex", "covered", "vowels", "known_prefix", "test_path", *(f"before_{k}" for k in CLUES), "after_quote", "after_link"]
+FEATURES = ["length", "upper", "lower", "digit", "other", "switches", "digit_switches", "case_switches", "runs", "distinct", "hex", "covered", "vowels", "known_prefix", "test_path", *(f"before_{k}" for k in CLUES), "after_quote", "after_link", "after_assign"]
 
 
 def _flag(cond: Column) -> Column:
@@ -75,6 +78,7 @@ def describe(c: Column, before: Column, after: Column, path: Column) -> dict[str
         "test_path": _flag(F.regexp_like(path, F.lit("(?i)test|example|fixture|sample|mock|docs?/"))),
         **{f"before_{k}": _flag(F.regexp_like(before, F.lit(v))) for k, v in CLUES.items()},
         "after_quote": _flag(F.regexp_like(after, F.lit("^[\"'`]"))), "after_link": _flag(F.regexp_like(after, F.lit("^[./?#&]"))),
+        "after_assign": _flag(F.regexp_like(after, F.lit(r"^\s?[:=]"))),
     }
 
 
@@ -90,7 +94,7 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, st
     for _ in range(n):
         left, right, path = around(), around(), r.choice(["", "src1", "web", "app/config.py", "notes.txt", ".env", "crawl"])
         if r.random() < 0.5:
-            owner = r.choice(["token", "api_key", "apiKey", "secret", "password", "SECRET_KEY", "access_token", "auth", "Authorization: Bearer", "client_secret", "key"])
+            owner = r.choice(["token", "api_key", "apiKey", "secret", "password", "SECRET_KEY", "access_token", "auth", "Authorization: Bearer", "client_secret", "key", "AWS_SECRET_ACCESS_KEY", "DB_PASSWORD", "GITHUB_TOKEN_2"])
             c = r.choice([some(hexa, r.choice([32, 40, 64])), some(alnum, r.randint(20, 64)), some(url, r.randint(24, 48)), "AKIA" + some(string.ascii_uppercase + string.digits, 16), "ghp_" + some(alnum, 36), "sk_live_" + some(alnum, 24), "xoxb-" + some(string.digits, 11) + "-" + some(alnum, 24), "AIza" + some(url, 35), "eyJ" + some(alnum, 20) + "." + some(url, 60) + "." + some(url, 43), some(alnum, 10) + some("!@#", 2) + some(alnum, 6), "-----BEGIN RSA PRIVATE KEY-----\n" + some(alnum, 200)])
             sep, quote = r.choice([" = ", "=", ": ", ":", " "]), r.choice(['"', '"', "'", ""])
             if "Bearer" in owner:
@@ -99,7 +103,7 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, st
             before = f"{left} {owner}{sep}{quote}" if named else f"{left} "
             rows.append((c, before[-NEAR:], (quote + " " + right)[:NEAR], path, 1))
         else:
-            k = r.randrange(9)
+            k = r.randrange(10)
             quote = r.choice(['"', "", ""])
             if k == 0:
                 c, before = some(hexa, r.choice([32, 40, 64])), f"{left} {r.choice(['commit', 'sha256:', 'md5', 'checksum', 'sha1 =', 'digest:', 'etag ', 'revision'])} {quote}"
@@ -117,6 +121,9 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, st
                 c, before = some(alnum + "+/", r.randint(60, 300)), f"{left} data:image/png;base64,"
             elif k == 7:
                 c, before = "_".join(word() for _ in range(r.randint(2, 5))) + "_" + some(string.digits, 2), f"{left} {r.choice(['def', 'self', 'import', 'var', 'call'])} "
+            elif k == 8:  # the name of an assignment, whose value is another candidate
+                c, before = "_".join([word(), *r.choices(["access", "api", "secret", "key", "token", "password", "auth", "client"], k=r.randint(1, 3)), str(r.randint(1, 99))]), f"{left} {r.choice(['', 'export ', 'set '])}"
+                c, quote = r.choice([c, c.upper(), c.upper()]), r.choice(["=", "=", " =", ":"])
             else:
                 c, before = some(hexa, r.choice([16, 24, 32, 40])), f"{left} "
             rows.append((c, before[-NEAR:], (quote + " " + right)[:NEAR], r.choice([path, "tests/fixtures/a.json", "docs/example.md"]) if k in (2, 3, 5) else path, 0))
@@ -155,13 +162,25 @@ def _forest(spark: SparkSession, findings: DataFrame | None) -> str:
     return train_forest(findings) if findings is not None else _default_forest(spark.sparkContext.applicationId)
 
 
+def _tails(s: str, c: str) -> Column:
+    """The ends of a text's parts in order: what stands before each candidate (``s``), and the candidate (``c``)."""
+    return F.flatten(F.transform(s, lambda x, i: F.array(F.right(x, F.lit(NEAR)), F.right(F.coalesce(F.get(c, i), F.lit("")), F.lit(NEAR)))))
+
+
+def _before(tails: str, i: Column) -> Column:
+    """The text before candidate ``i``, earlier candidates included; as each has 8 characters, NEAR / 8 of them reach."""
+    back = 2 * (NEAR // 8)
+    return F.right(F.array_join(F.slice(tails, F.greatest(F.lit(1), 2 * i + 1 - back), F.least(F.lit(back + 1), 2 * i + 1)), ""), F.lit(NEAR))
+
+
 def candidates(docs: DataFrame, *keep: str, path: str = "source") -> DataFrame:
     """One row per candidate: kept columns, place (1-based) among the candidates, candidate, before, after, path."""
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path in docs.columns else F.lit("")
     t = docs.select(*keep, where.alias("path"), whole_text().alias("t"))
     t = t.select(*keep, "path", "t", fold(F.regexp_extract_all("t", F.lit(CANDIDATE), F.lit(0))).alias("c")).filter(F.size("c") > 0)
     t = t.select(*keep, "path", "c", fold(F.split("t", CANDIDATE, -1)).alias("s"))
-    near = F.transform("c", lambda c, i: F.struct(c.alias("candidate"), F.right(F.get("s", i), F.lit(NEAR)).alias("before"), F.left(F.get("s", i + 1), F.lit(NEAR)).alias("after"), F.length(F.get("s", i)).alias("gap")))
+    t = t.select(*keep, "path", "c", "s", fold(_tails("s", "c")).alias("b"))
+    near = F.transform("c", lambda c, i: F.struct(c.alias("candidate"), _before("b", i).alias("before"), F.left(F.get("s", i + 1), F.lit(NEAR)).alias("after"), F.length(F.get("s", i)).alias("gap")))
     return t.select(*keep, "path", F.posexplode(near).alias("place", "x")).select(*keep, "path", (F.col("place") + 1).alias("place"), "x.*")
 
 
@@ -182,9 +201,10 @@ def redact_secrets(docs: DataFrame, findings: DataFrame | None = None, path: str
     t = docs.withColumn("sec_c", fold(F.regexp_extract_all(whole_text(), F.lit(CANDIDATE), F.lit(0))))
     s = F.when(F.size("sec_c") > 0, F.split(F.col("text"), CANDIDATE, -1)).otherwise(F.array().cast("array<string>"))
     t = t.withColumn("sec_s", fold(s)).withColumn("sec_p", where)
+    t = t.withColumn("sec_b", fold(_tails("sec_s", "sec_c")))
 
     def verdict(c: Column, i: Column) -> Column:
-        d = describe(c, F.right(F.get("sec_s", i), F.lit(NEAR)), F.left(F.get("sec_s", i + 1), F.lit(NEAR)), F.col("sec_p"))
+        d = describe(c, _before("sec_b", i), F.left(F.get("sec_s", i + 1), F.lit(NEAR)), F.col("sec_p"))
         return F.struct(c.alias("c"), *[d[f].alias(f) for f in FEATURES])
 
     t = t.withColumn("sec_f", fold(F.when(F.size("sec_c") > 0, F.transform("sec_c", verdict))))
