@@ -4,10 +4,12 @@ Both sides are cut into words and turned into templates: a number becomes ``<num
 in a number ``<unit>``, and a capitalised word inside a sentence ``<name>``; other words are lower-cased and stripped
 of punctuation. Hashes of all windows of 5 template words of every benchmark item meet the windows of every whole text
 in a hash join. For each (document, item) the distinct windows that match are counted against all distinct windows of
-the item; a match of at least 80 % is a candidate. Then the slots are compared window by window: a document that puts
-the same value wherever the item repeats a value is consistent. ``exact`` is a match whose slots are all equal,
-``reparameterised`` one whose slots differ but map consistently, and ``inconsistent`` matches are reported but do not
-count as leaks. Items of fewer than 5 words use one window of their own length.
+the item; a match of at least 80 % is a candidate. Windows of the lower-cased words are counted in the same way, so a
+copy in other capitals or with one changed value is found by its words. Then the slots are compared occurrence by
+occurrence (hits by document place less item place, those of near offsets together): a document that puts the same
+value wherever the item repeats a value is consistent. ``exact`` is a match whose slots are all equal, ``verbatim`` one
+of 80 % of the word windows, ``reparameterised`` one with an occurrence of 80 % whose slots map consistently;
+``inconsistent`` matches are reported but do not count as leaks.
 
 Only DataFrame functions. The windows of the benchmark are counted before they are broadcast; beyond
 ``BROADCAST_WINDOWS`` rows both sides are shuffled by window hash instead, with the same rows. Matches combine map-side
@@ -21,7 +23,7 @@ document count as one; null ids are left out of matches; other columns are not r
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engramlake.llm.common import fold, let, whole_text, words_of
@@ -53,53 +55,70 @@ def _templates(w: Column) -> Column:
 
 
 def _template_rows(table: DataFrame, key: str) -> DataFrame:
-    """key, hashes of the template words (th) and slot values (sv; null for a literal word) of every text."""
+    """key, hashes of the template words (th) and of the words (wh), and slot values (sv; null for a literal word) of every text."""
     t = table.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), fold(words_of(whole_text())).alias("w")).filter(F.size("w") > 0)
     t = t.select(key, fold(_templates(F.col("w"))).alias("t"))
-    return t.select(key, fold(F.struct(F.transform("t", lambda x: F.xxhash64(x["t"])).alias("th"), F.transform("t", lambda x: x["v"]).alias("sv"), F.exists("t", lambda x: x["v"].isNotNull()).alias("any"))).alias("t")).select(key, "t.*")
+    words = F.transform("t", lambda x: F.xxhash64(F.coalesce(x["v"], x["t"])))
+    return t.select(key, fold(F.struct(F.transform("t", lambda x: F.xxhash64(x["t"])).alias("th"), words.alias("wh"), F.transform("t", lambda x: x["v"]).alias("sv"), F.exists("t", lambda x: x["v"].isNotNull()).alias("any"))).alias("t")).select(key, "t.*")
 
 
-def _windows(size: Column) -> Column:
-    """Windows of a text: place, hash of the template and the slot values inside."""
+def _windows(size: Column, of: str) -> Column:
+    """Windows of a text: place, hash (of the template or the words) and the slot values inside."""
     none = F.array().cast("array<string>")
     slots = lambda i: F.when(F.col("any"), F.filter(F.slice("sv", i, size), lambda v: v.isNotNull())).otherwise(none)
     starts = F.sequence(F.lit(1), F.greatest(F.size("th") - size + 1, F.lit(1)))
-    return F.when(F.size("th") >= size, F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("th", i, size)).alias("h"), slots(i).alias("slots"))))
+    return F.when(F.size("th") >= size, F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(of, i, size)).alias("h"), slots(i).alias("slots"))))
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """item_id, h, size, slots, n_windows: one row per distinct window of each benchmark item."""
+    """item_id, plain, h, size, at, slots, n_windows: a row per distinct window of templates and of words (plain) of each item."""
     t = _template_rows(items, "item_id").withColumn("size", F.least(F.size("th"), F.lit(WINDOW)))
-    t = t.select("item_id", "size", F.explode(_windows(F.col("size"))).alias("x"))
-    literal = F.col("size") - F.size("x.slots")
-    rows = t.filter(literal >= F.least(F.lit(LITERALS), F.col("size"))).groupBy("item_id", "size", F.col("x.h").alias("h")).agg(F.min_by("x.slots", "x.at").alias("slots"))
-    total = rows.groupBy("item_id").agg(F.count("*").alias("n_windows"))
-    return rows.join(total, "item_id")
+    two = [t.select("item_id", "size", F.lit(of == "wh").alias("plain"), F.explode(_windows(F.col("size"), of)).alias("x")) for of in ("th", "wh")]
+    # Among words a name is a literal too; numbers are not.
+    held = F.when(F.col("plain"), F.size(F.filter("x.slots", lambda v: F.regexp_like(v, F.lit(r"\d"))))).otherwise(F.size("x.slots"))
+    rows = two[0].union(two[1]).filter(F.col("size") - held >= F.least(F.lit(LITERALS), F.col("size")))
+    rows = rows.groupBy("item_id", "plain", "size", F.col("x.h").alias("h")).agg(F.min("x.at").alias("at"), F.min_by("x.slots", "x.at").alias("slots"))
+    total = rows.groupBy("item_id", "plain").agg(F.count("*").alias("n_windows"))
+    return rows.join(total, ["item_id", "plain"])
 
 
 def matches(docs: DataFrame, items: DataFrame, cover: int = COVER_PERCENT) -> DataFrame:
-    """doc_id, item_id, matched, n_windows, kind of every document that holds the template of an item."""
+    """doc_id, item_id, matched, n_windows, kind of every document that holds the template or the words of an item."""
     known = materialise(item_windows(items), "dc-items")
     few = known.count() <= BROADCAST_WINDOWS
     sizes = [r[0] for r in known.select("size").distinct().collect()]
     t = _template_rows(docs, "doc_id")
     found = None
     for size in sorted(sizes):  # at most WINDOW sizes: one, unless items are shorter than a window
-        x = t.select("doc_id", F.explode(_windows(F.lit(size))).alias("x"))
-        x = x.select("doc_id", F.col("x.h").alias("h"), F.col("x.slots").alias("doc_slots"))
+        # A window without slots has one hash for both; only the others are looked up by their words as well.
+        mark = lambda of: F.transform(_windows(F.lit(size), of), lambda x: F.struct(x["at"].alias("at"), x["h"].alias("h"), x["slots"].alias("slots"), F.lit(of == "wh").alias("words")))
+        both = F.when(F.col("any"), F.concat(mark("th"), F.filter(mark("wh"), lambda x: F.size(x["slots"]) > 0))).otherwise(mark("th"))
+        x = t.select("doc_id", F.explode(both).alias("x"))
+        x = x.select("doc_id", F.col("x.h").alias("h"), F.col("x.at").alias("doc_at"), F.col("x.slots").alias("doc_slots"), F.col("x.words").alias("words"))
         part = known.filter(F.col("size") == size).drop("size")
-        hit = x.join(F.broadcast(part) if few else part, "h")
+        hit = x.join(F.broadcast(part) if few else part, "h").filter("plain or not words")
         found = hit if found is None else found.union(hit)
     if found is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, matched long, n_windows long, kind string")
-    # One row per distinct window; the slots of its places are compared as a whole.
+    # One row per distinct window with its places; the slots are compared place by place.
     equal = F.col("doc_slots") == F.col("slots")
-    one = found.groupBy("doc_id", "item_id", "h").agg(F.first("n_windows").alias("n_windows"), F.bool_or(equal).alias("equal"), F.min_by(F.zip_with("slots", "doc_slots", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), F.struct(~equal, "doc_slots")).alias("pairs"))
-    pair = one.groupBy("doc_id", "item_id").agg(F.count("*").alias("matched"), F.first("n_windows").alias("n_windows"), F.bool_and("equal").alias("equal"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
+    place = F.struct((F.col("doc_at") - F.col("at")).alias("off"), F.zip_with("slots", "doc_slots", lambda a, b: F.struct(a.alias("a"), b.alias("b"))).alias("pairs"))
+    one = found.groupBy("doc_id", "item_id", "plain", "h").agg(F.first("n_windows").alias("n_windows"), F.bool_or(equal).alias("equal"), F.collect_set(F.when(~F.col("plain"), place)).alias("places"))
+    pair = one.groupBy("doc_id", "item_id", "plain").agg(F.count("*").alias("matched"), F.first("n_windows").alias("n_windows"), F.bool_and("equal").alias("equal"), F.collect_list(F.struct("h", "places")).alias("hits"))
     pair = pair.filter(100 * F.col("matched") >= cover * F.col("n_windows"))
-    steady = F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))) == F.size("pairs")
-    kind = F.when(F.col("equal"), "exact").when(steady, "reparameterised").otherwise("inconsistent")
-    return pair.select("doc_id", "item_id", "matched", "n_windows", kind.alias("kind"))
+    # Offsets closer than half the item are one occurrence with words put in or left out; another copy lies further off.
+    spread = pair.filter("not plain and not equal").select("doc_id", "item_id", "n_windows", F.explode("hits").alias("x")).select("doc_id", "item_id", "n_windows", F.col("x.h").alias("h"), F.explode("x.places").alias("p"))
+    along = Window.partitionBy("doc_id", "item_id").orderBy("p.off")
+    starts = F.coalesce(2 * (F.col("p.off") - F.lag("p.off").over(along)) > F.col("n_windows"), F.lit(False))
+    spread = spread.withColumn("new", starts.cast("int")).withColumn("copy", F.sum("new").over(along))
+    each = spread.groupBy("doc_id", "item_id", "copy", "h").agg(F.first("n_windows").alias("n_windows"), F.min_by("p.pairs", F.struct("p.off", "p.pairs")).alias("pairs"))
+    each = each.groupBy("doc_id", "item_id", "copy").agg(F.count("*").alias("n"), F.first("n_windows").alias("n_windows"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
+    fits = (100 * F.col("n") >= cover * F.col("n_windows")) & (F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))) == F.size("pairs"))
+    steady = each.groupBy("doc_id", "item_id").agg(F.bool_or(fits).alias("steady"))
+    both = pair.groupBy("doc_id", "item_id").agg(F.bool_or("plain").alias("verbatim"), *[F.max(F.when(~F.col("plain"), F.col(c))).alias(f"t_{c}") for c in ("matched", "n_windows", "equal")], *[F.max(F.when(F.col("plain"), F.col(c))).alias(f"w_{c}") for c in ("matched", "n_windows")])
+    both = both.join(steady, ["doc_id", "item_id"], "left")
+    kind = F.when(F.col("t_equal"), "exact").when(F.col("verbatim"), "verbatim").when(F.col("steady"), "reparameterised").otherwise("inconsistent")
+    return both.select("doc_id", "item_id", *[F.coalesce(f"t_{c}", f"w_{c}").alias(c) for c in ("matched", "n_windows")], kind.alias("kind"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -260,6 +260,21 @@ def test_decontamination_slots(spark):
     assert decontaminate.matches(empty(spark), items).count() == 0 and decontaminate.matches(odd_rows(spark), items.filter("false")).count() == 0
 
 
+def test_decontamination_by_occurrence_and_by_words(spark):
+    item = "yesterday John bought 5 red apples at the market and later John sold 5 of them to his friend near the old stone bridge for a fair price just before the sun went down over there"
+    other = lambda name, n: item.replace("John", name).replace("5", n)
+    names = "then Alice Mary Brown met Peter Paul Green near Saint James Park with Robert Lee Jones and Susan Grace Miller"
+    docs = [
+        (1, f"{other('Peter', '7')} . {other('Mary', '3')}"), (2, item.replace("later John", "later Johnny")), (3, names.lower()),
+        (4, other("Peter", "7").replace("market", "big market") + " . " + other("Mary", "3")), (5, names.lower()[:40]),
+    ]
+    items = spark.createDataFrame([(1, item), (2, names)], "item_id long, text string")
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.kind) for r in decontaminate.matches(docs, items).collect()}
+    assert got == {(1, 1, "reparameterised"), (2, 1, "verbatim"), (3, 2, "verbatim"), (4, 1, "reparameterised")}
+    assert [r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()] == [5]
+
+
 def test_decontamination_of_very_long_texts(spark):
     long_text = " ".join(f"word{i}" for i in range(200_000))
     passage = " ".join(f"word{i}" for i in range(150_000, 150_040))
