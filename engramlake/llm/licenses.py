@@ -1,6 +1,6 @@
 """License scans by canonical digest lookup.
 
-A text is brought to a canonical form: ASCII lower case, copyright lines dropped, punctuation and white space to single
+A text is brought to a canonical form: ASCII lower case, copyright lines dropped (not body lines that begin so), punctuation and white space to single
 spaces, equivalent spellings to one. Its digest is looked up among the digests of known licence texts and notices, first
 for the entire text, then for each of its lines (a notice line inside a document) and each paragraph between blank
 lines. The known table is a constant of the module, so the hash join may broadcast it whatever the size of the input.
@@ -29,7 +29,8 @@ SPELLINGS = [
     (" favour", " favor"), (" fulfil ", " fulfill "), (" judgement ", " judgment "), (" acknowledgement", " acknowledgment"),
     (" copyright owner", " copyright holder"), (" https ", " http "), (" www ", " "), (" v2 0 ", " version 2 0 "), (" v3 ", " version 3 "),
 ]
-COPYRIGHT = r"(?i)^[\s/*#;>\-]*(?:copyright\b|\(c\)\s|©|all rights reserved\b).*$"
+#: A line that begins with "copyright" as part of a sentence (holders, notice, law, and ...) belongs to the body.
+COPYRIGHT = r"(?i)^[\s/*#;>\-]*(?:copyright\b(?!\s*[,;.)]|\s+(?:holders?|owners?|notices?|laws?|licen[sc]es?|statements?|ownership|interests?|protection|treaty|disclaimers?|rights?|permission|and|or|in|on|to|is|of|for|as|that|which)\b)|\(c\)\s|©|all rights reserved\b).*$"
 
 # Wording of public licences and customary notices.
 _WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""

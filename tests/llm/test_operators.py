@@ -172,6 +172,13 @@ def test_licenses(spark):
     assert licenses.scan(empty(spark)).count() == 0 and licenses.scan(odd_rows(spark)).count() == 0
 
 
+def test_wrapped_licence_bodies(spark):
+    wrap = lambda name, at: next(b for n, b in licenses.KNOWN if n == name).replace(f" {at}", f"\n{at}", 1)
+    rows = [(20, wrap("MIT", "COPYRIGHT HOLDERS BE")), (21, wrap("BSD-2-Clause", "copyright notice, this")), (22, "Copyright Jane Doe\n" + wrap("MIT", "OTHER"))]
+    got = {(r.doc_id, r.license) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).filter("unit = 'text'").collect()}
+    assert got == {(20, "MIT"), (21, "BSD-2-Clause"), (22, "MIT")}
+
+
 # 5 -------------------------------------------------------------------------------------------------------------------
 
 def brute_base(rows):
