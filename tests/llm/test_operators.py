@@ -179,6 +179,15 @@ def test_wrapped_licence_bodies(spark):
     assert got == {(20, "MIT"), (21, "BSD-2-Clause"), (22, "MIT")}
 
 
+def test_whole_licence_texts(spark):
+    from pathlib import Path
+
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "GPL-1": "GPL-1.0"}
+    rows = [(i, Path("/usr/share/common-licenses", f).read_text()) for i, f in enumerate(names)]
+    got = {(r.doc_id, r.license) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).filter("unit = 'text'").collect()}
+    assert got == {*enumerate(names.values())}
+
+
 # 5 -------------------------------------------------------------------------------------------------------------------
 
 def brute_base(rows):
