@@ -63,13 +63,18 @@ def document_lines(docs: DataFrame, host: str = "source") -> DataFrame:
     return rows.groupBy("host", "text_key", "line_key").agg(F.max("words").alias("words"))
 
 
-def depleted_texts(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
-    """host, text_key, removed and left words of texts that lose lines; ``depleted`` tells which go."""
-    lines = document_lines(docs, host)
+def common_lines(docs: DataFrame, lines: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
+    """host, line_key, line_docs of the lines that go."""
     texts = docs.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.xxhash64(whole_text()).alias("text_key")).distinct()
     hosts = texts.groupBy("host").agg(F.count("*").alias("host_docs"))
     common = lines.groupBy("host", "line_key").agg(F.count("*").alias("line_docs"), F.max("words").alias("line_words")).filter(F.col("line_docs") > min_docs)
-    common = common.join(hosts, "host").filter(F.col("line_docs") > F.lit(float(share)) * F.col("host_docs")).select("host", "line_key", "line_docs")
+    return common.join(hosts, "host").filter(F.col("line_docs") > F.lit(float(share)) * F.col("host_docs")).select("host", "line_key", "line_docs")
+
+
+def depleted_texts(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
+    """host, text_key, removed and left words of texts that lose lines; ``depleted`` tells which go."""
+    lines = document_lines(docs, host)
+    common = common_lines(docs, lines, host, min_docs, share)
     marked = lines.join(common, ["host", "line_key"], "left")
     per = marked.groupBy("host", "text_key").agg(F.sum("words").alias("words"), F.sum(F.when(F.col("line_docs").isNotNull(), F.col("words")).otherwise(0)).alias("removed"))
     left = F.col("words") - F.col("removed")
@@ -86,6 +91,26 @@ def quality_rules(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
     )
 
 
+def clean_documents(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, **limits) -> DataFrame:
+    """Documents that ``quality_rules`` keeps, their common lines taken out of ``text`` and ``n_chars``, if there, counted anew."""
+    where = F.coalesce(F.col(host).cast("string"), F.lit("")).alias("lf_host")
+    mine = docs.select("*", where, F.xxhash64(whole_text()).alias("lf_key"))
+    common = common_lines(docs, document_lines(docs, host), host, min_docs, share)
+    gone = depleted_texts(docs, host, min_docs, share, **limits)
+    bad = base_rules(docs, host).filter("base_failed").select("host", "text_key").union(gone.filter("depleted").select("host", "text_key")).distinct()
+    kept = mine.join(bad, (F.col("lf_host") == bad["host"]) & (F.col("lf_key") == bad["text_key"]), "left_anti")
+    some = gone.filter("not depleted").select("host", "text_key")
+    once = kept.select("lf_host", "lf_key", whole_text().alias("t")).dropDuplicates(["lf_host", "lf_key"]).withColumnsRenamed({"lf_host": "host", "lf_key": "text_key"}).join(some, ["host", "text_key"], "left_semi")
+    parts = once.select("host", "text_key", F.posexplode(F.split("t", "\n")).alias("at", "line"))
+    parts = parts.withColumn("line_key", F.xxhash64(F.trim(F.regexp_replace(F.lower("line"), SPACE, " ")))).join(common, ["host", "line_key"], "left_anti")
+    parts = parts.groupBy("host", "text_key").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("l"))
+    left = parts.select(F.col("host").alias("lf_h"), F.col("text_key").alias("lf_k"), F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("lf_text"))
+    out = kept.join(left, (F.col("lf_host") == F.col("lf_h")) & (F.col("lf_key") == F.col("lf_k")), "left").withColumn("text", F.coalesce("lf_text", "text"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("lf_text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
 def quality_rules_sql(relation: str = "documents", host: str = "source") -> str:
     sp = r"[\x20\x09-\x0D]+"
     return rf"""

@@ -313,6 +313,17 @@ def test_line_rules(spark):
     assert lines.quality_rules(empty(spark)).count() == 0 and lines.quality_rules(odd_rows(spark)).count() == 11
 
 
+def test_line_rules_take_common_lines_out(spark):
+    shared = "this line is on every page of the host"
+    own = lambda i: " ".join(f"own{i}word{k}" for k in range(12))
+    rows = [(i, f"first {i}\n{shared}\n\n{own(i)}\n{shared.upper()}", "h") for i in range(12)] + [(20, f"{shared}\nlast", "h"), (21, f"{shared}\n{own(21)}", "other"), (22, None, "h"), (0, f"first 0\n{shared}\n\n{own(0)}\n{shared.upper()}", "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "cast(length(text) as bigint) as n_chars")
+    got = Counter((r.doc_id, r.text, r.n_chars) for r in lines.clean_documents(docs).collect())
+    want = [(i, f"first {i}\n\n{own(i)}") for i in [*range(12), 0]] + [(21, f"{shared}\n{own(21)}")]
+    assert got == Counter((i, t, len(t)) for i, t in want)
+    assert lines.clean_documents(odd_rows(spark)).columns == odd_rows(spark).columns
+
+
 # 9 -------------------------------------------------------------------------------------------------------------------
 
 def brute_components(rows):
