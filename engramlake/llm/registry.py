@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engramlake.llm import decontaminate, html, langmodel, licenses, lines, mixing, neardup, quality, secrets, tokens
+from engramlake.llm import decontaminate, divergence, html, infill, langmodel, licenses, lines, mixing, neardup, quality, secrets, tokens, toxicity
 from engramlake.llm.common import table
 
 QUERIES: dict = {}
@@ -71,3 +71,18 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_secret_findings")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents")).filter("is_secret")
+
+
+@query("op11_toxicity_scores")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_infill_forms", infill.digests_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op13_source_divergence", divergence.audit_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
