@@ -135,3 +135,22 @@ RECALL_PHRASES = [
 ]
 NUMBER_WORDS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12}
 # End of fixed values.
+
+# Words of a conversation that do not describe what is asked, and words that stand for each other.
+CONVERSATION_STOP_WORDS = [
+    "can", "you", "could", "would", "suggest", "recommend", "some", "that",
+    "what", "which", "how", "about", "tell", "give", "help", "with", "for",
+    "the", "and", "are", "have", "been", "was", "were", "any", "does", "did",
+    "will", "shall", "should", "might", "must", "may", "there", "this",
+    "different", "items", "item", "need", "needs", "needed", "store", "stores",
+    "tips", "good", "new", "also", "like", "make", "sure", "start", "started",
+    "keep", "kept", "find", "visit", "visited", "visiting",
+]
+DOCTOR_WORDS = ["doctor", "doctors", "dr", "physician", "physicians", "specialist", "specialists", "dermatologist", "ent"]
+CLOTHING_WORDS = ["clothing", "clothes", "blazer", "boots", "jacket", "jeans", "shirt", "pants", "dress", "sweater"]
+PLANT_WORDS = ["plant", "plants", "lily", "succulent", "fern", "basil", "snake"]
+SYNONYMS = {
+    "doctor": DOCTOR_WORDS, "doctors": DOCTOR_WORDS,
+    "clothing": CLOTHING_WORDS, "clothes": CLOTHING_WORDS,
+    "plant": PLANT_WORDS, "plants": PLANT_WORDS,
+}

@@ -15,6 +15,7 @@ from engramlake.operators import skew
 LEVEL_BASE = [(0, 0.9), (1, 0.7), (2, 0.5), (3, 0.3)]
 TIERS = [("high", 0.50), ("medium", 0.35), ("low", 0.15)]
 ALLOC = {"relevance": 0.40, "importance": 0.20, "confidence": 0.15, "temporal": 0.10, "detail": 0.05, "contradiction": 0.30}
+CUT_MARK = "... [truncated]"
 LEVELS = [("full", 0.7), ("compressed", 0.5), ("summary", 0.3), ("tag", -1.0)]
 
 
@@ -57,7 +58,10 @@ def tier_budget(parts: DataFrame, max_tokens: int) -> DataFrame:
 
 
 def select_parts(parts: DataFrame, max_tokens: int, min_rest: int = 100) -> DataFrame:
-    """Prefix of the parts within the budget; the first that overflows is cut if more than ``min_rest`` tokens remain."""
+    """Prefix of the parts within the budget; the first that overflows is cut if more than ``min_rest`` tokens remain.
+
+    Parts that bring their text (``content``) return it, cut to three characters a token and marked where it is cut.
+    """
     from pyspark.sql import Window
 
     head = skew.top_k(parts, ["query_id"], _ordered(), max_tokens + 1, "n")
@@ -68,7 +72,8 @@ def select_parts(parts: DataFrame, max_tokens: int, min_rest: int = 100) -> Data
     # Only the first overflowing part still has a positive rest and all parts before it fit.
     first = ~fits & (rest > min_rest)
     h = h.withColumn("fits", fits).withColumn("cut", first)
-    return h.filter("fits or cut").select("query_id", "memory_id", "priority", F.when(F.col("cut"), rest).otherwise(F.col("tokens")).alias("tokens"), F.col("cut").alias("truncated"))
+    text = [F.when(F.col("cut"), F.concat(F.substring(F.col("content"), F.lit(1), (rest * 3).cast("int")), F.lit(CUT_MARK))).otherwise(F.col("content")).alias("content")] if "content" in parts.columns else []
+    return h.filter("fits or cut").select("query_id", "memory_id", "priority", F.when(F.col("cut"), rest).otherwise(F.col("tokens")).alias("tokens"), F.col("cut").alias("truncated"), *text)
 
 
 def selection_stats(parts: DataFrame, sel: DataFrame) -> DataFrame:

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from engramlake.functions import lexicons as L
 from engramlake.functions import text as X
 from engramlake.operators import skew
-from engramlake.operators.temporal import event_terms
+from engramlake.operators import topterms as TT
+from engramlake.operators.temporal import event_terms, turn_blocks
+from engramlake.session import materialise
 
 FIRST_PERSON = ["i", "my", "me", "we"]
 MONTHS = "january february march april may june july august september october november december".split()
@@ -92,33 +94,23 @@ def wide_slice(q: DataFrame, msg: DataFrame, per_channel: int = 40, actions=ACTI
     return skew.top_k(p.select("query_id", "b.*"), ["query_id"], [F.col("channel"), F.col("r"), F.col("message_id")], 5 * per_channel).select("query_id", "message_id", "channel", "rank")
 
 
-def evidence_score(q: DataFrame, msg: DataFrame, concepts: dict[str, list[str]] = CONCEPTS, weights: dict[str, float] = SCORE_WEIGHTS) -> DataFrame:
-    """Multi-part score of every (question, turn) pair that shares a stem, with its parts.
+def _stem(c: Column) -> Column:
+    return X.stem(c, L.IRREGULAR_STEMS)
 
-    ``msg`` may bring the relation of the fact a turn states (``relation``); without it no turn counts as a direct statement.
-    """
+
+def _question_terms(q: DataFrame) -> DataFrame:
+    return q.select("query_id", F.explode(F.filter(X.word_set(F.col("text"), 3), lambda w: ~w.isin(L.STOP_WORDS))).alias("term")).withColumn("stem", _stem(F.col("term")))
+
+
+def _scored_parts(lex: DataFrame, q: DataFrame, total: DataFrame, msg: DataFrame, concepts: dict[str, list[str]], weights: dict[str, float]) -> DataFrame:
+    """All parts of the evidence score for pairs with their lexical sums (query_id, message_id, idf, matched)."""
     relation = F.col("relation") if "relation" in msg.columns else F.lit(None).cast("string")
-    n = msg.select(F.count("*")).scalar()
-    st = lambda c: X.stem(c, L.IRREGULAR_STEMS)
-    qt = q.select("query_id", F.explode(F.filter(X.word_set(F.col("text"), 3), lambda w: ~w.isin(L.STOP_WORDS))).alias("term")).withColumn("stem", st(F.col("term")))
-    total = qt.groupBy("query_id").agg(F.count("*").alias("q_terms"))
-    w = msg.select("message_id", F.explode(X.word_set(F.col("text"), 3)).alias("word")).withColumn("stem", st(F.col("word")))
-    w = w.join(qt.select("stem").distinct(), "stem", "left_semi")
-    df = w.groupBy("word").agg(F.count("*").alias("df"))
-    pair = qt.join(w.join(df, "word"), "stem").groupBy("query_id", "message_id", "term").agg(F.max(F.when(F.col("term") == F.col("word"), 1.0 + n / (F.col("df") + 1))).alias("exact"))
-    lex = pair.groupBy("query_id", "message_id").agg(
-        F.sum(F.coalesce("exact", F.lit(6.0))).alias("idf"), F.sum(F.when(F.col("exact").isNotNull(), 1.0).otherwise(0.8)).alias("matched"))
     pad = F.col("_p")
     turn = msg.withColumn("_p", X.padded(F.col("text"))).select(
         "message_id", "conv_id", "turn", "role", "speaker", "created_at", relation.alias("relation"), pad.alias("pad"), X.has_phrase(pad, FIRST_PERSON).alias("me"), F.col("text").rlike(r"\d").alias("num"),
         F.filter(F.array(*[F.lit(m) for m in MONTHS]), lambda m: pad.contains(F.concat(F.lit(" "), m, F.lit(" ")))).alias("months"), X.has_phrase(pad, RECENT + ["ago"]).alias("recent"),
         F.array_compact(F.array(*[F.when(X.has_phrase(pad, ws), F.lit(c)) for c, ws in concepts.items()])).alias("concepts"))
-    qpad = X.padded(F.col("text"))
-    ask = q.join(total, "query_id").select(
-        "query_id", "q_terms", F.lower("subject").alias("subject"), F.array_distinct(F.transform(F.regexp_extract_all(F.col("text"), F.lit(r"([A-Z][a-z]+)"), F.lit(1)), F.lower)).alias("names"),
-        F.filter(F.array(*[F.lit(m) for m in MONTHS]), lambda m: qpad.contains(F.concat(F.lit(" "), m, F.lit(" ")))).alias("qmonths"), X.has_phrase(qpad, RECENT).alias("qrecent"),
-        F.array_compact(F.array(*[F.when(X.has_phrase(qpad, [c]), F.lit(c)) for c in concepts])).alias("qconcepts"))
-    j = lex.join(turn, "message_id").join(ask, "query_id")
+    j = lex.join(turn, "message_id").join(_asks(q, total, concepts), "query_id")
     inside = lambda t: F.col("pad").contains(F.concat(F.lit(" "), t, F.lit(" ")))
     mine = F.lower("speaker") == F.col("subject")
     parts = {
@@ -134,37 +126,120 @@ def evidence_score(q: DataFrame, msg: DataFrame, concepts: dict[str, list[str]]
     return j.select("query_id", "message_id", "conv_id", "role", "speaker", "created_at", *parts, F.round(score, 9).alias("score"))
 
 
+def _asks(q: DataFrame, total: DataFrame, concepts: dict[str, list[str]]) -> DataFrame:
+    qpad = X.padded(F.col("text"))
+    return q.join(total, "query_id").select(
+        "query_id", "q_terms", F.lower("subject").alias("subject"), F.array_distinct(F.transform(F.regexp_extract_all(F.col("text"), F.lit(r"([A-Z][a-z]+)"), F.lit(1)), F.lower)).alias("names"),
+        F.filter(F.array(*[F.lit(m) for m in MONTHS]), lambda m: qpad.contains(F.concat(F.lit(" "), m, F.lit(" ")))).alias("qmonths"), X.has_phrase(qpad, RECENT).alias("qrecent"),
+        F.array_compact(F.array(*[F.when(X.has_phrase(qpad, [c]), F.lit(c)) for c in concepts])).alias("qconcepts"))
+
+
+def evidence_score(q: DataFrame, msg: DataFrame, concepts: dict[str, list[str]] = CONCEPTS, weights: dict[str, float] = SCORE_WEIGHTS) -> DataFrame:
+    """Multi-part score of every (question, turn) pair that shares a stem, with its parts.
+
+    ``msg`` may bring the relation of the fact a turn states (``relation``); without it no turn counts as a direct statement.
+    """
+    n = msg.select(F.count("*")).scalar()
+    qt = _question_terms(q)
+    total = qt.groupBy("query_id").agg(F.count("*").alias("q_terms"))
+    w = msg.select("message_id", F.explode(X.word_set(F.col("text"), 3)).alias("word")).withColumn("stem", _stem(F.col("word")))
+    w = w.join(qt.select("stem").distinct(), "stem", "left_semi")
+    df = w.groupBy("word").agg(F.count("*").alias("df"))
+    pair = qt.join(w.join(df, "word"), "stem").groupBy("query_id", "message_id", "term").agg(F.max(F.when(F.col("term") == F.col("word"), 1.0 + n / (F.col("df") + 1))).alias("exact"))
+    lex = pair.groupBy("query_id", "message_id").agg(
+        F.sum(F.coalesce("exact", F.lit(6.0))).alias("idf"), F.sum(F.when(F.col("exact").isNotNull(), 1.0).otherwise(0.8)).alias("matched"))
+    return _scored_parts(lex, q, total, msg, concepts, weights)
+
+
+def top_evidence_scored(q: DataFrame, msg: DataFrame, k: int, blocks: DataFrame | None = None, concepts: dict[str, list[str]] = CONCEPTS, weights: dict[str, float] = SCORE_WEIGHTS) -> DataFrame:
+    """The ``k`` best rows per question of ``evidence_score``, from posting blocks (``temporal.turn_blocks``).
+
+    The speaker and the names of a question are looked up like its words, so a turn that has none of them is bounded by
+    its words and the parts that any turn may have.
+    """
+    blocks = blocks if blocks is not None else materialise(turn_blocks(msg), "turn-blocks")
+    n = msg.select(F.count("*")).scalar()
+    qt = materialise(_question_terms(q), "question-terms")
+    total = qt.groupBy("query_id").agg(F.count("*").alias("q_terms"))
+    seen = msg.select("message_id", F.explode(X.word_set(F.col("text"), 3)).alias("term")).join(F.broadcast(qt.select("term").distinct()) if qt.count() <= 100_000 else qt.select("term").distinct(), "term", "left_semi")
+    worth = materialise(qt.join(seen.groupBy("term").agg(F.count("*").alias("df")), "term", "left").withColumn("idf", 1.0 + n / (F.col("df") + 1)), "question-worth")
+    terms = worth.groupBy("query_id").agg(F.collect_list(F.struct("term", "stem", "idf")).alias("terms"))
+    words = msg.select("message_id", X.word_set(F.col("text"), 3).alias("words")).withColumn("stems", F.array_distinct(F.transform("words", _stem)))
+
+    def exact(pairs: DataFrame) -> DataFrame:
+        j = pairs.withColumnRenamed("id", "message_id").join(words, "message_id").join(terms, "query_id")
+        hit = F.filter("terms", lambda t: F.array_contains(F.col("stems"), t["stem"]))
+        whole = lambda t: F.array_contains(F.col("words"), t["term"])
+        lex = j.withColumn("hit", hit).filter(F.size("hit") > 0).select(
+            "query_id", "message_id", F.aggregate("hit", F.lit(0.0), lambda a, t: a + F.when(whole(t), t["idf"]).otherwise(6.0)).alias("idf"), F.aggregate("hit", F.lit(0.0), lambda a, t: a + F.when(whole(t), 1.0).otherwise(0.8)).alias("matched"))
+        return _scored_parts(lex, q, total, msg, concepts, weights).withColumnRenamed("message_id", "id")
+
+    a = _asks(q, total, concepts)
+    most_other = weights["semantic"] * 15.0 * F.size("qconcepts") + weights["actor"] * 12.0 + weights["temporal"] * (12.0 * F.size("qmonths") + F.when(F.col("qrecent"), 10.0).otherwise(0.0)) + weights["provenance"] * 8.0
+    a = a.select("query_id", "subject", "names", "q_terms", most_other.alias("other"))
+    lexical = worth.join(a, "query_id").select("query_id", F.col("term").alias("unit"), F.concat(F.lit("s:"), F.col("stem")).alias("key"), (weights["lexical"] * (F.greatest(F.coalesce("idf", F.lit(6.0)), F.lit(6.0)) + 15.0 / F.col("q_terms"))).alias("most"), "other")
+    speaker = a.select("query_id", F.lit("@").alias("unit"), F.concat(F.lit("@"), F.col("subject")).alias("key"), F.lit(weights["actor"] * 13.0).alias("most"), "other")
+    names = a.select("query_id", F.explode("names").alias("name"), "other").select("query_id", F.concat(F.lit("n:"), F.col("name")).alias("unit"), F.concat(F.lit("s:"), _stem(F.col("name"))).alias("key"), F.lit(weights["entity"] * 20.0).alias("most"), "other")
+    best = TT.best_rows(lexical.union(speaker).union(names).filter("key is not null"), blocks, F.col("reach") + F.col("other"), exact, k)
+    return best.withColumnRenamed("id", "message_id")
+
+
 def top_evidence(scored: DataFrame, k: int) -> DataFrame:
     return skew.top_k(scored, ["query_id"], [F.col("score").desc(), F.col("message_id")], k)
 
 
-def rank_evidence(q: DataFrame, msg: DataFrame, k: int = 10) -> DataFrame:
+def _rank_terms(q: DataFrame, synonyms: dict[str, list[str]], stop: list[str]) -> DataFrame:
+    """query_id, terms: words of three letters and more without the stop list (all of them where it leaves none), with their synonyms."""
+    words = X.word_set(F.col("text"), 3)
+    left = F.filter(words, lambda w: ~w.isin(stop)) if stop else words
+    own = F.when(F.size(left) > 0, left).otherwise(words)
+    if synonyms:
+        pairs = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*[F.lit(y) for y in x]) for kv in synonyms.items() for x in kv])
+        none = F.array().cast("array<string>")
+        own = F.array_union(own, F.flatten(F.transform(own, lambda w: F.coalesce(F.try_element_at(pairs, w), none))))
+    return q.select("query_id", own.alias("terms"))
+
+
+def rank_evidence(q: DataFrame, msg: DataFrame, k: int = 10, blocks: DataFrame | None = None, synonyms: dict[str, list[str]] = L.SYNONYMS, stop: list[str] = L.CONVERSATION_STOP_WORDS) -> DataFrame:
     """Overlap with half points for a shared four-letter beginning, entity priority, date or recency, quantities and hops.
 
-    ``msg`` may bring the entity of the fact a turn states (``entity``) and its distance in hops (``hop``).
+    ``msg`` may bring the entity of the fact a turn states (``entity``), its distance in hops (``hop``) and its own time
+    note (``time_scope``, text); a question about the present gives a turn without a date 5 points where that note names
+    a year of this decade.  Turns are found through posting blocks (``temporal.turn_blocks``): only those whose words,
+    speaker and year can still reach the k-th score are scored.
     """
-    qt = q.select("query_id", F.explode(F.filter(X.word_set(F.col("text"), 3), lambda w: ~w.isin(L.STOP_WORDS))).alias("term")).withColumn("g", F.substring("term", 1, 4))
-    total = qt.groupBy("query_id").agg(F.count("*").alias("n"))
-    w = msg.select("message_id", F.explode(X.word_set(F.col("text"), 3)).alias("word")).withColumn("g", F.substring("word", 1, 4))
-    p = qt.join(w, "g").groupBy("query_id", "message_id", "term").agg(F.max((F.col("term") == F.col("word")).cast("int")).alias("exact"), F.max((F.length("word") >= 4).cast("int")).alias("long"))
-    value = F.when(F.col("exact") == 1, 1.0).when((F.length("term") >= 4) & (F.col("long") == 1), 0.5).otherwise(0.0)
-    s = p.groupBy("query_id", "message_id").agg(F.sum(value).alias("v")).filter("v > 0").join(total, "query_id")
+    blocks = blocks if blocks is not None else materialise(turn_blocks(msg), "turn-blocks")
+    terms = _rank_terms(q, synonyms, stop)
     entity = F.lower("entity") if "entity" in msg.columns else F.lit("")
     hop = F.coalesce(F.col("hop"), F.lit(0)) if "hop" in msg.columns else F.lit(0)
+    scope = F.coalesce(F.col("time_scope"), F.lit("")) if "time_scope" in msg.columns else F.lit("")
     low, ql = F.lower("text"), F.lower("text")
     has = lambda c, words: X.contains_any(c, words)
-    turn = msg.select("message_id", F.lower("speaker").alias("sp"), X.padded(F.col("text")).alias("pad"), low.alias("low"), entity.alias("en"), hop.alias("hop"), F.to_date("created_at").alias("day"),
-                      F.regexp_like(low, F.lit(L.QUANTITY)).alias("quantity"))
+    turn = msg.select(F.col("message_id").alias("id"), X.word_set(F.col("text"), 3).alias("words"), F.lower("speaker").alias("sp"), X.padded(F.col("text")).alias("pad"), low.alias("low"), entity.alias("en"), hop.alias("hop"), scope.alias("scope"), F.to_date("created_at").alias("day"),
+                      F.regexp_like(low, F.lit(L.QUANTITY)).alias("quantity")).withColumn("heads", F.transform(F.filter("words", lambda w: F.length(w) >= 4), lambda w: F.substring(w, 1, 4)))
     focus = F.filter(F.array(*[F.lit(w) for w in L.MONEY_FOCUS]), lambda w: F.contains(ql, w))
-    ask = q.select("query_id", F.lower("subject").alias("su"), F.regexp_extract("text", TARGET_DATE, 0).alias("target"), has(ql, L.RECENCY_QUESTIONS).alias("recent"), has(ql, L.MONEY_QUESTIONS).alias("money"), focus.alias("focus"), has(ql, L.COUNT_QUESTIONS).alias("counts"))
-    j = s.join(turn, "message_id").join(ask, "query_id")
-    e = F.when(F.col("sp") == F.col("su"), 15.0).when(F.contains("en", F.col("su")), 10.0).when(F.col("pad").contains(F.concat(F.lit(" "), F.col("su"), F.lit(" "))), 4.0).otherwise(0.0)
-    dated = F.contains(F.date_format("day", "yyyy-MM-dd"), F.col("target")) | F.contains("low", F.col("target"))
-    t = F.when(F.col("target") != "", F.when(dated, 10.0).otherwise(0.0)).when(F.col("recent"), F.greatest(F.lit(0.0), (F.year("day") - 2020) * 1.5 + F.month("day") / 12.0)).otherwise(0.0)
-    about = (F.size("focus") == 0) | F.exists("focus", lambda w: F.contains(F.col("low"), w))
-    bonus = F.when(F.col("money"), F.when(about & has(F.col("low"), ["$", "dollar"]), 25.0).when(about & has(F.col("low"), ["spent", "cost", "price", "paid"]), 10.0).otherwise(0.0)).when(F.col("counts") & F.col("quantity"), 5.0).otherwise(0.0)
-    j = j.select("query_id", "message_id", F.round(F.col("v") / F.col("n") * 10.0 + bonus + 2.5 * e + 1.5 * F.coalesce(t, F.lit(0.0)) + 10.0 / (1.0 + F.col("hop")), 9).alias("score"))
-    return top_evidence(j, k)
+    ask = q.join(terms, "query_id").select("query_id", "terms", F.lower("subject").alias("su"), F.regexp_extract("text", TARGET_DATE, 0).alias("target"), has(ql, L.RECENCY_QUESTIONS).alias("recent"), has(ql, L.MONEY_QUESTIONS).alias("money"), focus.alias("focus"), has(ql, L.COUNT_QUESTIONS).alias("counts"))
+    recency = lambda year, month: F.greatest(F.lit(0.0), (year - 2020) * 1.5 + month / 12.0)
+
+    def exact(pairs: DataFrame) -> DataFrame:
+        j = pairs.join(turn, "id").join(ask, "query_id")
+        value = lambda w: F.when(F.array_contains(F.col("words"), w), 1.0).when((F.length(w) >= 4) & F.array_contains(F.col("heads"), F.substring(w, 1, 4)), 0.5).otherwise(0.0)
+        j = j.withColumn("v", F.aggregate("terms", F.lit(0.0), lambda a, w: a + value(w))).filter("v > 0")
+        e = F.when(F.col("sp") == F.col("su"), 15.0).when(F.contains("en", F.col("su")), 10.0).when(F.col("pad").contains(F.concat(F.lit(" "), F.col("su"), F.lit(" "))), 4.0).otherwise(0.0)
+        dated = F.contains(F.date_format("day", "yyyy-MM-dd"), F.col("target")) | F.contains("low", F.col("target")) | F.contains("scope", F.col("target"))
+        now = F.when(F.col("day").isNotNull(), recency(F.year("day"), F.month("day"))).when(F.col("scope").rlike("202[3-6]"), 5.0).otherwise(0.0)
+        t = F.when(F.col("target") != "", F.when(dated, 10.0).otherwise(0.0)).when(F.col("recent"), now).otherwise(0.0)
+        about = (F.size("focus") == 0) | F.exists("focus", lambda w: F.contains(F.col("low"), w))
+        bonus = F.when(F.col("money"), F.when(about & has(F.col("low"), ["$", "dollar"]), 25.0).when(about & has(F.col("low"), ["spent", "cost", "price", "paid"]), 10.0).otherwise(0.0)).when(F.col("counts") & F.col("quantity"), 5.0).otherwise(0.0)
+        return j.select("query_id", "id", F.round(F.col("v") / F.size("terms") * 10.0 + bonus + 2.5 * e + 1.5 * F.coalesce(t, F.lit(0.0)) + 10.0 / (1.0 + F.col("hop")), 9).alias("score"))
+
+    mention = 25.0 if "entity" in msg.columns else 10.0
+    other = F.lit(mention + 10.0) + F.when(F.col("money"), 25.0).when(F.col("counts"), 5.0).otherwise(0.0) + F.when(F.col("target") != "", 15.0).otherwise(0.0)
+    a = ask.select("query_id", "terms", "su", other.alias("other"), (F.col("recent") & (F.col("target") == "")).alias("by_year"))
+    words = a.select("query_id", F.explode("terms").alias("unit"), (10.0 / F.size("terms")).alias("most"), "other", "by_year").select("query_id", "unit", F.concat(F.lit("p:"), F.substring("unit", 1, 4)).alias("key"), "most", "other", "by_year")
+    speaker = a.select("query_id", F.lit("@").alias("unit"), F.concat(F.lit("@"), F.col("su")).alias("key"), F.lit(37.5 - mention).alias("most"), "other", "by_year")
+    bound = F.col("reach") + F.col("other") + F.when(F.col("by_year"), 1.5 * F.greatest(recency(F.col("year"), F.lit(12)), F.lit(5.0))).otherwise(0.0)
+    return TT.best_rows(words.union(speaker).filter("key is not null"), blocks, bound, exact, k).withColumnRenamed("id", "message_id")
 
 
 def rank_nodes(q: DataFrame, nodes: DataFrame, state: DataFrame, k: int = 20, w: dict[str, float] = NODE_WEIGHTS) -> DataFrame:
@@ -345,3 +420,34 @@ def repair_coverage(sel: DataFrame, ranked: DataFrame, msg: DataFrame, per_sessi
     add = skew.prefix_budget(top, ["query_id"], [F.col("rank")], "tokens", budget)
     old = sel.select("query_id", "message_id", "conv_id", F.lit(False).alias("restored"))
     return old.unionByName(add.select("query_id", "message_id", "conv_id", F.lit(True).alias("restored")))
+
+
+def restore_until_sufficient(q: DataFrame, sel: DataFrame, ranked: DataFrame, msg: DataFrame, budget: int = 400, span: int = 24) -> DataFrame:
+    """Omitted rows that are put back, best rank first, until the certificate of ``coverage`` holds or the budget ends.
+
+    For each part of the certificate that fails the first rank that mends it is looked up; the greatest of these ranks is
+    where restoring stops.  Where a part cannot be mended within ``span`` omitted rows, or a row later than the question
+    comes first, all of them that fit are put back.  Returns query_id, message_id, conv_id, rank, restored (number of rows
+    put back for the question) and sufficient (does the certificate hold now).
+    """
+    pad = X.padded(F.col("text"))
+    turn = msg.select("message_id", "conv_id", F.lower("speaker").alias("sp"), "created_at", pad.alias("pad"), X.has_phrase(pad, ["decided", "decision"]).alias("decides"), F.greatest(F.lit(1), F.size(X.space_words(F.col("text")))).cast("long").alias("tokens"))
+    held = coverage(q, sel, msg).filter("not sufficient").select("query_id", "units", "entity_ok", "temporal_ok", "decision_ok", "property_ok")
+    used = sel.select("query_id", "message_id").join(turn.select("message_id", "tokens"), "message_id").groupBy("query_id").agg(F.sum("tokens").alias("used"))
+    left = ranked.select("query_id", "message_id", "rank").join(held.select("query_id"), "query_id", "left_semi").join(sel.select("query_id", "message_id"), ["query_id", "message_id"], "left_anti")
+    left = skew.top_k(left, ["query_id"], [F.col("rank")], span, "place")
+    ask = q.select("query_id", F.lower("subject").alias("subject"), "asked_at")
+    j = left.join(turn, "message_id").join(ask, "query_id")
+    own = (F.col("sp") == F.col("subject")) | F.col("pad").contains(F.concat(F.lit(" "), F.col("subject"), F.lit(" ")))
+    first = lambda cond: F.min(F.when(cond, F.col("place")))
+    marks = j.groupBy("query_id").agg(first(own).alias("entity"), first(F.col("decides")).alias("decision"), first(F.lit(True)).alias("property"), first(F.col("created_at") > F.col("asked_at")).alias("late"))
+    need = {c: F.when(F.col(f"{c}_ok"), 0).otherwise(F.col(c)) for c in ("entity", "decision", "property")}
+    stop = F.when(reduce(lambda a, b: a | b, [n.isNull() for n in need.values()]), None).otherwise(F.greatest(*need.values()))
+    marks = marks.join(held, "query_id").withColumn("stop", stop)
+    mended = (F.col("units") == 0) | F.col("temporal_ok")
+    marks = marks.withColumn("stop", F.when(mended & (F.col("late").isNull() | (F.col("late") > F.col("stop"))), F.col("stop"))).select("query_id", "stop").join(used, "query_id", "left")
+    along = Window.partitionBy("query_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)  # at most ``span`` rows
+    r = j.join(marks, "query_id").filter(F.col("stop").isNull() | (F.col("place") <= F.col("stop"))).withColumn("sum", F.sum("tokens").over(along))
+    r = r.filter(F.coalesce("used", F.lit(0)) + F.col("sum") <= budget)
+    whole = Window.partitionBy("query_id")
+    return r.select("query_id", "message_id", "conv_id", "rank", F.count("*").over(whole).alias("restored"), F.coalesce(F.max("place").over(whole) == F.col("stop"), F.lit(False)).alias("sufficient"))

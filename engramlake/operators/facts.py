@@ -176,13 +176,13 @@ def truth_sections(f: DataFrame) -> DataFrame:
 
 
 def resolve_facts(q: DataFrame, f: DataFrame, hist: DataFrame) -> DataFrame:
-    """Value valid on the asked date within the entity's scope; a "never" fact about the property abstains."""
+    """Value held on the asked date within the entity's scope (the latest to begin); a "never" fact about the property abstains."""
     never = f.filter("relation = 'never'").select(*KEY).distinct().withColumn("abstain", F.lit(True))
     h = hist.select(*KEY, "value", "valid_from", "valid_until")
-    found = skew.interval_join(q, h, KEY, "asked_at", "valid_from", "valid_until").select("query_id", "value", "valid_from")
+    found = skew.latest_covering(q, h, "query_id", KEY, "asked_at", "valid_from", "valid_until", ["value"], ["valid_from", "value"])
     j = q.join(never, KEY, "left").join(found, "query_id", "left")
     abstain = F.coalesce("abstain", F.lit(False))
-    return j.select("query_id", *KEY, abstain.alias("abstain"), F.when(~abstain, F.col("value")).alias("value"))
+    return j.select("query_id", *KEY, abstain.alias("abstain"), F.when(~abstain, F.col("value")).alias("value"), F.col("value").alias("held"))
 
 
 def fact_terms(f: DataFrame, scope: str = "entity") -> DataFrame:
@@ -233,8 +233,35 @@ def behaviour_patterns(f: DataFrame, signals=BEHAVIOUR_WORDS, sample: int = 4) -
 QUANTITY = r"\$?(\d+(?:\.\d+)?)"
 
 
+MONEY = r"\$(\d+(?:\.\d+)?)"
+# Words of questions for an aggregate, of comparisons and dates that are none, and of the three operations.
+AGGREGATE_WORDS = ["how many", "how much", "total", "combined", "altogether", "sum of", "average", "how long"]
+OTHER_QUESTIONS = ["compared to", "difference in", "difference between", "how much more", "how much faster", "how much earlier", "how much older", "percentage of", "the most", "the least", "when did i", "what time did i"]
+SUM_WORDS = ["how much", "total", "combined", "altogether", "sum of", "how long"]
+#: Words after "how many" that name no unit.
+NO_UNIT = ["times", "of", "did", "do", "does", "have", "has", "is", "are", "was", "were", "different"]
+
+
+def read_questions(q: DataFrame) -> DataFrame:
+    """The questions with the operation they ask for (count, sum, average; null for another question) and its unit.
+
+    The unit is "$" for questions of money, else the word after "how many" or "how much".
+    """
+    low = F.lower("text")
+    asks = X.contains_any(low, AGGREGATE_WORDS) & ~X.contains_any(low, OTHER_QUESTIONS)
+    op = F.when(asks, X.label((F.contains(low, F.lit("average")), "average"), (X.contains_any(low, SUM_WORDS), "sum"), default="count"))
+    noun = F.regexp_extract(low, r"how (?:many|much) ([\p{L}_]+)", 1)
+    unit = F.when(X.contains_any(low, L.MONEY_QUESTIONS), "$").when((noun != "") & ~noun.isin(NO_UNIT), noun)
+    return q.withColumn("op", op).withColumn("unit", F.when(op.isNotNull(), unit))
+
+
 def aggregate_quantities(q: DataFrame, msg: DataFrame, min_score: float = 2.5) -> DataFrame:
-    """Count, sum or average over the one best sentence of each session for each question (query_id, op, unit, text)."""
+    """Count, sum or average over the one best sentence of each session for each question (query_id, text).
+
+    ``op`` and ``unit`` may be given as columns; else they are read from the question, and questions that ask for no
+    aggregate are left out.
+    """
+    q = q if "op" in q.columns else read_questions(q).filter("op is not null")
     s = msg.select("conv_id", "turn", F.posexplode(X.sentence_list(F.col("text"))).alias("pos", "sentence"))
     s = s.select("conv_id", "turn", "pos", "sentence", F.col("sentence").rlike(QUANTITY).alias("num"))
     terms = q.select("query_id", F.explode(F.filter(X.word_set(F.col("text"), 3), lambda w: ~w.isin(L.STOP_WORDS))).alias("term"))
@@ -243,7 +270,7 @@ def aggregate_quantities(q: DataFrame, msg: DataFrame, min_score: float = 2.5) -
     hit = hit.withColumn("score", F.col("n") + F.when(F.col("num"), 2.0).otherwise(0.0)).filter(F.col("score") >= min_score)
     best = skew.latest_rows(hit.select("query_id", "conv_id", "turn", "pos", "score"), ["query_id", "conv_id"], [F.col("score"), -F.col("turn"), -F.col("pos")])
     best = best.join(s.select("conv_id", "turn", "pos", "sentence"), ["conv_id", "turn", "pos"]).join(q.select("query_id", "op", "unit"), "query_id")
-    by_unit = F.expr(r"regexp_extract(sentence, concat('(?i)', '\\$?(\\d+(?:\\.\\d+)?)\\s+', unit), 1)")
+    by_unit = F.when(F.col("unit") == "$", F.regexp_extract("sentence", MONEY, 1)).otherwise(F.expr(r"regexp_extract(sentence, concat('(?i)', '\\$?(\\d+(?:\\.\\d+)?)\\s+', unit), 1)"))
     plain = F.regexp_extract("sentence", QUANTITY, 1)
     amount = F.when(F.col("unit").isNotNull() & (by_unit != ""), by_unit).otherwise(plain).try_cast("double")
     g = best.withColumn("amount", amount).groupBy("query_id", "op").agg(

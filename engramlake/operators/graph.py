@@ -118,21 +118,6 @@ def traverse_memories(seeds: DataFrame, edges: DataFrame, mem: DataFrame, depth:
     return traverse(seeds, steps.select("node", "next", "strength"), depth, max_nodes)
 
 
-def shortest_paths(pairs: DataFrame, edges: DataFrame, depth: int = 3) -> DataFrame:
-    """Shortest path (fewest edges, then least path) between given pairs (a, b); one row per (pair, node) and level."""
-    adj = undirected(edges).select("node", "next")
-    front = pairs.select("a", "b", F.col("a").alias("node"), F.array("a").alias("path")).distinct()
-    found = None
-    for d in range(1, depth + 1):
-        n = front.join(adj, "node").filter(~F.array_contains(F.col("path"), F.col("next")))
-        front = n.groupBy("a", "b", F.col("next").alias("node")).agg(F.min(F.concat("path", F.array("next"))).alias("path"))
-        hit = front.filter("node = b").select("a", "b", F.lit(d).alias("length"), "path")
-        found = hit if found is None else found.unionByName(hit)
-        front = front.filter("node <> b")
-    best = found.groupBy("a", "b").agg(F.min(F.struct("length", "path")).alias("p"))
-    return best.select("a", "b", F.col("p.length").alias("length"), F.col("p.path").alias("path"))
-
-
 def evidence_edges(msg: DataFrame, phrase_nodes: tuple[int, int] = (2, 6), rare_nodes: tuple[int, int] = (2, 4)) -> DataFrame:
     """Weighted links between turns: shared bigram 25, shared rare long word 10, next turn of the session 8.
 
@@ -213,26 +198,6 @@ def impact(ids: DataFrame, dep: DataFrame, evidence: DataFrame, ops: dict[str, f
         "strategy", F.when(risk > 0.5, F.lit("supersede")).otherwise(F.lit("modify_in_place")))
 
 
-def cycles(edges: DataFrame, max_length: int = 5) -> DataFrame:
-    """Directed cycles up to a length, each reported once from its least node.
-
-    Nodes that lack an incoming or outgoing edge cannot be on a cycle and are trimmed first.
-    """
-    e = edges.filter("src <> dst").select("src", "dst").distinct()
-    for _ in range(2):
-        e = e.join(e.select(F.col("dst").alias("src")), "src", "left_semi").join(e.select(F.col("src").alias("dst")), "dst", "left_semi").select("src", "dst")
-    e = materialise(e, "cycle-edges")
-    path = e.filter("src < dst").select(F.col("src").alias("start"), F.col("dst").alias("end"), F.array("src", "dst").alias("path"))
-    found = []
-    for _ in range(max_length - 1):
-        n = path.join(e.select(F.col("src").alias("end"), F.col("dst").alias("nxt")), "end")
-        found.append(n.filter("nxt = start").select("path"))
-        path = n.filter(F.col("nxt") > F.col("start")).filter(~F.array_contains(F.col("path"), F.col("nxt"))).select("start", F.col("nxt").alias("end"), F.concat("path", F.array("nxt")).alias("path"))
-    c = reduce(DataFrame.unionByName, found)
-    n = F.size("path")
-    return c.select("path", n.cast("long").alias("length"), X.label((n <= 2, "high"), (n <= 4, "medium"), default="low").alias("severity"))
-
-
 def single_supports(edges: DataFrame) -> DataFrame:
     """Memories that are the only support of some dependents, with how many."""
     one = edges.filter(F.col("type").isin(DEPENDENCY_TYPES)).select("src", "dst").distinct().groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("support")).filter("n = 1")

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from engramlake.functions import text as X
 from engramlake.operators import skew
+from engramlake.operators import topterms as TT
+from engramlake.session import materialise
 
 # Candidate buckets (resolution, rows) of each recall level; None is any resolution of current memories.
 LEVELS = {
@@ -85,18 +87,32 @@ def contained_in(terms: DataFrame, tokens: DataFrame) -> DataFrame:
     return terms.select("term", F.substring("term", 1, 3).alias("g")).join(t, "g").filter(c.contains(F.col("term"))).select("term", "token")
 
 
-def keyword_search(q: DataFrame, mem: DataFrame, k: int = 10) -> DataFrame:
+def token_blocks(mem: DataFrame) -> DataFrame:
+    """Posting blocks of whole tokens, by importance in steps of a tenth."""
+    return TT.term_blocks(mem, "memory_id", X.word_set(F.col("content")), {"level": F.ceil(F.col("importance") * 10) / 10})
+
+
+def keyword_search(q: DataFrame, mem: DataFrame, k: int = 10, blocks: DataFrame | None = None) -> DataFrame:
     """0.5 per query word found anywhere in the text (also inside words) plus 0.3 importance.
 
-    The substring test runs between vocabularies; memories are then met by whole tokens.
+    The substring test runs between vocabularies.  Blocks of the query vocabulary are then opened only where the words
+    and the importance can still reach the k-th score.
     """
+    blocks = blocks if blocks is not None else materialise(token_blocks(mem), "token-blocks")
     qt = q.select("query_id", F.explode(X.word_set(F.col("text"))).alias("term"))
-    mt = mem.select("memory_id", F.explode(X.word_set(F.col("content"))).alias("token"))
-    pairs = contained_in(qt.select("term").distinct(), mt.select("token").distinct())
-    m_terms = mt.join(pairs, "token").select("memory_id", "term").distinct()
-    s = m_terms.join(qt, "term").groupBy("query_id", "memory_id").agg(F.count("*").alias("matches"))
-    s = s.join(mem.select("memory_id", "importance"), "memory_id").withColumn("score", F.round(F.col("matches") * 0.5 + F.col("importance") * 0.3, 9))
-    return skew.top_k(s, ["query_id"], [F.col("score").desc(), F.col("memory_id")], k)
+    vocabulary = contained_in(qt.select("term").distinct(), blocks.select(F.col("key").alias("token")).distinct())
+    of_term = blocks.join(vocabulary, F.col("key") == F.col("token")).select(F.col("term").alias("key"), "level", "slot", F.explode("rows").alias("id"))
+    of_term = materialise(of_term.groupBy("key", "level", "slot").agg(F.collect_set("id").alias("rows")).withColumn("n", F.size("rows").cast("long")), "term-blocks")
+    text = mem.select(F.col("memory_id").alias("id"), "importance", F.array_join(X.word_set(F.col("content")), " ").alias("tokens"))
+    ask = q.select("query_id", X.word_set(F.col("text")).alias("terms"))
+
+    def exact(pairs: DataFrame) -> DataFrame:
+        j = pairs.join(text, "id").join(ask, "query_id").withColumn("matches", F.size(F.filter("terms", lambda t: F.contains(F.col("tokens"), t))).cast("long")).filter("matches > 0")
+        return j.select("query_id", "id", "matches", "importance", F.round(F.col("matches") * 0.5 + F.col("importance") * 0.3, 9).alias("score"))
+
+    units = qt.select("query_id", F.col("term").alias("unit"), F.col("term").alias("key"), F.lit(0.5).alias("most"))
+    best = TT.best_rows(units, of_term, F.col("reach") + 0.3 * F.col("level"), exact, k)
+    return best.withColumnRenamed("id", "memory_id")
 
 
 def rank_utility(q: DataFrame, pool: DataFrame, as_of, weights: dict[str, float] = UTILITY_WEIGHTS, threshold: float = 0.1, tokens: Column | None = None) -> DataFrame:
@@ -186,8 +202,35 @@ def jaccard_pairs(q: DataFrame, mem: DataFrame) -> DataFrame:
     return g.select("query_id", "memory_id", F.round(F.col("inter") / (F.col("a") + F.col("b") - F.col("inter")), 9).alias("score"))
 
 
-def jaccard_search(q: DataFrame, mem: DataFrame, k: int = 10) -> DataFrame:
-    return skew.top_k(jaccard_pairs(q, mem), ["query_id"], [F.col("score").desc(), F.col("memory_id")], k)
+def size_blocks(mem: DataFrame) -> DataFrame:
+    """Posting blocks of words, by the class of a text's word set (half powers of two): its least and greatest size."""
+    # The word set is a row value of its own, so that the levels do not compute it again.
+    m = mem.select("memory_id", F.explode(F.array(F.array_distinct(X.space_words(F.col("content"))))).alias("words"))
+    m = m.withColumn("n", F.size("words").cast("long")).filter("n > 0").withColumn("power", F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin("n")) - 1))
+    upper = F.col("n") * 2 >= F.col("power") * 3
+    low = F.when(upper, F.ceil(F.col("power") * 3 / 2)).otherwise(F.col("power"))
+    high = F.when(upper, F.col("power") * 2 - 1).otherwise(F.ceil(F.col("power") * 3 / 2) - 1)
+    return TT.term_blocks(m, "memory_id", F.col("words"), {"low": low, "high": high})
+
+
+def jaccard_search(q: DataFrame, mem: DataFrame, k: int = 10, blocks: DataFrame | None = None) -> DataFrame:
+    """Best ``k`` memories of each query by Jaccard of word sets.
+
+    A text of n words that shares c of a query's a words has c / (a + n - c), so blocks of frequent words and of texts
+    much longer or shorter than the query are opened only where that can reach the k-th score.
+    """
+    blocks = blocks if blocks is not None else materialise(size_blocks(mem), "size-blocks")
+    ask = q.select("query_id", F.array_distinct(X.space_words(F.col("text"))).alias("qs"))
+    text = mem.select(F.col("memory_id").alias("id"), F.array_distinct(X.space_words(F.col("content"))).alias("ms"))
+
+    def exact(pairs: DataFrame) -> DataFrame:
+        j = pairs.join(text, "id").join(ask, "query_id").withColumn("inter", X.overlap(F.col("qs"), F.col("ms"))).filter("inter > 0")
+        return j.select("query_id", "id", F.round(F.col("inter") / (F.size("qs") + F.size("ms") - F.col("inter")), 9).alias("score"))
+
+    units = ask.select("query_id", F.size("qs").alias("a"), F.explode("qs").alias("unit")).select("query_id", "unit", F.col("unit").alias("key"), F.lit(1.0).alias("most"), "a")
+    most = F.least("matched", "high")
+    bound = most / (F.col("a") + F.greatest(F.col("low"), most) - most)
+    return TT.best_rows(units, blocks, bound, exact, k).withColumnRenamed("id", "memory_id")
 
 
 def hybrid(vec: DataFrame, key: DataFrame, k: int, w_vec: float = 0.7, w_key: float = 0.3) -> DataFrame:

@@ -7,9 +7,13 @@ buckets, and carry the state between buckets through a table with one row per bu
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from engramlake.session import materialise
+
 
 def latest_rows(df: DataFrame, keys: list[str], order: list[Column], first: bool = False) -> DataFrame:
     """One row per key, the greatest (or least) by ``order``; combines before the shuffle."""
@@ -108,6 +112,61 @@ def interval_join(points: DataFrame, intervals: DataFrame, keys: list[str], at:
     return p.join(i, [*keys, "_m"]).filter((F.col(start) <= F.col(at)) & (F.col(end).isNull() | (F.col(at) < F.col(end)))).drop("_m")
 
 
+#: Bits of a microsecond position below which only points near the end of an interval look: about 18 minutes.
+FINE = 30
+
+
+def _cover(low: Column, high: Column, levels: int) -> Column:
+    """Dyadic nodes (level, index) that make up [low, high): at most two of each level."""
+    def at(level: Column) -> Column:
+        a = F.call_function("shiftright", low + F.call_function("shiftleft", F.lit(1).cast("long"), level) - 1, level)
+        b = F.call_function("shiftright", high, level)
+        node = lambda cond, i: F.when((a < b) & cond, F.struct(level.alias("level"), i.alias("index")))
+        return F.array(node(a % 2 == 1, a), node(b % 2 == 1, b - 1))
+
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), at)))
+
+
+def covering(points: DataFrame, intervals: DataFrame, point_id: str, keys: list[str], at: str, start: str, end: str, value: list[str], best: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
+    """``value`` columns of intervals that cover each point, after ``best`` has reduced every node.
+
+    Intervals are half-open and a null end is open.  Every interval is laid on the at most two dyadic nodes per level
+    that make it up; ``best(rows, node)`` keeps of each node the rows that can matter to a point under it, so overlapping
+    intervals of one key cost what it keeps.  A point asks its ancestors: all coarse ones, and the fine ones only where
+    an interval begins or ends near by.
+    """
+    place = lambda c, base: F.unix_micros(c) - F.lit(base)
+    base, top = intervals.agg(F.min(F.unix_micros(start)), F.max(F.unix_micros(F.coalesce(end, start)))).first()
+    last = points.agg(F.max(F.unix_micros(at))).first()[0]
+    if base is None or last is None or last < base:
+        return points.select(point_id, *[F.lit(None).cast(dict(intervals.dtypes)[v]).alias(v) for v in value]).limit(0)
+    span = max(top, last) - base + 1
+    levels = max(span.bit_length() + 1, FINE + 1)
+    iv = intervals.withColumn("_lo", place(F.col(start), base)).withColumn("_hi", F.coalesce(place(F.col(end), base), F.lit(span))).filter("_lo < _hi")
+    nodes = iv.select(*keys, *value, F.explode(_cover(F.col("_lo"), F.col("_hi"), levels)).alias("n")).select(*keys, *value, F.col("n.level").alias("_level"), F.col("n.index").alias("_index"))
+    node = [*keys, "_level", "_index"]
+    nodes = materialise(best(nodes, node).select(*node, *value), "cover")
+    used = [r[0] for r in nodes.select("_level").distinct().collect()]  # at most 64 levels
+    p = points.select(point_id, *keys, place(F.col(at), base).alias("_x")).filter("_x >= 0")
+    # Points near the ends of intervals of their key.
+    edge = nodes.filter(F.col("_level") < FINE).select(*keys, F.expr(f"shiftright(_index, {FINE} - _level)").alias("_leaf")).distinct()
+    near = p.withColumn("_leaf", F.shiftright("_x", FINE)).join(edge, [*keys, "_leaf"], "left_semi")
+    found = points.select(point_id, *[F.lit(None).cast(t).alias(v) for v, t in nodes.select(*value).dtypes]).limit(0)
+    for rows, some in ((p, [x for x in used if x >= FINE]), (near, [x for x in used if x < FINE])):
+        if some:
+            up = rows.select(point_id, *keys, "_x", F.explode(F.array(*[F.lit(x) for x in some])).alias("_level")).withColumn("_index", F.expr("shiftright(_x, _level)"))
+            found = found.unionByName(up.join(nodes, node).select(point_id, *value))
+    return found
+
+
+def latest_covering(points: DataFrame, intervals: DataFrame, point_id: str, keys: list[str], at: str, start: str, end: str, value: list[str], order: list[str]) -> DataFrame:
+    """``value`` columns of the interval of greatest ``order`` that covers each point; points without one are left out."""
+    cols = list(dict.fromkeys([*value, *order]))
+    greatest = lambda rows, by: rows.groupBy(*by).agg(F.max(F.struct(F.struct(*order).alias("o"), F.struct(*cols).alias("v"))).alias("_b")).select(*by, "_b.v.*")
+    found = covering(points, intervals, point_id, keys, at, start, end, cols, greatest)
+    return greatest(found, [point_id]).select(point_id, *value)
+
+
 # Rows up to which a side is broadcast; beyond it the join is left to a shuffle.
 BROADCAST_ROWS = 1_000_000
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from engramlake.functions import lexicons as L
 from engramlake.functions import text as X
 from engramlake.operators import skew
+from engramlake.operators import topterms as TT
 from engramlake.operators.textfeatures import anchored
 from engramlake.session import materialise
 
@@ -199,6 +200,33 @@ def context_at(mem: DataFrame, events: DataFrame, grid: Column, budget: int = 40
     return skew.prefix_budget(at, ["at_time"], [F.col("priority").desc(), F.col("memory_id")], "tokens", budget)
 
 
+def contexts_at(points: DataFrame, mem: DataFrame, events: DataFrame, budget: int = 4000, keys: list[str] = []) -> DataFrame:
+    """The context at each of a table of moments (at_id, at_time, *keys): current memories of the same keys by priority within a budget.
+
+    The lives of memories are laid on dyadic nodes of time.  Of a node only the rows within the budget and the one that
+    overflows it can matter to a context, and a moment reads the nodes above it, so no memory is repeated for every
+    moment of its life.
+    """
+    m = archived_since(mem.filter("is_current"), events)
+    m = m.select(*keys, "memory_id", X.token_estimate(F.col("content")).alias("tokens"), F.round(F.col("importance") * F.col("confidence"), 9).alias("priority"),
+                 F.greatest("created_at", "valid_from").alias("_from"), F.least("gone_at", "valid_until").alias("_to"))
+    order = [F.col("priority").desc(), F.col("memory_id")]
+
+    def enough(rows: DataFrame, by: list[str]) -> DataFrame:
+        head = skew.top_k(rows, by, order, budget + 1, "_rk")
+        before = Window.partitionBy(*by).orderBy("_rk").rowsBetween(Window.unboundedPreceding, -1)
+        return head.withColumn("_before", F.coalesce(F.sum("tokens").over(before), F.lit(0))).filter(F.col("_before") <= budget)
+
+    found = skew.covering(points, m, "at_id", keys, "at_time", "_from", "_to", ["memory_id", "tokens", "priority"], enough)
+    return skew.prefix_budget(found, ["at_id"], order, "tokens", budget)
+
+
+def decision_contexts(dec: DataFrame, mem: DataFrame, events: DataFrame, budget: int = 4000) -> DataFrame:
+    """The context of the topic of each decision (decision_id, topic, decided_at) when it was made."""
+    points = dec.select(F.col("decision_id").alias("at_id"), "topic", F.col("decided_at").alias("at_time"))
+    return contexts_at(points, mem, events, budget, ["topic"]).withColumnRenamed("at_id", "decision_id")
+
+
 def compare_contexts(a: DataFrame, b: DataFrame) -> DataFrame:
     l = a.select("memory_id", F.col("tokens").alias("tokens_a"))
     r = b.select("memory_id", F.col("tokens").alias("tokens_b"))
@@ -210,21 +238,40 @@ def event_terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(X.word_list(text, 3), lambda w: ~w.isin(L.STOP_WORDS)), lambda w: X.stem(w, L.IRREGULAR_STEMS)))
 
 
-def when_answers(q: DataFrame, msg: DataFrame) -> DataFrame:
+def _timed(pad: Column) -> tuple[Column, Column]:
+    """Does a turn hold a word of time, and a number of years ago or from now?"""
+    return X.has_phrase(pad, TIME_WORDS), pad.rlike(rf" (?:\d+|{'|'.join(L.NUMBER_WORDS)}) years? (?:ago|now) ")
+
+
+def turn_blocks(msg: DataFrame) -> DataFrame:
+    """Posting blocks of turns: stems (s:), four-letter beginnings (p:) and speakers (@), by time bonus and year."""
+    words = X.word_list(F.col("text"))
+    stems = F.transform(words, lambda w: F.concat(F.lit("s:"), X.stem(w, L.IRREGULAR_STEMS)))
+    heads = F.transform(F.filter(words, lambda w: F.length(w) >= 3), lambda w: F.concat(F.lit("p:"), F.substring(w, 1, 4)))
+    timed, years = _timed(X.padded(F.col("text")))
+    bonus = F.when(timed, 2.0).otherwise(0.0) + F.when(years, 3.0).otherwise(0.0)
+    return TT.term_blocks(msg, "message_id", F.concat(stems, heads, F.array(F.concat(F.lit("@"), F.coalesce(F.lower("speaker"), F.lit(""))))), {"time": bonus, "year": F.coalesce(F.year("created_at"), F.lit(0))})
+
+
+def when_answers(q: DataFrame, msg: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
     """Best dated turn per "when" question (query_id, text, subject) and the calendar date it means."""
-    pad = X.padded(F.col("text"))
-    nums = "|".join(L.NUMBER_WORDS)
-    m = msg.select("message_id", "speaker", "text", "created_at", X.has_phrase(pad, TIME_WORDS).alias("timed"),
-                   pad.rlike(rf" (?:\d+|{nums}) years? (?:ago|now) ").alias("years"))
-    t = q.select("query_id", "subject", F.explode(event_terms(F.col("text"))).alias("term"))
-    w = msg.select("message_id", F.explode(F.array_distinct(F.transform(X.word_list(F.col("text")), lambda x: X.stem(x, L.IRREGULAR_STEMS)))).alias("term"))
-    hit = t.join(w, "term").groupBy("query_id", "subject", "message_id").agg(F.sum(F.when(F.length("term") > 4, 1.5).otherwise(1.0)).alias("overlap"))
-    s = hit.join(m.select("message_id", "speaker", "timed", "years"), "message_id").filter((F.col("overlap") >= 2.0) | F.col("timed"))
-    score = F.col("overlap") * 3.0 + F.when(F.lower("speaker") == F.lower("subject"), 1.0).otherwise(0.0) + F.when(F.col("timed"), 2.0).otherwise(0.0) + F.when(F.col("years"), 3.0).otherwise(0.0)
-    best = skew.latest_rows(s.select("query_id", "message_id", score.alias("score")), ["query_id"], [F.col("score"), -F.col("message_id")])
+    blocks = blocks if blocks is not None else materialise(turn_blocks(msg), "turn-blocks")
+    timed, years = _timed(X.padded(F.col("text")))
+    stems = F.array_distinct(F.transform(X.word_list(F.col("text")), lambda x: X.stem(x, L.IRREGULAR_STEMS)))
+    m = msg.select(F.col("message_id").alias("id"), "speaker", timed.alias("timed"), years.alias("years"), stems.alias("stems"))
+    ask = q.select("query_id", "subject", event_terms(F.col("text")).alias("terms"))
+    worth = lambda t: F.when(F.length(t) > 4, 1.5).otherwise(1.0)
+
+    def exact(pairs: DataFrame) -> DataFrame:
+        j = pairs.join(m, "id").join(ask, "query_id").withColumn("overlap", F.aggregate(F.array_intersect("terms", "stems"), F.lit(0.0), lambda a, t: a + worth(t)))
+        score = F.col("overlap") * 3.0 + F.when(F.lower("speaker") == F.lower("subject"), 1.0).otherwise(0.0) + F.when(F.col("timed"), 2.0).otherwise(0.0) + F.when(F.col("years"), 3.0).otherwise(0.0)
+        return j.filter((F.col("overlap") >= 2.0) | (F.col("timed") & (F.col("overlap") > 0))).select("query_id", "id", score.alias("score"))
+
+    units = ask.select("query_id", F.explode("terms").alias("unit")).select("query_id", "unit", F.concat(F.lit("s:"), F.col("unit")).alias("key"), (3.0 * worth(F.col("unit"))).alias("most"))
+    best = TT.best_rows(units, blocks, F.col("reach") + 1.0 + F.col("time"), exact, 1).select("query_id", F.col("id").alias("message_id"), "score")
     year = F.regexp_extract("text", r"(20\d{2})", 1)
     date = F.coalesce(anchored(F.col("text"), F.col("created_at")), F.when(F.lower("text").contains("since") & (year != ""), F.concat(F.lit("Since "), year)), F.when(year != "", year), X.day_text(F.col("created_at")))
-    return best.join(m.select("message_id", "text", "created_at"), "message_id").select("query_id", "message_id", "score", date.alias("answer"))
+    return best.join(msg.select("message_id", "text", "created_at"), "message_id").select("query_id", "message_id", "score", date.alias("answer"))
 
 
 def event_dates(named: DataFrame, msg: DataFrame) -> DataFrame:

@@ -10,13 +10,14 @@ from engramlake.operators import recall as H
 from engramlake.plans import composite as P
 from engramlake.session import AS_OF, materialise
 from engramlake.operators.facts import extract_facts
+from engramlake.operators.temporal import turn_blocks
 from engramlake.sources import bindings as B
 from registry import EXTRA_CTES, query
 from registry import snippets as S
 from registry.compression import versions
 from registry.graph import bfs_sql
 from registry.lifecycle import NOW, sv
-from registry.recall import index, stored_index, pool
+from registry.recall import index, stored, stored_index, pool
 from registry.temporal import when_questions
 from registry.textfeatures import bigram_sql
 
@@ -101,17 +102,28 @@ def stated(spark, d):
     return n.join(f, "message_id", "left")
 
 
+def turn_index(spark, d):
+    """Posting blocks of the turns, written once."""
+    return stored(spark, d, "turn-blocks", ["events"], lambda: materialise(turn_blocks(B.notes(spark, d)), "turn-blocks"))
+
+
+def erank(spark, d, k):
+    return V.rank_evidence(ask(spark, d), stated(spark, d), k, turn_index(spark, d))
+
+
 def escore(spark, d):
     return V.evidence_score(ask(spark, d), stated(spark, d))
 
 
 @query("evidence_score", "SELECT query_id, message_id, round(lexical, 5) AS lexical, semantic, entity, actor, temporal, provenance, round(score, 5) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, message_id) AS rank FROM escore QUALIFY rank <= 30")
 def evidence_score(spark, d):
-    t = V.top_evidence(escore(spark, d), 30).select("query_id", "message_id", "lexical", "semantic", "entity", "actor", "temporal", "provenance", "score", "rank")
+    t = V.top_evidence_scored(ask(spark, d), stated(spark, d), 30, turn_index(spark, d)).select("query_id", "message_id", "lexical", "semantic", "entity", "actor", "temporal", "provenance", "score", "rank")
     return t.withColumn("lexical", F.round("lexical", 5)).withColumn("score", F.round("score", 5))
 
 
-EXTRA_CTES["erank"] = f"""WITH qt AS (SELECT query_id, unnest(list_distinct(list_filter({S.words('text')}, lambda x: length(x) >= 3 AND x NOT IN ({STOP})))) AS term FROM eq), w AS MATERIALIZED (SELECT message_id, unnest(list_distinct(list_filter({S.words('text')}, lambda x: length(x) >= 3))) AS word FROM notes),
+_syn = "MAP {" + ", ".join(f"{S.q(k)}: {S.lst(v)}" for k, v in L.SYNONYMS.items()) + "}"
+EXTRA_CTES["erank"] = f"""WITH q1 AS (SELECT query_id, list_distinct(list_filter({S.words('text')}, lambda x: length(x) >= 3)) AS a FROM eq), q2 AS (SELECT query_id, CASE WHEN len(list_filter(a, lambda x: x NOT IN ({', '.join(S.q(w) for w in L.CONVERSATION_STOP_WORDS)}))) > 0 THEN list_filter(a, lambda x: x NOT IN ({', '.join(S.q(w) for w in L.CONVERSATION_STOP_WORDS)})) ELSE a END AS a FROM q1),
+qt AS (SELECT query_id, unnest(list_distinct(list_concat(a, flatten(list_transform(a, lambda x: coalesce({_syn}[x], [])))))) AS term FROM q2), w AS MATERIALIZED (SELECT message_id, unnest(list_distinct(list_filter({S.words('text')}, lambda x: length(x) >= 3))) AS word FROM notes),
 p AS (SELECT query_id, message_id, term, max(CAST(term = word AS INTEGER)) AS ex, max(CAST(length(word) >= 4 AS INTEGER)) AS lg FROM qt JOIN w ON left(term, 4) = left(word, 4) GROUP BY ALL),
 s AS (SELECT query_id, message_id, sum(CASE WHEN ex = 1 THEN 1.0 WHEN length(term) >= 4 AND lg = 1 THEN 0.5 ELSE 0.0 END) AS v FROM p GROUP BY ALL), n AS (SELECT query_id, count(*) AS n FROM qt GROUP BY query_id), t AS (SELECT n.message_id, lower(speaker) AS sp, {S.padded('text')} AS pad, lower(text) AS low, lower(x.entity) AS en, CAST(n.created_at AS DATE) AS day FROM notes n LEFT JOIN xfacts x ON x.fact_id = n.message_id),
 a AS (SELECT query_id, lower(subject) AS su, regexp_extract(text, {S.q(V.TARGET_DATE)}, 0) AS target, lower(text) AS ql FROM eq),
@@ -127,7 +139,7 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, message_
 
 @query("rank_evidence", "SELECT query_id, message_id, round(score, 6) AS score, rank FROM erank WHERE rank <= 10")
 def rank_evidence(spark, d):
-    return r6(V.rank_evidence(ask(spark, d), stated(spark, d), 10), "score")
+    return r6(erank(spark, d, 10), "score")
 
 
 EXTRA_CTES["nseed"] = "SELECT query_id AS set_id, memory_id AS node FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) <= 4"
@@ -161,7 +173,7 @@ SELECT query_id, message_id, CAST(class AS INTEGER) AS class, row_number() OVER
 
 def widened(spark, d):
     q, n = ask(spark, d), B.notes(spark, d)
-    return V.widen(V.rank_evidence(q, stated(spark, d), 60), V.wide_slice(q, n), q, n)
+    return V.widen(erank(spark, d, 60), V.wide_slice(q, n), q, n)
 
 
 @query("widen_selection", "SELECT * FROM widened")
@@ -169,13 +181,16 @@ def widen_selection(spark, d):
     return widened(spark, d)
 
 
-@query("diverse_select", f"""WITH RECURSIVE p AS (SELECT query_id, message_id, conv_id, rank, CAST(least(len({S.space_words('text')}), CASE WHEN role = 'assistant' THEN 35 ELSE 120 END) AS BIGINT) AS tokens, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rn FROM erank JOIN notes USING (message_id) WHERE rank <= 60),
+EXTRA_CTES["dsel"] = f"""WITH RECURSIVE p AS (SELECT query_id, message_id, conv_id, rank, CAST(least(len({S.space_words('text')}), CASE WHEN role = 'assistant' THEN 35 ELSE 120 END) AS BIGINT) AS tokens, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rn FROM erank JOIN notes USING (message_id) WHERE rank <= 60),
 f AS (SELECT DISTINCT query_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS used, CAST([] AS BIGINT[]) AS convs, CAST(NULL AS BIGINT) AS message_id, CAST(NULL AS BIGINT) AS conv_id, CAST(NULL AS BIGINT) AS rank, CAST(NULL AS BIGINT) AS tokens FROM p
 UNION ALL SELECT query_id, rn, CASE WHEN ok THEN used + tokens ELSE used END, CASE WHEN ok THEN list_append(convs, conv_id) ELSE convs END, CASE WHEN ok THEN message_id END, conv_id, rank, tokens FROM
  (SELECT p.*, f.used, f.convs, (f.used + p.tokens <= 250 OR len(f.convs) = 0) AND len(list_filter(f.convs, lambda c: c = p.conv_id)) < 2 AS ok FROM f JOIN p ON p.query_id = f.query_id AND p.rn = f.rn + 1) x)
-SELECT query_id, message_id, conv_id, rank, tokens FROM f WHERE message_id IS NOT NULL""")
+SELECT query_id, message_id, conv_id, rank, tokens FROM f WHERE message_id IS NOT NULL"""
+
+
+@query("diverse_select", "SELECT * FROM dsel")
 def diverse_select(spark, d):
-    return V.diverse_select(V.rank_evidence(ask(spark, d), stated(spark, d), 60), B.notes(spark, d))
+    return V.diverse_select(erank(spark, d, 60), B.notes(spark, d))
 
 
 @query("coverage_certificate", f"""WITH s AS (SELECT query_id, message_id FROM widened WHERE rank <= 12), t AS (SELECT message_id, conv_id, speaker, created_at, {S.padded('text')} AS pad FROM notes), q AS (SELECT query_id, lower(subject) AS subject, asked_at, {S.padded('text')} AS qpad FROM eq),
@@ -194,7 +209,7 @@ SELECT query_id, unresolved, t IS NOT NULL AND unresolved IS NULL AS sufficient
 
 def suff(spark, d):
     q, n = ask(spark, d), B.notes(spark, d)
-    return V.sufficiency(q, V.rank_evidence(q, stated(spark, d), 2), n)
+    return V.sufficiency(q, erank(spark, d, 2), n)
 
 
 @query("evidence_sufficiency", "SELECT * FROM suff")
@@ -205,7 +220,7 @@ def evidence_sufficiency(spark, d):
 @query("ground_answers")
 def ground_answers(spark, d):
     q, n = ask(spark, d), B.notes(spark, d)
-    sel = V.rank_evidence(q, stated(spark, d), 10)
+    sel = erank(spark, d, 10)
     best = sel.filter("rank = 1").join(n.select("message_id", "text"), "message_id").select("query_id", F.col("text").alias("answer"))
     a = q.join(best, "query_id").select(F.col("query_id").alias("answer_id"), F.col("text").alias("question"), "answer", "subject")
     return V.ground_answers(a, sel.join(n.select("message_id", "speaker", "text"), "message_id").select(F.col("query_id").alias("answer_id"), "speaker", "text"))
@@ -258,7 +273,7 @@ j AS (SELECT r.query_id, r.message_id, r.rank, greatest(0.0, 100.0 - (r.rank - 1
 SELECT query_id, message_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS new_rank FROM j""")
 def hop_rerank(spark, d):
     q, n = ask(spark, d), B.notes(spark, d)
-    ranked = V.rank_evidence(q, stated(spark, d), 60)
+    ranked = erank(spark, d, 60)
     from engramlake.operators.skew import neighbour
 
     nx = neighbour(n.select("conv_id", "turn", "message_id", F.expr("turn div 64").alias("b")), ["conv_id"], "b", ["turn"], ["message_id"], "next_", forward=True).filter("next_message_id is not null")
@@ -284,13 +299,33 @@ def search_propositions(spark, d):
     return V.search_propositions(_pq(spark, d), f, E.proposition_graph(f, E.state_history(f)))
 
 
-@query("repair_coverage")
+_words = f"CAST(greatest(1, len({S.space_words('text')})) AS BIGINT)"
+
+
+@query("repair_coverage", f"""WITH m AS (SELECT query_id, message_id, conv_id, rank, {_words} AS tokens FROM erank JOIN notes USING (message_id) WHERE NOT EXISTS (SELECT 1 FROM dsel WHERE dsel.query_id = erank.query_id AND dsel.conv_id = notes.conv_id)
+ QUALIFY row_number() OVER (PARTITION BY query_id, conv_id ORDER BY rank) <= 3), b AS (SELECT *, sum(tokens) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS used FROM m)
+SELECT query_id, message_id, conv_id, false AS restored FROM dsel UNION ALL SELECT query_id, message_id, conv_id, true FROM b WHERE used <= 400""")
 def repair_coverage(spark, d):
     n = B.notes(spark, d)
-    ranked = V.rank_evidence(ask(spark, d), stated(spark, d), 60)
+    ranked = erank(spark, d, 60)
     return V.repair_coverage(V.diverse_select(ranked, n), ranked, n)
 
 
+@query("restore_until_sufficient", f"""WITH sl AS (SELECT query_id, message_id FROM erank WHERE rank <= 1), t AS (SELECT message_id, conv_id, lower(speaker) AS sp, created_at, {S.padded('text')} AS pad, {_words} AS tokens FROM notes),
+q AS (SELECT query_id, lower(subject) AS subject, asked_at, {S.has_phrase('qpad', ['final', 'decision', 'decided', 'adopt'])} AS asks FROM (SELECT *, {S.padded('text')} AS qpad FROM eq)),
+x AS (SELECT q.query_id, q.subject, q.asked_at, q.asks, t.*, e.rank, sp = subject OR {_has('pad', 'subject')} AS own, {S.has_phrase('pad', ['decided', 'decision'])} AS decides FROM q JOIN erank e ON e.query_id = q.query_id JOIN t ON t.message_id = e.message_id),
+h AS (SELECT q.query_id, q.asks, count(x.message_id) AS units, coalesce(bool_or(own), false) AS e_ok, coalesce(bool_and(x.created_at <= q.asked_at), false) AS t_ok, NOT q.asks OR coalesce(bool_or(decides), false) AS d_ok, coalesce(sum(tokens), 0) AS used
+ FROM q LEFT JOIN x ON x.query_id = q.query_id AND x.rank <= 1 GROUP BY q.query_id, q.asks),
+l AS (SELECT x.*, h.used, h.units, h.e_ok, h.t_ok, h.d_ok, row_number() OVER (PARTITION BY x.query_id ORDER BY x.rank) AS place FROM x JOIN h ON h.query_id = x.query_id WHERE x.rank > 1 AND NOT (e_ok AND t_ok AND d_ok AND units >= 1) QUALIFY place <= 24),
+k AS (SELECT query_id, CASE WHEN any_value(e_ok) THEN 0 ELSE min(place) FILTER (own) END AS ne, CASE WHEN any_value(d_ok) THEN 0 ELSE min(place) FILTER (decides) END AS nd, CASE WHEN any_value(units) >= 1 THEN 0 ELSE 1 END AS np, min(place) FILTER (created_at > asked_at) AS late, any_value(units) = 0 OR any_value(t_ok) AS fine FROM l GROUP BY query_id),
+s AS (SELECT query_id, CASE WHEN fine AND ne IS NOT NULL AND nd IS NOT NULL AND (late IS NULL OR late > greatest(ne, nd, np)) THEN greatest(ne, nd, np) END AS stop FROM k),
+r AS (SELECT l.*, stop, sum(tokens) OVER (PARTITION BY l.query_id ORDER BY place ROWS UNBOUNDED PRECEDING) AS run FROM l JOIN s ON s.query_id = l.query_id WHERE stop IS NULL OR place <= stop)
+SELECT query_id, message_id, conv_id, rank, count(*) OVER (PARTITION BY query_id) AS restored, coalesce(max(place) OVER (PARTITION BY query_id) = stop, false) AS sufficient FROM r WHERE used + run <= 100""")
+def restore_until_sufficient(spark, d):
+    ranked = materialise(erank(spark, d, 60), "ranked")
+    return V.restore_until_sufficient(ask(spark, d), ranked.filter("rank <= 1"), ranked, B.notes(spark, d), 100)
+
+
 EXTRA_CTES["parts"] = f"""WITH p AS ({' UNION ALL '.join(f"SELECT topic, memory_id, {l} AS level, {S.tokens('content')} AS tokens, round({'1.0' if l == 0 else f'{b} * importance * confidence'}, 9) AS priority FROM pool{l}" for l, b in I.LEVEL_BASE)}),
 u AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY topic, memory_id ORDER BY level) = 1)
 SELECT query_id, u.*, CASE WHEN priority >= 0.7 THEN 'high' WHEN priority >= 0.3 THEN 'medium' ELSE 'low' END AS tier FROM qry JOIN u USING (topic)"""
@@ -325,6 +360,12 @@ def select_parts(spark, d):
     return I.select_parts(parts(spark, d), 4000).select("query_id", "memory_id", "tokens", "truncated")
 
 
+@query("selected_text", f"""SELECT query_id, memory_id, truncated, md5(CASE WHEN truncated THEN left(content, CAST(psel.tokens * 3 AS INTEGER)) || '{I.CUT_MARK}' ELSE content END) AS text_md5 FROM psel JOIN mem USING (memory_id)""")
+def selected_text(spark, d):
+    p = parts(spark, d).join(B.memories(spark, d).select("memory_id", "content"), "memory_id")
+    return I.select_parts(p, 4000).select("query_id", "memory_id", "truncated", F.md5("content").alias("text_md5"))
+
+
 @query("selection_stats", """WITH x AS (SELECT query_id, count(*) AS parts, CAST(sum(tokens) AS BIGINT) AS raw_tokens FROM parts GROUP BY query_id), y AS (SELECT query_id, count(*) AS selected, CAST(sum(tokens) AS BIGINT) AS effective_tokens, count(*) FILTER (truncated) AS truncated FROM psel GROUP BY query_id)
 SELECT *, round(raw_tokens / effective_tokens, 6) AS ratio FROM x JOIN y USING (query_id)""")
 def selection_stats(spark, d):
@@ -398,7 +439,7 @@ h AS (SELECT g.query_id, g.fact_id, s + CASE WHEN s >= 8 AND EXISTS (SELECT 1 FR
 SELECT query_id, fact_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fact_id) AS rank FROM h QUALIFY rank <= 3""")
 def retain_chains(spark, d):
     q, n = ask(spark, d), B.notes(spark, d)
-    return J.retain_chains(q, V.rank_evidence(q, stated(spark, d), 5).select("query_id", F.col("message_id").alias("fact_id")), chain_facts(spark, d))
+    return J.retain_chains(q, erank(spark, d, 5).select("query_id", F.col("message_id").alias("fact_id")), chain_facts(spark, d))
 
 
 def _hops_sql(hops=3, per_hop=15):
@@ -416,7 +457,7 @@ st AS MATERIALIZED (SELECT node, next FROM x UNION SELECT next, node FROM x), h0
 @query("expand_hops", _hops_sql())
 def expand_hops(spark, d):
     q, n, f = ask(spark, d), B.notes(spark, d), B.facts(spark, d)
-    pool_ = V.rank_evidence(q, stated(spark, d), 5).select("query_id", F.col("message_id").alias("node"))
+    pool_ = erank(spark, d, 5).select("query_id", F.col("message_id").alias("node"))
     from engramlake.operators.skew import neighbour
 
     nx = neighbour(n.select("conv_id", "turn", "message_id", F.expr("turn div 64").alias("b")), ["conv_id"], "b", ["turn"], ["message_id"], "next_", forward=True).filter("next_message_id is not null")

@@ -136,14 +136,14 @@ def truth_sections(spark, d):
 
 @query("resolve_facts", """
 WITH q AS (SELECT fact_id AS query_id, entity, property, ts + INTERVAL 1 HOUR AS asked_at FROM facts),
-n AS (SELECT DISTINCT entity, property FROM facts WHERE relation = 'never' AND status = 'active' AND source = 'src1'),
+n AS (SELECT DISTINCT entity, property FROM facts WHERE relation = 'never' AND status = 'active'),
 f AS (SELECT q.query_id, h.value FROM q JOIN hist h ON q.entity = h.entity AND q.property = h.property AND h.valid_from <= asked_at AND (h.valid_until IS NULL OR asked_at < h.valid_until))
-SELECT q.query_id, q.entity, q.property, n.entity IS NOT NULL AS abstain, CASE WHEN n.entity IS NULL THEN f.value END AS value
+SELECT q.query_id, q.entity, q.property, n.entity IS NOT NULL AS abstain, CASE WHEN n.entity IS NULL THEN f.value END AS value, f.value AS held
 FROM q LEFT JOIN n ON q.entity = n.entity AND q.property = n.property LEFT JOIN f ON q.query_id = f.query_id""")
 def resolve_facts(spark, d):
     f = B.facts(spark, d)
     q = f.select(F.col("fact_id").alias("query_id"), "entity", "property", (F.col("ts") + F.expr("interval 1 hour")).alias("asked_at"))
-    return E.resolve_facts(q, f.filter("status = 'active' and source = 'src1'"), hist(spark, d))
+    return E.resolve_facts(q, f.filter("status = 'active'"), hist(spark, d))
 
 
 EXTRA_CTES["fq"] = "SELECT min(fact_id) AS query_id, entity, 'what did the user ' || max(property) || ' ' || min(value) || ' user_1' AS text FROM facts GROUP BY entity"
@@ -184,16 +184,21 @@ def behaviour_patterns(spark, d):
     return E.behaviour_patterns(B.facts(spark, d))
 
 
-EXTRA_CTES["aq"] = """WITH e AS (SELECT event_type, min(event_id) AS i FROM events GROUP BY event_type)
-SELECT i * 10 + k AS query_id, op, CASE WHEN k = 0 THEN event_type END AS unit, 'how many ' || event_type || ' items bought in total before' AS text FROM e, (VALUES (0, 'sum'), (1, 'average'), (2, 'count')) v(k, op)"""
+_forms = ["how many # items were bought in total before", "what is the average of # items bought before", "how many times did someone buy # items before", "how much money was spent on # before", "when did i buy the most # items"]
+EXTRA_CTES["aq"] = f"""WITH e AS (SELECT event_type, min(event_id) AS i FROM events GROUP BY event_type), x AS (SELECT i * 10 + k AS query_id, replace(t, '#', event_type) AS text FROM e, (VALUES {', '.join(f"({k}, '{t}')" for k, t in enumerate(_forms))}) v(k, t)),
+y AS (SELECT query_id, text, CASE WHEN contains(text, 'average') THEN 'average' WHEN {S.contains_any('text', E.SUM_WORDS)} THEN 'sum' ELSE 'count' END AS op, regexp_extract(text, 'how (?:many|much) ([a-z_]+)', 1) AS noun FROM x WHERE {S.contains_any('text', E.AGGREGATE_WORDS)} AND NOT ({S.contains_any('text', E.OTHER_QUESTIONS)}))
+SELECT query_id, text, op, CASE WHEN contains(text, 'money') OR contains(text, 'spent') THEN '$' WHEN noun <> '' AND noun NOT IN ({', '.join(S.q(w) for w in E.NO_UNIT)}) THEN noun END AS unit FROM y"""
 
 
 def quantity_questions(spark, d):
     e = B.table(spark, d, "events").groupBy("event_type").agg(F.min("event_id").alias("i"))
-    ops = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(o).alias("op")) for k, o in enumerate(["sum", "average", "count"])])
-    e = e.select("event_type", "i", F.explode(ops).alias("o"))
-    return e.select((F.col("i") * 10 + F.col("o.k")).alias("query_id"), "o.op", F.when(F.col("o.k") == 0, F.col("event_type")).alias("unit"),
-                    F.concat(F.lit("how many "), "event_type", F.lit(" items bought in total before")).alias("text"))
+    e = e.select("event_type", "i", F.posexplode(F.array(*[F.lit(t) for t in _forms])).alias("k", "t"))
+    return e.select((F.col("i") * 10 + F.col("k")).alias("query_id"), F.replace("t", F.lit("#"), F.col("event_type")).alias("text"))
+
+
+@query("read_questions", "SELECT query_id, op, unit FROM aq")
+def read_questions(spark, d):
+    return E.read_questions(quantity_questions(spark, d)).filter("op is not null").select("query_id", "op", "unit")
 
 
 from engramlake.functions import lexicons as L  # noqa: E402
@@ -208,7 +213,7 @@ t AS (SELECT query_id, unnest(list_filter(list_distinct({S.words('text')}), lamb
 w AS (SELECT conv_id, turn, pos, num, unnest(list_distinct({S.words('sentence')})) AS term FROM s2),
 h AS (SELECT query_id, conv_id, turn, pos, count(*) + CASE WHEN num THEN 2.0 ELSE 0.0 END AS score FROM t JOIN w USING (term) GROUP BY query_id, conv_id, turn, pos, num),
 b AS (SELECT * FROM h WHERE score >= 2.5 QUALIFY row_number() OVER (PARTITION BY query_id, conv_id ORDER BY score DESC, turn, pos) = 1),
-c AS (SELECT b.query_id, op, sentence, try_cast(CASE WHEN unit IS NOT NULL AND regexp_extract(sentence, '(?i){_num}\s+' || unit, 1) <> '' THEN regexp_extract(sentence, '(?i){_num}\s+' || unit, 1)
+c AS (SELECT b.query_id, op, sentence, try_cast(CASE WHEN unit = '$' AND regexp_extract(sentence, '\$(\d+(?:\.\d+)?)', 1) <> '' THEN regexp_extract(sentence, '\$(\d+(?:\.\d+)?)', 1) WHEN unit <> '$' AND regexp_extract(sentence, '(?i){_num}\s+' || unit, 1) <> '' THEN regexp_extract(sentence, '(?i){_num}\s+' || unit, 1)
   ELSE regexp_extract(sentence, '{_num}', 1) END AS DOUBLE) AS amount FROM b JOIN s2 USING (conv_id, turn, pos) JOIN aq USING (query_id))
 SELECT query_id, op, count(*) AS sessions, round(CASE op WHEN 'sum' THEN sum(amount) WHEN 'average' THEN avg(amount) ELSE CAST(count(DISTINCT sentence) AS DOUBLE) END, 6) AS answer FROM c GROUP BY query_id, op""")
 def aggregate_quantities(spark, d):

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from engramlake.operators import graph as J
+from engramlake.operators import paths as Y
 from engramlake.operators import recall as H
 from engramlake.operators import temporal as T
 from engramlake.session import AS_OF, materialise
@@ -83,7 +84,7 @@ h AS (SELECT a, b, 1 AS length, path FROM f1 WHERE node = b UNION ALL SELECT a,
 SELECT a, b, CAST(x.l AS INTEGER) AS length, array_to_string(x.p, '>') AS path FROM m""")
 def shortest_paths(spark, d):
     p = B.memories(spark, d).select(F.col("memory_id").alias("a"), F.expr("memory_id div 7").alias("b")).filter("a <> b")
-    return path_text(J.shortest_paths(p, B.edges(spark, d)))
+    return path_text(Y.shortest_paths(p, B.edges(spark, d)))
 
 
 EXTRA_CTES["evedge"] = f"""WITH a AS (SELECT message_id, {S.words('text')} AS ws FROM msg),
@@ -185,7 +186,7 @@ p3 AS (SELECT start, dst AS fin, list_append(path, dst) AS path FROM p2 JOIN e O
 p5 AS (SELECT start, dst AS fin, list_append(path, dst) AS path FROM p4 JOIN e ON fin = src WHERE dst > start AND NOT list_contains(path, dst)), c AS (SELECT * FROM p2 UNION ALL SELECT * FROM p3 UNION ALL SELECT * FROM p4 UNION ALL SELECT * FROM p5)
 SELECT array_to_string(path, '>') AS path, CAST(len(path) AS BIGINT) AS length, CASE WHEN len(path) <= 2 THEN 'high' WHEN len(path) <= 4 THEN 'medium' ELSE 'low' END AS severity FROM c JOIN e ON fin = src AND dst = start""")
 def dependency_cycles(spark, d):
-    return path_text(J.cycles(B.edges(spark, d)))
+    return path_text(Y.cycles(B.edges(spark, d)))
 
 
 @query("single_supports", f"WITH o AS (SELECT src, count(DISTINCT dst) AS n, min(dst) AS support FROM edges WHERE type IN ({_dt}) GROUP BY src HAVING count(DISTINCT dst) = 1) SELECT support, count(*) AS sole_dependents, min(src) AS first_dependent FROM o GROUP BY support")

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from engramlake.operators import recall as H
 from engramlake.operators import vectors as V
-from engramlake.session import AS_OF, work_path
+from engramlake.session import AS_OF, fingerprint, materialise, work_path
 from engramlake.sources import bindings as B
 from registry import EXTRA_CTES, query
 from registry import snippets as S
@@ -37,6 +37,17 @@ def recall_candidates(spark, d):
     return out
 
 
+_STORED: dict = {}
+
+
+def stored(spark, d, what, tables, build):
+    """Something built once per application from tables as they are now, and read by every query over them."""
+    key = (spark.sparkContext.applicationId, d, what, *[fingerprint(B.table(spark, d, t)) for t in tables])
+    if key not in _STORED:
+        _STORED[key] = build()
+    return _STORED[key]
+
+
 def _q(spark, d):
     return B.recall_queries(spark, d)
 
@@ -84,7 +95,9 @@ SELECT query_id, memory_id, matches, round(matches * 0.5 + importance * 0.3, 9)
 
 @query("keyword_search", "SELECT query_id, memory_id, matches, rank, round(score, 6) AS score FROM kws")
 def keyword_search(spark, d):
-    return r6(H.keyword_search(_q(spark, d), B.memories(spark, d), 10).drop("importance"), "score")
+    m = B.memories(spark, d)
+    blocks = stored(spark, d, "token-blocks", ["documents"], lambda: materialise(H.token_blocks(m), "token-blocks"))
+    return r6(H.keyword_search(_q(spark, d), m, 10, blocks).drop("importance"), "score")
 
 
 EXTRA_CTES["rutil"] = f"""WITH a AS (SELECT *, least(1.0, overlap / greatest(1, query_terms)) AS relevance, greatest(0.1, 1.0 - {S.whole_days(NOW, 'created_at')} / 180) AS recency,
@@ -165,17 +178,31 @@ def topic_vectors(spark, d):
     return V.centroids(vec, "label").select(F.col("label").cast("long").alias("query_id"), "embedding"), vec
 
 
+def stored_vectors(spark, d):
+    return stored(spark, d, "vectors", ["embeddings"], lambda: V.store_vectors(B.table(spark, d, "embeddings"), work_path(spark, "vectors")))
+
+
 @query("knn_topic_centroids", """WITH s AS (SELECT query_id, vec_id, round(list_cosine_similarity(c, embedding::DOUBLE[]), 9) AS score FROM cent, embeddings)
 SELECT query_id, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s WHERE score >= 0.1 QUALIFY rank <= 10""")
 def knn_topic_centroids(spark, d):
-    qv, vec = topic_vectors(spark, d)
-    return r6(V.knn(qv, vec, 10, 0.1), "score")
+    qv, _ = topic_vectors(spark, d)
+    return r6(V.knn(qv, stored_vectors(spark, d), 10, 0.1), "score")
 
 
 @query("ann_topic_centroids")
 def ann_topic_centroids(spark, d):
-    qv, vec = topic_vectors(spark, d)
-    return V.ann(qv, vec, 10)
+    qv, _ = topic_vectors(spark, d)
+    return V.ann(qv, stored_vectors(spark, d), 10)
+
+
+@query("ann_recall", "SELECT vec_id AS query_id, CAST(10 AS BIGINT) AS expected, true AS enough FROM embeddings WHERE vec_id % 100 = 0")
+def ann_recall(spark, d):
+    """Approximate against exact search of every vector whose id is divisible by 100: at least 0.9 of the neighbours in the mean."""
+    qv = B.table(spark, d, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    index = stored_vectors(spark, d)
+    r = materialise(V.recall_of(V.ann(qv, index, 10), V.knn(qv, index, 10)), "ann-recall")
+    mean = r.agg((F.sum("found") / F.sum("expected")).alias("mean"))
+    return r.join(F.broadcast(mean)).select("query_id", "expected", (F.col("mean") >= 0.9).alias("enough"))  # one row
 
 
 EXTRA_CTES["jac"] = f"""WITH a AS (SELECT query_id, list_distinct({S.space_words('text')}) AS s FROM qry), b AS (SELECT memory_id, list_distinct({S.space_words('content')}) AS s FROM mem),
@@ -184,9 +211,15 @@ g AS (SELECT query_id, memory_id, n, m, count(*) AS i FROM x JOIN y USING (t) GR
 EXTRA_CTES["jacs"] = "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS rank FROM jac QUALIFY rank <= 20"
 
 
+def jaccard(spark, d, k):
+    m = B.memories(spark, d)
+    blocks = stored(spark, d, "size-blocks", ["documents"], lambda: materialise(H.size_blocks(m), "size-blocks"))
+    return H.jaccard_search(_q(spark, d), m, k, blocks)
+
+
 @query("jaccard_search", "SELECT query_id, memory_id, round(score, 6) AS score, rank FROM jacs WHERE rank <= 10")
 def jaccard_search(spark, d):
-    return r6(H.jaccard_search(_q(spark, d), B.memories(spark, d), 10), "score")
+    return r6(jaccard(spark, d, 10), "score")
 
 
 def index(spark, d):
@@ -201,15 +234,9 @@ b AS (SELECT query_id, sum(idf) * 2.5 AS max_possible FROM w GROUP BY query_id),
 s AS (SELECT query_id, memory_id, round(sum(idf * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * dl / n.a))), 9) AS score FROM w JOIN idx USING (token), n GROUP BY query_id, memory_id) SELECT * FROM s JOIN b USING (query_id)"""
 
 
-_STORED: dict = {}
-
-
 def stored_index(spark, d):
-    """The index of a corpus is written once per application and read by every query over it."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _STORED:
-        _STORED[key] = H.store_index(B.memories(spark, d), work_path(spark, "text-index"), buckets=16)
-    return _STORED[key]
+    """The index of a corpus is written once and read by every query over it."""
+    return stored(spark, d, "text-index", ["documents"], lambda: H.store_index(B.memories(spark, d), work_path(spark, "text-index"), buckets=16))
 
 
 def scored(spark, d):
@@ -240,14 +267,16 @@ def recall_bm25_within_budget(spark, d):
     return H.within_budget(H.top_scored(scored(spark, d), 2000).join(t, "memory_id"), 2000).select("query_id", "memory_id", F.round("score", 5).alias("score"), "tokens", "used_tokens")
 
 
-@query("hybrid_search", """WITH b AS (SELECT query_id, memory_id, score / max(score) OVER (PARTITION BY query_id) AS v FROM bm), b2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(v, 9) DESC, memory_id) AS r FROM b QUALIFY r <= 20),
-j AS (SELECT coalesce(b2.query_id, k.query_id) AS query_id, coalesce(b2.memory_id, k.memory_id) AS memory_id, round(0.7 * coalesce(round(v, 9), 0.0) + 0.3 * coalesce(k.score, 0.0), 9) AS score FROM b2 FULL JOIN jacs k ON b2.query_id = k.query_id AND b2.memory_id = k.memory_id)
+@query("hybrid_search", """WITH v AS (SELECT q.query_id, e.vec_id AS memory_id, round(list_cosine_similarity(x.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS score FROM qry q JOIN embeddings x ON x.vec_id = q.query_id, embeddings e
+ QUALIFY row_number() OVER (PARTITION BY q.query_id ORDER BY score DESC, memory_id) <= 20),
+j AS (SELECT coalesce(v.query_id, k.query_id) AS query_id, coalesce(v.memory_id, k.memory_id) AS memory_id, round(0.7 * coalesce(v.score, 0.0) + 0.3 * coalesce(k.score, 0.0), 9) AS score FROM v FULL JOIN jacs k ON v.query_id = k.query_id AND v.memory_id = k.memory_id)
 SELECT query_id, memory_id, round(score, 5) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS rank FROM j QUALIFY rank <= 10""")
 def hybrid_search(spark, d):
-    s = scored(spark, d)
-    best = s.groupBy("query_id").agg(F.max("score").alias("m"))
-    v = H.top_scored(s.join(best, "query_id").select("query_id", "memory_id", F.round(F.col("score") / F.col("m"), 9).alias("score")), 20)
-    return H.hybrid(v, H.jaccard_search(_q(spark, d), B.memories(spark, d), 20), 10).select("query_id", "memory_id", F.round("score", 5).alias("score"), "rank")
+    """The vector of a query is the one stored under its id."""
+    q = _q(spark, d)
+    qv = q.select("query_id").join(B.table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
+    v = V.knn(qv, stored_vectors(spark, d), 20).withColumnRenamed("vec_id", "memory_id")
+    return H.hybrid(v, jaccard(spark, d, 20), 10).select("query_id", "memory_id", F.round("score", 5).alias("score"), "rank")
 
 
 _sess = """WITH a AS (SELECT *, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY entity ORDER BY ts, fact_id)) > 300000000, false) AS g FROM facts)

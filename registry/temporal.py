@@ -146,6 +146,14 @@ def context_at(spark, d):
     return c.withColumn("at_time", ts("at_time")).withColumn("priority", F.round("priority", 6))
 
 
+@query("decision_contexts", f"""WITH a AS (SELECT decision_id, g.memory_id, {S.tokens('content')} AS tokens, round(g.importance * g.confidence, 9) AS priority FROM mdec d JOIN gone g ON g.topic = d.topic AND g.is_current AND g.created_at <= d.decided_at
+ AND (gone_at IS NULL OR gone_at > d.decided_at) AND g.valid_from <= d.decided_at AND (g.valid_until IS NULL OR d.decided_at < g.valid_until)),
+b AS (SELECT *, sum(tokens) OVER (PARTITION BY decision_id ORDER BY priority DESC, memory_id ROWS UNBOUNDED PRECEDING) AS used_tokens FROM a)
+SELECT decision_id, memory_id, tokens, round(priority, 6) AS priority, CAST(used_tokens AS BIGINT) AS used_tokens FROM b WHERE used_tokens <= 4000""")
+def decision_contexts(spark, d):
+    return T.decision_contexts(B.memory_decisions(spark, d), B.memories(spark, d), B.compression_events(spark, d)).withColumn("priority", F.round("priority", 6))
+
+
 @query("compare_contexts", """
 WITH l AS (SELECT memory_id, tokens FROM ctxat WHERE at_time = TIMESTAMP '2023-07-02'), r AS (SELECT memory_id, tokens FROM ctxat WHERE at_time = TIMESTAMP '2024-06-02')
 SELECT coalesce(l.memory_id, r.memory_id) AS memory_id, l.tokens AS tokens_a, r.tokens AS tokens_b, CASE WHEN r.tokens IS NULL THEN 'part_removed' ELSE 'part_added' END AS change
@@ -181,7 +189,9 @@ b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY
 SELECT query_id, message_id, round(score, 6) AS score, coalesce({_anchor_sql('pad')}, CASE WHEN contains(lower(text), 'since') AND regexp_extract(text, '(20\d{{2}})', 1) <> '' THEN 'Since ' || regexp_extract(text, '(20\d{{2}})', 1) END,
  nullif(regexp_extract(text, '(20\d{{2}})', 1), ''), strftime(created_at, '%-d %B %Y')) AS answer FROM b JOIN m2 USING (message_id)""")
 def when_answers(spark, d):
-    return T.when_answers(when_questions(spark, d), B.notes(spark, d)).withColumn("score", F.round("score", 6))
+    from registry.evidence import turn_index
+
+    return T.when_answers(when_questions(spark, d), B.notes(spark, d), turn_index(spark, d)).withColumn("score", F.round("score", 6))
 
 
 @query("event_durations", f"""
