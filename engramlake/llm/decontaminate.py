@@ -14,7 +14,7 @@ of 80 % of the word windows, ``reparameterised`` one with an occurrence of 80 %
 Only DataFrame functions. The windows of the benchmark are counted before they are broadcast; beyond
 ``BROADCAST_WINDOWS`` rows both sides are shuffled by window hash instead, with the same rows. Matches combine map-side
 per (document, item), so an item that occurs in a third of all documents makes one row per document, and an item keeps
-one place per distinct window, so repeated passages do not multiply.
+one place per distinct window, so repeated passages do not multiply. Texts are read and cut into windows once.
 
 Defined cases: null or blank texts and items match nothing; a window without at least two literal words is not looked
 up, since placeholders alone are no evidence (an item made of such windows only cannot match); repeated rows of a
@@ -82,24 +82,47 @@ def item_windows(items: DataFrame) -> DataFrame:
     return rows.join(total, ["item_id", "plain"])
 
 
+def _lookups(t: DataFrame, sizes: list[int]) -> DataFrame:
+    """doc_id, size, h, doc_at, doc_slots, kind of all windows of the given sizes, in one pass over the texts.
+
+    Kind 0 is the template of every window, without slots; the few windows that hold a slot come again with their slots,
+    by their template (1) and by their words (2).
+    """
+    none = F.array().cast("array<string>")
+    places = F.array_compact(F.transform("sv", lambda v, i: F.when(v.isNotNull(), i + 1)))
+    t = t.select("*", fold(F.when(F.col("any"), places).otherwise(F.array().cast("array<int>"))).alias("sp"))
+
+    def windows(size: int) -> Column:
+        n = F.size("th") - size + 1
+        held = F.array_distinct(F.flatten(F.transform("sp", lambda p: F.sequence(F.greatest(p - size + 1, F.lit(1)), F.least(p, n)))))
+
+        def row(of: str, i: Column, slots: Column, kind: int) -> Column:
+            return F.struct(F.lit(size).alias("size"), F.xxhash64(F.slice(of, i, size)).alias("h"), i.alias("doc_at"), slots.alias("doc_slots"), F.lit(kind).alias("kind"))
+
+        def with_slots(i: Column) -> Column:
+            slots = F.filter(F.slice("sv", i, size), lambda v: v.isNotNull())
+            return F.array(row("th", i, slots, 1), row("wh", i, slots, 2))
+
+        every = F.transform(F.sequence(F.lit(1), n), lambda i: row("th", i, none, 0))
+        return F.when(n >= 1, F.when(F.size("sp") > 0, F.concat(every, F.flatten(F.transform(held, with_slots)))).otherwise(every))
+
+    parts = [windows(size) for size in sizes]
+    rows = parts[0] if len(parts) == 1 else F.flatten(F.array_compact(F.array(*parts)))
+    return t.select("doc_id", F.explode(rows).alias("x")).select("doc_id", "x.*")
+
+
 def matches(docs: DataFrame, items: DataFrame, cover: int = COVER_PERCENT) -> DataFrame:
     """doc_id, item_id, matched, n_windows, kind of every document that holds the template or the words of an item."""
     known = materialise(item_windows(items), "dc-items")
     few = known.count() <= BROADCAST_WINDOWS
-    sizes = [r[0] for r in known.select("size").distinct().collect()]
-    t = _template_rows(docs, "doc_id")
-    found = None
-    for size in sorted(sizes):  # at most WINDOW sizes: one, unless items are shorter than a window
-        # A window without slots has one hash for both; only the others are looked up by their words as well.
-        mark = lambda of: F.transform(_windows(F.lit(size), of), lambda x: F.struct(x["at"].alias("at"), x["h"].alias("h"), x["slots"].alias("slots"), F.lit(of == "wh").alias("words")))
-        both = F.when(F.col("any"), F.concat(mark("th"), F.filter(mark("wh"), lambda x: F.size(x["slots"]) > 0))).otherwise(mark("th"))
-        x = t.select("doc_id", F.explode(both).alias("x"))
-        x = x.select("doc_id", F.col("x.h").alias("h"), F.col("x.at").alias("doc_at"), F.col("x.slots").alias("doc_slots"), F.col("x.words").alias("words"))
-        part = known.filter(F.col("size") == size).drop("size")
-        hit = x.join(F.broadcast(part) if few else part, "h").filter("plain or not words")
-        found = hit if found is None else found.union(hit)
-    if found is None:
+    sizes = sorted(r[0] for r in known.select("size").distinct().collect())  # at most WINDOW sizes: one, unless items are shorter than a window
+    if not sizes:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, matched long, n_windows long, kind string")
+    # A window without slots has one hash for template and words; a template with placeholders meets windows with slots only.
+    fit = F.when(F.col("kind") == 0, F.col("plain") | (F.size("slots") == 0)).when(F.col("kind") == 2, F.col("plain")).otherwise(True)
+    found = _lookups(_template_rows(docs, "doc_id"), sizes).join(F.broadcast(known) if few else known, ["size", "h"]).filter(fit)
+    # Few windows hit; they are read twice below, the texts once.
+    found = materialise(found, "dc-hits")
     # One row per distinct window with its places; the slots are compared place by place.
     equal = F.col("doc_slots") == F.col("slots")
     place = F.struct((F.col("doc_at") - F.col("at")).alias("off"), F.zip_with("slots", "doc_slots", lambda a, b: F.struct(a.alias("a"), b.alias("b"))).alias("pairs"))
