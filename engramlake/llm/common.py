@@ -39,6 +39,19 @@ def fold(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
+def aside(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with all columns but ``keep`` under names of their own (in_0, in_1, ...), and the name of each.
+
+    So no column of the input can meet a name that an operator uses while it works; ``restored`` gives them back.
+    """
+    names = {c: c if c in keep else f"in_{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
+def restored(names: dict[str, str]) -> list[Column]:
+    return [F.col(n).alias(c) for c, n in names.items()]
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from engramlake.llm.common import SPACE, WORD, fold, let, whole_text, words_of
+from engramlake.llm.common import SPACE, WORD, aside, fold, let, restored, whole_text, words_of
 
 WINDOW, LEAST_BASE_WORDS, REPEAT_PERCENT = 5, 10, 20
 MIN_DOCS, SHARE, LEAST_WORDS, LEAST_SHARE = 10, 0.01, 5, 0.1
@@ -93,8 +93,8 @@ def quality_rules(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
 
 def clean_documents(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, **limits) -> DataFrame:
     """Documents that ``quality_rules`` keeps, their common lines taken out of ``text`` and ``n_chars``, if there, counted anew."""
-    where = F.coalesce(F.col(host).cast("string"), F.lit("")).alias("lf_host")
-    mine = docs.select("*", where, F.xxhash64(whole_text()).alias("lf_key"))
+    mine, names = aside(docs, ["text", "n_chars"])
+    mine = mine.select("*", F.coalesce(F.col(names[host]).cast("string"), F.lit("")).alias("lf_host"), F.xxhash64(whole_text()).alias("lf_key"))
     common = common_lines(docs, document_lines(docs, host), host, min_docs, share)
     gone = depleted_texts(docs, host, min_docs, share, **limits)
     bad = base_rules(docs, host).filter("base_failed").select("host", "text_key").union(gone.filter("depleted").select("host", "text_key")).distinct()
@@ -108,7 +108,7 @@ def clean_documents(docs: DataFrame, host: str = "source", min_docs: int = MIN_D
     out = kept.join(left, (F.col("lf_host") == F.col("lf_h")) & (F.col("lf_key") == F.col("lf_k")), "left").withColumn("text", F.coalesce("lf_text", "text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("lf_text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*restored(names))
 
 
 def quality_rules_sql(relation: str = "documents", host: str = "source") -> str:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engramlake.llm.common import ship
+from engramlake.llm.common import aside, restored, ship
 from engramlake.session import cut_lineage, materialise
 
 SHINGLE, BANDS, ROWS, PERCENT = 5, 25, 5, 85
@@ -227,10 +227,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Documents without all but the smallest id of each group; of rows that repeat a kept id one stays."""
+    """Documents without all but the smallest id of each group; of rows that repeat a kept id and its text one stays.
+
+    Different texts under one kept id all stay.  Other columns stay as they are whatever their names.
+    """
     found = near_duplicates(docs, percent).filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("nd_rows"), F.bool_or("kept").alias("nd_kept")).filter("nd_rows > 1 or not nd_kept")
     flags = materialise(found.select(F.col("doc_id").alias("nd_id"), "nd_rows", "nd_kept"), "nd-flags")
-    marked = docs.join(flags, F.col("doc_id") == F.col("nd_id"), "left").filter("nd_kept is null or nd_kept")
+    rows, names = aside(docs, ["doc_id", "text"])
+    marked = rows.join(flags, F.col("doc_id") == F.col("nd_id"), "left").filter("nd_kept is null or nd_kept")
     once = marked.filter("nd_rows is null or nd_rows = 1")
-    again = marked.filter("nd_rows > 1").dropDuplicates(["doc_id"])
-    return once.union(again).select(*docs.columns)
+    again = marked.filter("nd_rows > 1").dropDuplicates(["doc_id", "text"])
+    return once.union(again).select(*restored(names))

@@ -27,7 +27,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramlake.llm.common import fold, whole_text
+from engramlake.llm.common import aside, fold, restored, whole_text
 
 FINDINGS, TREES, DEPTH, SEED, ACCEPT = 3000, 15, 6, 5, 0.5
 NEAR = 48
@@ -195,12 +195,17 @@ def find_secrets(docs: DataFrame, findings: DataFrame | None = None, path: str =
 
 
 def redact_secrets(docs: DataFrame, findings: DataFrame | None = None, path: str = "source", accept: float = ACCEPT) -> DataFrame:
-    """``docs`` with every secret in ``text`` replaced by ``MARK`` and ``n_chars``, if there, counted anew."""
+    """``docs`` with every secret in ``text`` replaced by ``MARK`` and ``n_chars``, if there, counted anew.
+
+    Other columns stay as they are whatever their names.
+    """
     forest = _forest(docs.sparkSession, findings)
-    where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path in docs.columns else F.lit("")
-    t = docs.withColumn("sec_c", fold(F.regexp_extract_all(whole_text(), F.lit(CANDIDATE), F.lit(0))))
+    counted = docs.schema["n_chars"].dataType if "n_chars" in docs.columns else None
+    t, own = aside(docs, ["text", "n_chars"])
+    where = F.coalesce(F.col(own[path]).cast("string"), F.lit("")) if path in own else F.lit("")
+    t = t.withColumn("sec_p", where).withColumn("sec_c", fold(F.regexp_extract_all(whole_text(), F.lit(CANDIDATE), F.lit(0))))
     s = F.when(F.size("sec_c") > 0, F.split(F.col("text"), CANDIDATE, -1)).otherwise(F.array().cast("array<string>"))
-    t = t.withColumn("sec_s", fold(s)).withColumn("sec_p", where)
+    t = t.withColumn("sec_s", fold(s))
     t = t.withColumn("sec_b", fold(_tails("sec_s", "sec_c")))
 
     def verdict(c: Column, i: Column) -> Column:
@@ -214,7 +219,7 @@ def redact_secrets(docs: DataFrame, findings: DataFrame | None = None, path: str
     text = F.concat_ws("", F.flatten(F.transform("sec_s", lambda s, i: F.array(s, F.when(F.get("sec_v", i)["p"] >= accept, F.lit(MARK)).otherwise(F.coalesce(F.get("sec_v", i)["c"], F.lit("")))))))
     changed = F.coalesce(F.exists("sec_v", lambda v: v["p"] >= accept), F.lit(False))
     t = t.withColumn("text", F.when(changed, text).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        t = t.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return t.select(*docs.columns)
+    if counted is not None:
+        t = t.withColumn("n_chars", F.when(changed, F.length("text").cast(counted)).otherwise(F.col("n_chars")))
+    return t.select(*restored(own))
 
