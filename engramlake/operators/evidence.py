@@ -159,28 +159,31 @@ def top_evidence_scored(q: DataFrame, msg: DataFrame, k: int, blocks: DataFrame
     """
     blocks = blocks if blocks is not None else materialise(turn_blocks(msg), "turn-blocks")
     n = msg.select(F.count("*")).scalar()
-    qt = materialise(_question_terms(q), "question-terms")
+    qt = _question_terms(q)
     total = qt.groupBy("query_id").agg(F.count("*").alias("q_terms"))
-    seen = msg.select("message_id", F.explode(X.word_set(F.col("text"), 3)).alias("term")).join(F.broadcast(qt.select("term").distinct()) if qt.count() <= 100_000 else qt.select("term").distinct(), "term", "left_semi")
+    seen = msg.select("message_id", F.explode(X.word_set(F.col("text"), 3)).alias("term")).join(qt.select("term").distinct(), "term", "left_semi")
     worth = materialise(qt.join(seen.groupBy("term").agg(F.count("*").alias("df")), "term", "left").withColumn("idf", 1.0 + n / (F.col("df") + 1)), "question-worth")
     terms = worth.groupBy("query_id").agg(F.collect_list(F.struct("term", "stem", "idf")).alias("terms"))
-    words = msg.select("message_id", X.word_set(F.col("text"), 3).alias("words")).withColumn("stems", F.array_distinct(F.transform("words", _stem)))
 
     def exact(pairs: DataFrame) -> DataFrame:
+        few = TT.wanted(msg, pairs, "message_id")
+        words = few.select("message_id", X.word_set(F.col("text"), 3).alias("words")).withColumn("stems", F.array_distinct(F.transform("words", _stem)))
         j = pairs.withColumnRenamed("id", "message_id").join(words, "message_id").join(terms, "query_id")
         hit = F.filter("terms", lambda t: F.array_contains(F.col("stems"), t["stem"]))
         whole = lambda t: F.array_contains(F.col("words"), t["term"])
         lex = j.withColumn("hit", hit).filter(F.size("hit") > 0).select(
             "query_id", "message_id", F.aggregate("hit", F.lit(0.0), lambda a, t: a + F.when(whole(t), t["idf"]).otherwise(6.0)).alias("idf"), F.aggregate("hit", F.lit(0.0), lambda a, t: a + F.when(whole(t), 1.0).otherwise(0.8)).alias("matched"))
-        return _scored_parts(lex, q, total, msg, concepts, weights).withColumnRenamed("message_id", "id")
+        return _scored_parts(lex, q, total, few, concepts, weights).withColumnRenamed("message_id", "id")
 
     a = _asks(q, total, concepts)
-    most_other = weights["semantic"] * 15.0 * F.size("qconcepts") + weights["actor"] * 12.0 + weights["temporal"] * (12.0 * F.size("qmonths") + F.when(F.col("qrecent"), 10.0).otherwise(0.0)) + weights["provenance"] * 8.0
+    one_word = F.col("subject").rlike(rf"^{X.WORD}$")
+    most_other = weights["semantic"] * 15.0 * F.size("qconcepts") + F.when(one_word, 0.0).otherwise(weights["actor"] * 12.0) + weights["temporal"] * (12.0 * F.size("qmonths") + F.when(F.col("qrecent"), 10.0).otherwise(0.0)) + weights["provenance"] * 8.0
     a = a.select("query_id", "subject", "names", "q_terms", most_other.alias("other"))
     lexical = worth.join(a, "query_id").select("query_id", F.col("term").alias("unit"), F.concat(F.lit("s:"), F.col("stem")).alias("key"), (weights["lexical"] * (F.greatest(F.coalesce("idf", F.lit(6.0)), F.lit(6.0)) + 15.0 / F.col("q_terms"))).alias("most"), "other")
-    speaker = a.select("query_id", F.lit("@").alias("unit"), F.concat(F.lit("@"), F.col("subject")).alias("key"), F.lit(weights["actor"] * 13.0).alias("most"), "other")
+    speaker = a.select("query_id", F.lit("@").alias("unit"), F.concat(F.lit("@"), F.col("subject")).alias("key"), F.lit(weights["actor"] * 25.0).alias("most"), "other")
+    named = a.filter(one_word).select("query_id", F.lit("m").alias("unit"), F.concat(F.lit("s:"), _stem(F.col("subject"))).alias("key"), F.lit(weights["actor"] * 12.0).alias("most"), "other")
     names = a.select("query_id", F.explode("names").alias("name"), "other").select("query_id", F.concat(F.lit("n:"), F.col("name")).alias("unit"), F.concat(F.lit("s:"), _stem(F.col("name"))).alias("key"), F.lit(weights["entity"] * 20.0).alias("most"), "other")
-    best = TT.best_rows(lexical.union(speaker).union(names).filter("key is not null"), blocks, F.col("reach") + F.col("other"), exact, k)
+    best = TT.best_rows(lexical.union(speaker).union(named).union(names).filter("key is not null"), blocks, F.col("reach") + F.col("other"), exact, k)
     return best.withColumnRenamed("id", "message_id")
 
 
@@ -215,14 +218,14 @@ def rank_evidence(q: DataFrame, msg: DataFrame, k: int = 10, blocks: DataFrame |
     scope = F.coalesce(F.col("time_scope"), F.lit("")) if "time_scope" in msg.columns else F.lit("")
     low, ql = F.lower("text"), F.lower("text")
     has = lambda c, words: X.contains_any(c, words)
-    turn = msg.select(F.col("message_id").alias("id"), X.word_set(F.col("text"), 3).alias("words"), F.lower("speaker").alias("sp"), X.padded(F.col("text")).alias("pad"), low.alias("low"), entity.alias("en"), hop.alias("hop"), scope.alias("scope"), F.to_date("created_at").alias("day"),
+    turn = lambda pairs: TT.wanted(msg, pairs, "message_id").select(F.col("message_id").alias("id"), X.word_set(F.col("text"), 3).alias("words"), F.lower("speaker").alias("sp"), X.padded(F.col("text")).alias("pad"), low.alias("low"), entity.alias("en"), hop.alias("hop"), scope.alias("scope"), F.to_date("created_at").alias("day"),
                       F.regexp_like(low, F.lit(L.QUANTITY)).alias("quantity")).withColumn("heads", F.transform(F.filter("words", lambda w: F.length(w) >= 4), lambda w: F.substring(w, 1, 4)))
     focus = F.filter(F.array(*[F.lit(w) for w in L.MONEY_FOCUS]), lambda w: F.contains(ql, w))
     ask = q.join(terms, "query_id").select("query_id", "terms", F.lower("subject").alias("su"), F.regexp_extract("text", TARGET_DATE, 0).alias("target"), has(ql, L.RECENCY_QUESTIONS).alias("recent"), has(ql, L.MONEY_QUESTIONS).alias("money"), focus.alias("focus"), has(ql, L.COUNT_QUESTIONS).alias("counts"))
     recency = lambda year, month: F.greatest(F.lit(0.0), (year - 2020) * 1.5 + month / 12.0)
 
     def exact(pairs: DataFrame) -> DataFrame:
-        j = pairs.join(turn, "id").join(ask, "query_id")
+        j = pairs.join(turn(pairs), "id").join(ask, "query_id")
         value = lambda w: F.when(F.array_contains(F.col("words"), w), 1.0).when((F.length(w) >= 4) & F.array_contains(F.col("heads"), F.substring(w, 1, 4)), 0.5).otherwise(0.0)
         j = j.withColumn("v", F.aggregate("terms", F.lit(0.0), lambda a, w: a + value(w))).filter("v > 0")
         e = F.when(F.col("sp") == F.col("su"), 15.0).when(F.contains("en", F.col("su")), 10.0).when(F.col("pad").contains(F.concat(F.lit(" "), F.col("su"), F.lit(" "))), 4.0).otherwise(0.0)
@@ -233,13 +236,16 @@ def rank_evidence(q: DataFrame, msg: DataFrame, k: int = 10, blocks: DataFrame |
         bonus = F.when(F.col("money"), F.when(about & has(F.col("low"), ["$", "dollar"]), 25.0).when(about & has(F.col("low"), ["spent", "cost", "price", "paid"]), 10.0).otherwise(0.0)).when(F.col("counts") & F.col("quantity"), 5.0).otherwise(0.0)
         return j.select("query_id", "id", F.round(F.col("v") / F.size("terms") * 10.0 + bonus + 2.5 * e + 1.5 * F.coalesce(t, F.lit(0.0)) + 10.0 / (1.0 + F.col("hop")), 9).alias("score"))
 
-    mention = 25.0 if "entity" in msg.columns else 10.0
-    other = F.lit(mention + 10.0) + F.when(F.col("money"), 25.0).when(F.col("counts"), 5.0).otherwise(0.0) + F.when(F.col("target") != "", 15.0).otherwise(0.0)
+    one_word = F.col("su").rlike(rf"^{X.WORD}$")
+    # A turn whose entity names the subject, or whose text does where that cannot be looked up as one word.
+    mention = F.lit(25.0) if "entity" in msg.columns else F.when(one_word, 0.0).otherwise(10.0)
+    other = mention + F.lit(10.0) + F.when(F.col("money"), 25.0).when(F.col("counts"), 5.0).otherwise(0.0) + F.when(F.col("target") != "", 15.0).otherwise(0.0)
     a = ask.select("query_id", "terms", "su", other.alias("other"), (F.col("recent") & (F.col("target") == "")).alias("by_year"))
     words = a.select("query_id", F.explode("terms").alias("unit"), (10.0 / F.size("terms")).alias("most"), "other", "by_year").select("query_id", "unit", F.concat(F.lit("p:"), F.substring("unit", 1, 4)).alias("key"), "most", "other", "by_year")
-    speaker = a.select("query_id", F.lit("@").alias("unit"), F.concat(F.lit("@"), F.col("su")).alias("key"), F.lit(37.5 - mention).alias("most"), "other", "by_year")
+    speaker = a.select("query_id", F.lit("@").alias("unit"), F.concat(F.lit("@"), F.col("su")).alias("key"), F.lit(37.5).alias("most"), "other", "by_year")
+    named = a.filter(one_word).select("query_id", F.lit("m").alias("unit"), F.concat(F.lit("s:"), _stem(F.col("su"))).alias("key"), F.lit(10.0).alias("most"), "other", "by_year")
     bound = F.col("reach") + F.col("other") + F.when(F.col("by_year"), 1.5 * F.greatest(recency(F.col("year"), F.lit(12)), F.lit(5.0))).otherwise(0.0)
-    return TT.best_rows(words.union(speaker).filter("key is not null"), blocks, bound, exact, k).withColumnRenamed("id", "message_id")
+    return TT.best_rows(words.union(speaker).union(named).filter("key is not null"), blocks, bound, exact, k).withColumnRenamed("id", "message_id")
 
 
 def rank_nodes(q: DataFrame, nodes: DataFrame, state: DataFrame, k: int = 20, w: dict[str, float] = NODE_WEIGHTS) -> DataFrame:

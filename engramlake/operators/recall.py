@@ -103,11 +103,11 @@ def keyword_search(q: DataFrame, mem: DataFrame, k: int = 10, blocks: DataFrame
     vocabulary = contained_in(qt.select("term").distinct(), blocks.select(F.col("key").alias("token")).distinct())
     of_term = blocks.join(vocabulary, F.col("key") == F.col("token")).select(F.col("term").alias("key"), "level", "slot", F.explode("rows").alias("id"))
     of_term = materialise(of_term.groupBy("key", "level", "slot").agg(F.collect_set("id").alias("rows")).withColumn("n", F.size("rows").cast("long")), "term-blocks")
-    text = mem.select(F.col("memory_id").alias("id"), "importance", F.array_join(X.word_set(F.col("content")), " ").alias("tokens"))
+    text = lambda pairs: TT.wanted(mem, pairs, "memory_id").select(F.col("memory_id").alias("id"), "importance", F.array_join(X.word_set(F.col("content")), " ").alias("tokens"))
     ask = q.select("query_id", X.word_set(F.col("text")).alias("terms"))
 
     def exact(pairs: DataFrame) -> DataFrame:
-        j = pairs.join(text, "id").join(ask, "query_id").withColumn("matches", F.size(F.filter("terms", lambda t: F.contains(F.col("tokens"), t))).cast("long")).filter("matches > 0")
+        j = pairs.join(text(pairs), "id").join(ask, "query_id").withColumn("matches", F.size(F.filter("terms", lambda t: F.contains(F.col("tokens"), t))).cast("long")).filter("matches > 0")
         return j.select("query_id", "id", "matches", "importance", F.round(F.col("matches") * 0.5 + F.col("importance") * 0.3, 9).alias("score"))
 
     units = qt.select("query_id", F.col("term").alias("unit"), F.col("term").alias("key"), F.lit(0.5).alias("most"))
@@ -221,10 +221,10 @@ def jaccard_search(q: DataFrame, mem: DataFrame, k: int = 10, blocks: DataFrame
     """
     blocks = blocks if blocks is not None else materialise(size_blocks(mem), "size-blocks")
     ask = q.select("query_id", F.array_distinct(X.space_words(F.col("text"))).alias("qs"))
-    text = mem.select(F.col("memory_id").alias("id"), F.array_distinct(X.space_words(F.col("content"))).alias("ms"))
+    text = lambda pairs: TT.wanted(mem, pairs, "memory_id").select(F.col("memory_id").alias("id"), F.array_distinct(X.space_words(F.col("content"))).alias("ms"))
 
     def exact(pairs: DataFrame) -> DataFrame:
-        j = pairs.join(text, "id").join(ask, "query_id").withColumn("inter", X.overlap(F.col("qs"), F.col("ms"))).filter("inter > 0")
+        j = pairs.join(text(pairs), "id").join(ask, "query_id").withColumn("inter", X.overlap(F.col("qs"), F.col("ms"))).filter("inter > 0")
         return j.select("query_id", "id", F.round(F.col("inter") / (F.size("qs") + F.size("ms") - F.col("inter")), 9).alias("score"))
 
     units = ask.select("query_id", F.size("qs").alias("a"), F.explode("qs").alias("unit")).select("query_id", "unit", F.col("unit").alias("key"), F.lit(1.0).alias("most"), "a")

@@ -258,12 +258,12 @@ def when_answers(q: DataFrame, msg: DataFrame, blocks: DataFrame | None = None)
     blocks = blocks if blocks is not None else materialise(turn_blocks(msg), "turn-blocks")
     timed, years = _timed(X.padded(F.col("text")))
     stems = F.array_distinct(F.transform(X.word_list(F.col("text")), lambda x: X.stem(x, L.IRREGULAR_STEMS)))
-    m = msg.select(F.col("message_id").alias("id"), "speaker", timed.alias("timed"), years.alias("years"), stems.alias("stems"))
+    turn = lambda pairs: TT.wanted(msg, pairs, "message_id").select(F.col("message_id").alias("id"), "speaker", timed.alias("timed"), years.alias("years"), stems.alias("stems"))
     ask = q.select("query_id", "subject", event_terms(F.col("text")).alias("terms"))
     worth = lambda t: F.when(F.length(t) > 4, 1.5).otherwise(1.0)
 
     def exact(pairs: DataFrame) -> DataFrame:
-        j = pairs.join(m, "id").join(ask, "query_id").withColumn("overlap", F.aggregate(F.array_intersect("terms", "stems"), F.lit(0.0), lambda a, t: a + worth(t)))
+        j = pairs.join(turn(pairs), "id").join(ask, "query_id").withColumn("overlap", F.aggregate(F.array_intersect("terms", "stems"), F.lit(0.0), lambda a, t: a + worth(t)))
         score = F.col("overlap") * 3.0 + F.when(F.lower("speaker") == F.lower("subject"), 1.0).otherwise(0.0) + F.when(F.col("timed"), 2.0).otherwise(0.0) + F.when(F.col("years"), 3.0).otherwise(0.0)
         return j.filter((F.col("overlap") >= 2.0) | (F.col("timed") & (F.col("overlap") > 0))).select("query_id", "id", score.alias("score"))
 

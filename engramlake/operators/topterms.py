@@ -1,7 +1,7 @@
 """Exact top-k over shared terms that does not form the pairs of frequent terms.
 
 Postings are kept in blocks: the rows of a term whose static values (``levels``) agree, at most ``WIDTH`` of them. A few
-blocks of the rarest terms of a query give first rows; their exact scores give the score that a row has to reach. A row
+blocks of the terms of a query give first rows; their exact scores give the score that a row has to reach. A row
 whose rarest shared term is t can score no more than t and all terms more frequent than t together with what its levels
 allow, so a block of t is opened only if that bound reaches the score. Frequent terms therefore add to the scores of rows
 found through rarer ones, but are not looked up themselves.
@@ -18,7 +18,7 @@ from engramlake.operators import skew
 from engramlake.session import materialise
 
 #: Row ids that fall into one block (its greatest length), and blocks of a query that give its first rows.
-WIDTH, FIRST_BLOCKS = 128, 16
+WIDTH, FIRST_BLOCKS = 128, 256
 #: Scores are rounded; bounds get this much for it.
 SLACK = 1e-6
 
@@ -33,6 +33,12 @@ def term_blocks(rows: DataFrame, id_: str, keys: Column, levels: dict[str, Colum
     return e.groupBy(*by).agg(F.collect_list("id").alias("rows"), F.count("*").alias("n"))
 
 
+def _until(blocks: DataFrame, keys: list[str], order: list[Column], rows: int) -> DataFrame:
+    """The first blocks of each key until they hold ``rows`` rows; of few blocks a key."""
+    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return blocks.withColumn("_rows", F.coalesce(F.sum("n").over(before), F.lit(0))).filter(F.col("_rows") < rows).drop("_rows")
+
+
 def candidates(units: DataFrame, blocks: DataFrame, bound: Column, exact: Callable[[DataFrame], DataFrame], k: int) -> DataFrame:
     """Pairs (query_id, id) that hold the ``k`` best rows of every query, and as few others as the bounds allow.
 
@@ -41,7 +47,7 @@ def candidates(units: DataFrame, blocks: DataFrame, bound: Column, exact: Callab
     frequent ones), matched (their number), the levels of the block and the query columns. ``exact`` scores pairs
     (query_id, id): it returns query_id, id, score.
     """
-    units = materialise(units.distinct(), "top-units")
+    units = units.distinct()
     few = units.count()
     small = lambda df: skew.broadcast_within(df, few)
     seen = blocks.join(small(units.select("key").distinct()), "key", "left_semi")
@@ -49,23 +55,29 @@ def candidates(units: DataFrame, blocks: DataFrame, bound: Column, exact: Callab
     held = units.join(size, "key")
     one = held.groupBy("query_id", "unit").agg(F.max("most").alias("most"), F.sum("df").alias("df"))
     frequent = Window.partitionBy("query_id").orderBy(F.desc("df"), "unit").rowsBetween(Window.unboundedPreceding, 0)
-    rare = Window.partitionBy("query_id").orderBy("df", F.desc("unit")).rowsBetween(Window.unboundedPreceding, -1)
     # A window over the terms of one query, whose number its text fixes.
-    one = materialise(one.select("query_id", "unit", F.sum("most").over(frequent).alias("reach"), F.count("*").over(frequent).alias("matched"), F.coalesce(F.sum("df").over(rare), F.lit(0)).alias("rarer")), "top-reach")
-    # First rows: of the rarest terms the blocks whose levels allow most, as if their rows had all terms.
+    one = one.select("query_id", "unit", F.sum("most").over(frequent).alias("reach"), F.count("*").over(frequent).alias("matched"))
+    # First rows: of every term some blocks, rare terms first and those whose levels allow most, as if their rows had all terms.
     levels = [c for c in blocks.columns if c not in ("key", "slot", "rows", "n")]
-    lead = skew.top_k(seen, ["key", *levels], [F.col("slot")], 2, "_b").drop("_b")
+    lead = _until(skew.top_k(seen, ["key", *levels], [F.col("slot")], 64, "_b"), ["key", *levels], [F.col("slot")], max(WIDTH, 4 * k))
     whole = one.groupBy("query_id").agg(F.max("reach").alias("reach"), F.max("matched").alias("matched"))
-    open_first = held.join(one.filter(F.col("rarer") < 4 * k).select("query_id", "unit"), ["query_id", "unit"], "left_semi").join(whole, "query_id").join(lead, "key").withColumn("_s", bound)
-    first = skew.top_k(open_first.select("query_id", "key", "df", "slot", "rows", "_s"), ["query_id"], [F.desc("_s"), F.col("df"), F.col("key"), F.col("slot")], FIRST_BLOCKS, "_b").select("query_id", F.explode("rows").alias("id")).distinct()
+    open_first = held.join(whole, "query_id").join(lead, "key").withColumn("_s", bound)
+    order = [F.desc("_s"), F.col("df"), F.col("key"), F.col("slot")]
+    first = skew.top_k(open_first.select("query_id", "key", "df", "slot", "rows", "n", "_s"), ["query_id"], order, FIRST_BLOCKS, "_b")
+    first = materialise(_until(first, ["query_id"], [F.col("_b")], max(32 * WIDTH, 8 * k)).select("query_id", F.explode("rows").alias("id")).distinct(), "top-first")
     best = skew.top_k(exact(first).select("query_id", "id", "score"), ["query_id"], [F.desc("score"), F.col("id")], k, "_r")
     need = best.groupBy("query_id").agg(F.count("*").alias("_n"), F.min("score").alias("need")).filter(F.col("_n") == k).select("query_id", "need")
-    probe = materialise(units.join(one.select("query_id", "unit", "reach", "matched"), ["query_id", "unit"]).join(need, "query_id", "left"), "top-probe")
+    probe = units.join(one.select("query_id", "unit", "reach", "matched"), ["query_id", "unit"]).join(need, "query_id", "left")
     open_ = F.col("need").isNull() | (bound + SLACK >= F.col("need"))
     return seen.join(small(probe), "key").filter(open_).select("query_id", F.explode("rows").alias("id"))
 
 
+def wanted(rows: DataFrame, pairs: DataFrame, id_: str) -> DataFrame:
+    """Rows of the ids in ``pairs``: what a score needs of a row is worked out for these alone."""
+    return rows.join(pairs.select(F.col("id").alias(id_)).distinct(), id_, "left_semi")
+
+
 def best_rows(units: DataFrame, blocks: DataFrame, bound: Column, exact: Callable[[DataFrame], DataFrame], k: int) -> DataFrame:
     """The ``k`` best rows of every query by ``exact``, with all its columns and their rank; ties by id."""
-    pairs = candidates(units, blocks, bound, exact, k).distinct()
+    pairs = materialise(candidates(units, blocks, bound, exact, k).distinct(), "top-pairs")
     return skew.top_k(exact(pairs), ["query_id"], [F.desc("score"), F.col("id")], k)

@@ -96,10 +96,13 @@ SELECT *, round(lexical + semantic + 1.5 * entity + 2.0 * actor + 1.5 * temporal
 
 
 def stated(spark, d):
-    """Turns with the relation and entity of the fact each states."""
-    n = B.notes(spark, d)
-    f = extract_facts(n).select(F.col("fact_id").alias("message_id"), "relation", "entity")
-    return n.join(f, "message_id", "left")
+    """Turns with the relation and entity of the fact each states, written once."""
+    def build():
+        n = B.notes(spark, d)
+        f = extract_facts(n).select(F.col("fact_id").alias("message_id"), "relation", "entity")
+        return materialise(n.join(f, "message_id", "left"), "stated-turns")
+
+    return stored(spark, d, "stated", ["events"], build)
 
 
 def turn_index(spark, d):
