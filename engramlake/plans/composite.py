@@ -34,9 +34,12 @@ def reconstruct(q: DataFrame, mem: DataFrame, edges: DataFrame, index: DataFrame
     return ranked.join(inside, ["query_id", "memory_id"], "left").select("query_id", "memory_id", "rank", "depth", "score", F.coalesce("_c", F.lit(False)).alias("in_conflict"))
 
 
-def dense_context(q: DataFrame, turns: DataFrame, word_budget: int = 200) -> DataFrame:
-    """Slice, extract facts, deduplicate, supersede, rank, retain chains and render, for a batch of questions."""
-    f = E.supersede_facts(E.dedup_facts(E.extract_facts(turns)), ["location", "server", "click", "view", "purchase"])
+def dense_context(q: DataFrame, turns: DataFrame, word_budget: int = 200, mutable=E.MUTABLE) -> DataFrame:
+    """Slice, extract facts, deduplicate, supersede, rank, retain chains and render, for a batch of questions.
+
+    ``mutable``: properties whose newest value supersedes the others.
+    """
+    f = E.supersede_facts(E.dedup_facts(E.extract_facts(turns)), mutable)
     f = materialise(f.join(turns.select(F.col("message_id").alias("fact_id"), F.col("conv_id").alias("session")), "fact_id"), "turn-facts")
     pool = V.wide_slice(q, turns).select("query_id", F.col("message_id").alias("fact_id"))
     kept = pool.join(f.select("fact_id"), "fact_id", "left_semi")

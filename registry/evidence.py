@@ -413,7 +413,7 @@ def allocation_stats(spark, d):
 
 @query("dense_context")
 def dense_context(spark, d):
-    return P.dense_context(ask(spark, d), B.notes(spark, d))
+    return P.dense_context(ask(spark, d), B.notes(spark, d), mutable=["location", "server", "click", "view", "purchase"])
 
 
 @query("compile_conversations", "WITH c AS (SELECT message_id * 10 + CASE memory_type WHEN 'decision' THEN 1 WHEN 'semantic' THEN 2 ELSE 3 END AS memory_id, content FROM cands) SELECT min(memory_id) AS memory_id, left(sha256(content), 16) AS content_hash, count(*) AS copies FROM c GROUP BY 2")
