@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from engramlake.functions import text as X
 from engramlake.operators import similar as SIM
 from engramlake.operators import skew
+from engramlake.operators.paths import cycles, shortest_paths, undirected  # noqa: F401
 from engramlake.operators.textfeatures import bigrams
 from engramlake.session import materialise
 from engramlake.functions import lexicons as L
@@ -75,14 +76,6 @@ def mine_associations(mem: DataFrame, cues: dict[str, list[str]] = CUES, thresho
     return j.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.explode(links).alias("l")).groupBy("src", "dst", "l.type").agg(F.max("l.strength").alias("strength"))
 
 
-def undirected(edges: DataFrame, min_strength: float = 0.0, types: list[str] | None = None) -> DataFrame:
-    """Both directions of each edge, strongest edge per pair and no loops."""
-    e = edges.filter(F.round("strength", 9) >= min_strength).filter("src <> dst")
-    e = e.filter(F.col("type").isin(types)) if types else e
-    both = F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("next")), F.struct(F.col("dst").alias("node"), F.col("src").alias("next")))
-    return e.select(F.explode(both).alias("b"), "type", "strength").select("b.*", "type", "strength").groupBy("node", "next").agg(F.max("strength").alias("strength"), F.max_by("type", F.struct("strength", "type")).alias("type"))
-
-
 def neighbours(ids: DataFrame, edges: DataFrame, mem: DataFrame, min_strength: float = 0.3, types: list[str] | None = None) -> DataFrame:
     """Current neighbours of each given memory with type and strength."""
     u = undirected(edges, min_strength, types)
