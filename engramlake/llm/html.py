@@ -9,13 +9,15 @@ The weights are trained from labelled pages by gradient steps on the exact likel
 expectations). Labelled pages may be given as (html, set of content blocks); by default a fixed, seeded set of
 ``TRAINING_PAGES`` pages is built by rule from the names that layouts customarily use, each block labelled by the part
 it was written for. The model is trained once per driver process and sent to the tasks (about 1,000 numbers); pages
-are parsed and scored in their own partition, so nothing is shuffled.
+are parsed and scored in their own partition, so nothing is shuffled. Half of the pages built by rule have layouts
+without customary names: hashed class names, no or many wrappers, columns, layout tables, one form around all.
 
 Output: character references decoded, white space inside a block to one space, blocks in page order joined by one
-space; nothing is cut. Scripts, styles, comments, head and other invisible parts never become text.
+space; nothing is cut. Scripts, styles, comments, head, form fields (textarea, button, select) and elements that say they
+are not shown (hidden, display:none, visibility:hidden) never become text.
 
 Defined cases: null, empty or textless pages have the text ""; unclosed, misnested and unknown tags are repaired by
-closing rules, an unclosed comment ends with the page; depth is not limited (no recursion); repeated rows keep one row
+closing rules, an unclosed comment ends with the page; a marginal of exactly one half counts as content; depth is not limited (no recursion); repeated rows keep one row
 each; columns beside page_id, url and html are not read.
 """
 
@@ -34,12 +36,15 @@ from pyspark.sql import functions as F
 
 from engramlake.llm.common import ship
 
-TRAINING_PAGES, EPOCHS, SEED = 600, 8, 11
+TRAINING_PAGES, EPOCHS, SEED = 1200, 8, 11
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+|[^>]*)>", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INVISIBLE = frozenset("script style template noscript title svg math iframe object canvas".split())
+#: Form fields whose inside is no text of the page; one that is never closed hides nothing.
+FIELDS = frozenset("textarea button select".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 #: An element that starts closes an open element of these kinds, up to the given border.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -59,21 +64,28 @@ def _names(attributes: str) -> tuple[str, ...]:
     found: list[str] = []
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key == "hidden" or key == "style" and "display:none" in value.replace(" ", "").lower():
-            found.append("hidden")
-        elif key == "role":
+        if key == "role":
             found.append("role=" + value.lower())
-        elif key != "style":
-            found += re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
+        elif key in ("class", "id"):
+            found += re.findall(r"[a-z]{2,}", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
     return tuple(found)
 
 
+def _hidden(attributes: str) -> bool:
+    """Whether an element says of itself that it is not shown."""
+    for m in ATTRIBUTE.finditer(attributes):
+        key = m[1].lower()
+        if key == "hidden" or key == "style" and NOT_SHOWN.search(m[2] or m[3] or m[4] or ""):
+            return True
+    return False
+
+
 def parse(html: str | None) -> list[Node]:
     """Nodes of a page, parents before children; text runs are leaves with tag ``#text``."""
     nodes = [Node("#root", (), -1, 0)]
-    stack: list[tuple[str, int]] = [("#root", 0)]  # open elements; an inline one keeps the number of its block
+    stack: list[tuple[str, int, bool]] = [("#root", 0, False)]  # open elements; an inline one keeps the number of its block
     run: list[str] = []
-    run_linked = links = 0
+    run_linked = links = dark = 0
 
     def flush() -> None:
         nonlocal run, run_linked
@@ -87,18 +99,19 @@ def parse(html: str | None) -> list[Node]:
             run, run_linked = [], 0
 
     def close(to: int) -> None:
-        nonlocal links
+        nonlocal links, dark
         while len(stack) > to:
-            tag, _ = stack[-1]
+            tag, _, hidden = stack[-1]
             if tag not in INLINE:
                 flush()
             elif tag == "a":
                 links -= 1
+            dark -= hidden
             stack.pop()
 
     def add(text: str) -> None:
         nonlocal run_linked
-        if text:
+        if text and not dark:
             text = unescape(text)
             run.append(text)
             if links:
@@ -133,6 +146,12 @@ def parse(html: str | None) -> list[Node]:
                 e = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, place)
                 place = e.end() if e else end
             continue
+        if tag in FIELDS:
+            e = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, place)
+            if e:
+                run.append(" ")
+                place = e.end()
+            continue
         if tag in ("html", "body", "head"):
             if tag == "body":
                 close(1)
@@ -145,8 +164,10 @@ def parse(html: str | None) -> list[Node]:
             continue
         if tag in INLINE:
             if not m[3].endswith("/"):
+                hidden = _hidden(m[3])
                 links += tag == "a"
-                stack.append((tag, stack[-1][1]))
+                dark += hidden
+                stack.append((tag, stack[-1][1], hidden))
             continue
         if tag in NOT_IN_P:
             for i in range(len(stack) - 1, 0, -1):
@@ -165,7 +186,9 @@ def parse(html: str | None) -> list[Node]:
                     break
         flush()
         nodes.append(Node(tag, _names(m[3]), stack[-1][1], nodes[stack[-1][1]].depth + 1))
-        stack.append((tag, len(nodes) - 1))
+        hidden = _hidden(m[3])
+        dark += hidden
+        stack.append((tag, len(nodes) - 1, hidden))
     close(1)
     flush()
     for n in reversed(nodes[1:]):
@@ -184,19 +207,23 @@ def describe(nodes: list[Node]) -> list[tuple[str, ...]]:
     """Names of the features that hold at each node."""
     total = max(nodes[0].chars, 1) if nodes else 1
     longest = max((n.chars for n in nodes if n.tag == "#text"), default=0)
+    prose = [0] * len(nodes)  # children that are runs or bare paragraphs of plain text
+    for n in nodes[1:]:
+        prose[n.parent] += n.tag in ("#text", "p") and not n.names and 5 * n.linked < n.chars
     out = []
-    for n in nodes:
+    for n, k in zip(nodes, prose, strict=True):
         link = f"{min(4, int(5 * n.linked / max(n.chars, 1)))}"
         size = f"{min(9, int(math.log2(n.chars + 1)))}"
         if n.tag == "#text":
             p = nodes[n.parent]
             end = n.text[-1] if n.text[-1] in ".!?:" else "-"
-            f = ("text", f"text link {link}", f"text size {size}", f"text in {p.tag}", f"text end {end}", "text sign" if "©" in n.text else "text plain", "text top" if n.chars == longest else "text low")
+            f = ("text", f"text link {link}", f"text size {size}", f"text in {p.tag}", f"text end {end}", "text sign" if "©" in n.text else "text plain", "text top" if n.chars == longest else "text low", f"text share {min(4, int(5 * n.chars / total))}", f"text among {min(4, prose[p.parent])} in {p.tag}")
             if p.tag in ("#root", "div"):
                 f += (f"loose size {size}",)
         else:
             share = f"{min(4, int(5 * n.chars / total))}"
-            f = ("block", f"tag {n.tag}", f"block link {link}", f"block share {share}", f"block size {size}", f"{n.tag} in {nodes[n.parent].tag if n.parent >= 0 else '-'}", f"bare {n.tag}" if not n.names else "named", *(f"name {x}" for x in set(n.names)))
+            within = f"{n.tag} in {nodes[n.parent].tag if n.parent >= 0 else '-'}"
+            f = ("block", f"tag {n.tag}", f"block link {link}", f"block share {share}", f"block share {share} link {link}", f"block size {size}", f"prose {min(4, k)} share {share if n.parent >= 0 else '-'}", within, f"bare {n.tag}" if not n.names else "named", f"{'named' if n.names else 'bare'} {within} {'named' if n.parent >= 0 and nodes[n.parent].names else 'bare'}", *(f"name {x}" for x in set(n.names)))
         out.append(f)
     return out
 
@@ -267,6 +294,7 @@ class TreeModel:
             data.append((nodes, [int(2 * g > n.chars) for g, n in zip(good, nodes, strict=True)]))
         seen: dict = {}
         order = random.Random(SEED)
+        total: dict = {}  # sums of the weights after each of the later epochs; their mean is steadier than the last
         for epoch in range(epochs):
             order.shuffle(data)
             for nodes, state in data:
@@ -288,6 +316,15 @@ class TreeModel:
                         self.weight[key] = (1 - 1e-4) * self.weight.get(key, 0.0) + step
                     else:
                         self.edge[key[0]][key[1]] += step
+            if 2 * epoch >= epochs:
+                now = {**self.weight, **{(leaf, k): e[k] for leaf, e in self.edge.items() for k in range(4)}}
+                for key, w in now.items():
+                    total[key] = total.get(key, 0.0) + w / (epochs - (epochs + 1) // 2)
+        for key, w in total.items():
+            if isinstance(key, str):
+                self.weight[key] = w
+            else:
+                self.edge[key[0]][key[1]] = w
         return self
 
     def extract(self, html: str | None) -> str:
@@ -334,11 +371,24 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = SEED) -> Iterator[tuple[
     def links(k: int) -> str:
         return "<ul>" + "".join(f'<li><a href="/{word()}">{word()}</a></li>' for _ in range(k)) + "</ul>"
 
-    def part(kind: str) -> str:
+    def hashed() -> str:
+        """A name that says nothing, as style tools and obfuscators make them."""
+        some = lambda k: "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=k))
+        return r.choice([f"sc-{some(6)}", f"css-{some(7)}", f"_{some(5)}", some(4), f"{word()}{r.randint(1, 99)}", f"{word()}__{some(5)}", f"c{r.randint(1, 9)}", f"{word()} {some(6)}"])
+
+    def box(inner: str, bare: float = 0.25, tags: str = "div div div section center") -> str:
+        """A container without a known name around a part of a page."""
+        tag = r.choice(tags.split())
+        return f"<{tag}>{inner}</{tag}>" if r.random() < bare else f'<{tag} {r.choice(["class", "class", "id"])}="{hashed()}">{inner}</{tag}>'
+
+    def part(kind: str, foreign: bool = False) -> str:
         tags, names = PARTS[kind]
         tag = r.choice(tags.split())
         plain = tag in ("nav", "footer", "aside", "form", "header")
         head = open_tag(tag, names, 0.5 if plain else 0.0)
+        # A name may say nothing where the tag or the inside (links, a copyright line) still tells the part.
+        if foreign and (plain or kind in ("menu", "share", "footer")) and r.random() < 0.6:
+            head = f'<{tag} class="{hashed()}">'
         if kind == "form":
             body = f"<label>{prose(1, 4)}</label><input name=q><select><option>{word()}<option>{word()}</select><button>{word()}</button>" + (f"<p>{prose(3, 14)}</p>" if r.random() < 0.4 else "")
         elif kind == "comments":
@@ -363,12 +413,13 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = SEED) -> Iterator[tuple[
             content.add(text)
             return text
 
-        tiny = r.random() < 0.12  # a page whose article is a few words
+        tiny = r.choice([3, 12]) if r.random() < 0.2 else 0  # words at most of a page whose article is a few words
+        longest = r.choice([110, 110, 30])  # words of a paragraph
 
-        def block(tiny: bool = tiny) -> str:
+        def block(tiny: int = tiny, longest: int = longest) -> str:
             k = r.random()
             if k < 0.7:
-                t = keep(prose(1, 3) if tiny or r.random() < 0.2 else prose(1, 14) if r.random() < 0.25 else prose(12, 110))
+                t = keep(prose(1, tiny or 3) if tiny or r.random() < 0.2 else prose(1, 14) if r.random() < 0.25 else prose(12, longest))
                 return r.choice([f"<p>{t}</p>", f"<p>{t}", f"<p><b>{t}<br>", f"<p><em>{t}</em></p>", f'<p class="{word()}">{t}</p>', f'<div class="paragraph">{t}</div>'] if r.random() < 0.4 else [f"<p>{t}</p>"])
             if k < 0.8:
                 return f"<h2>{keep(prose(1, 8))}</h2>"
@@ -382,26 +433,54 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = SEED) -> Iterator[tuple[
                 return f"<figure><img src=x><figcaption>{keep(prose(2, 12))}</figcaption></figure>"
             return f"<pre>{keep(prose(3, 20))}</pre>"
 
+        foreign = r.random() < 0.5  # a layout without customary names
+        alone = foreign and r.random() < 0.25  # a page of nothing but its article
         tag = r.choice(CONTENT[0].split())
-        body = [f"<h1>{keep(prose(1, 3) if tiny else prose(1, 10))}</h1>" if r.random() < 0.9 else ""]
+        body = [f"<h1>{keep(prose(1, tiny or 10))}</h1>" if r.random() < (0.5 if foreign else 0.9) else ""]
         if body[0] and r.random() < 0.15:
             body[0] = f"<header>{body[0]}</header>"
-        for _b in range(1 if tiny else r.choice([1, 2, 3, 5, 8, 13])):
+        if foreign and not tiny and r.random() < 0.15:  # loose text between line breaks
+            loose = [prose(8, longest) for _ in range(r.randint(1, 6))]
+            keep(" ".join(loose))
+            body.append("<br><br>".join(loose))
+        for _b in range(0 if body[-1].find("<br>") > 0 else 1 if tiny else r.choice([1, 2, 3, 3, 4, 5, 8, 13])):
             body.append(block())
             if r.random() < 0.06:
                 body.append(part(r.choice(["advert", "share", "sidebar", "notice", "form"])))
         if r.random() < 0.12:
             body.append(part("comments"))
         inner = "".join(body)
-        main = f"{open_tag(tag, CONTENT[1], 0.6 if tag in ('article', 'main') else 0.15)}{inner}</{tag}>" if r.random() < 0.94 else inner
-        if r.random() < 0.3:
+        if foreign:
+            main = inner
+            if not tiny and len(body) > 3 and r.random() < 0.15:  # columns
+                cut = r.randint(1, len(body) - 1)
+                main = box("".join(body[:cut])) + box("".join(body[cut:]))
+            elif r.random() < 0.35:
+                main = box(main, 0.6, "article article main")
+            for _w in range(r.choice([0, 0, 0, 1, 1, 2, 3, 5])):
+                main = box(main)
+        else:
+            main = f"{open_tag(tag, CONTENT[1], 0.6 if tag in ('article', 'main') else 0.15)}{inner}</{tag}>" if r.random() < 0.94 else inner
+        if not foreign and r.random() < 0.3:
             main = f'<div class="{r.choice(["container", "wrapper", "row", "page", "layout", "site"])}">{main}{part("sidebar") if r.random() < 0.5 else ""}</div>'
-        before = [part(k) for k in ("notice", "header", "menu", "advert", "form", "share") if r.random() < (0.7 if k == "menu" else 0.35)]
-        after = [part(k) for k in ("sidebar", "comments", "share", "advert", "form", "notice") if r.random() < 0.3]
-        foot = part("footer") if r.random() < 0.85 else ""
+        before = [part(k, foreign) for k in ("notice", "header", "menu", "advert", "form", "share") if not alone and r.random() < (0.7 if k == "menu" else 0.35)]
+        after = [part(k, foreign) for k in ("sidebar", "comments", "share", "advert", "form", "notice") if not alone and r.random() < 0.3]
+        foot = part("footer", foreign) if not alone and r.random() < 0.85 else ""
         r.shuffle(before)
         r.shuffle(after)
-        yield f"<!DOCTYPE html><html><head><title>{prose(1, 8)}</title></head><body>{''.join(before)}{main}{''.join(after)}{foot}</body></html>", {unescape(t) for t in content}
+        page = "".join(before) + main + "".join(after) + foot
+        if foreign:
+            k = r.random()
+            if k < 0.15:  # cells of a layout table
+                rows = [f"<tr><td>{x}</td></tr>" for x in before] if r.random() < 0.5 else []
+                cells = "".join(f"<td>{x}</td>" for x in ([] if rows else before) + [main] + after)
+                page = f"<table>{''.join(rows)}<tr>{cells}</tr></table>{foot}"
+            elif k < 0.25:  # one form around the whole page
+                page = f'<form id="{r.choice(["form1", "aspnetForm", hashed()])}">{page}</form>'
+            elif k < 0.55:
+                for _w in range(r.randint(1, 3)):
+                    page = box(page)
+        yield f"<!DOCTYPE html><html><head><title>{prose(1, 8)}</title></head><body>{page}</body></html>", {unescape(t) for t in content}
 
 
 @lru_cache(maxsize=1)

@@ -57,6 +57,44 @@ def test_html_against_articles_and_held_out_labels(spark):
     assert wrong < 0.03 * total
 
 
+def test_html_layouts_without_known_names():
+    """Layouts whose names the model has never seen, down to paragraphs in the body."""
+    parts = [
+        "The river had risen over night and the lower fields lay under water when the farmers came out.",
+        "Nobody in the village could remember a flood so early in the year, and the old bridge was closed.",
+        "By noon the council had met and asked the neighbouring towns for boats, pumps and blankets.",
+    ]
+    story, b = " ".join(parts), "".join(f"<p>{x}</p>" for x in parts)
+    menu = '<ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li><li><a href="/c">About us</a></li></ul>'
+    nav, foot = f"<nav>{menu}</nav>", "<footer>&copy; 2024 Valley Post</footer>"
+    pages = {
+        b: story,
+        nav + b + foot: story,
+        f'<div id="root"><div class="sc-abc"><div class="x1y2">{b}</div></div></div>': story,
+        f'<div id="root"><div class="sc-kq1">{nav}<div class="sc-abc"><div class="x1y2">{b}</div></div>{foot}</div></div>': story,
+        f"<div>{b}</div>": story,
+        f'<div class="zubrowka">{b}</div>': story,
+        f"<table><tr><td>{menu}</td><td>{b}</td></tr></table>": story,
+        '<div class="c1"><p>First short part of it.</p></div><div class="c2"><p>Second short part of it.</p></div>': "First short part of it. Second short part of it.",
+        f'<form id="aspnetForm"><div class="k2">{nav}</div><div class="q7">{b}</div>{foot}</form>': story,
+        "<div>" * 9 + b + "</div>" * 9: story,
+        f"<center><font size=2>{b}</font></center>": story,
+        f'<div class="m8">{"<br><br>".join(parts)}</div>': story,
+        f'<div class="css-9a">{menu}</div><div class="css-8b"><h1>Flood in the valley</h1>{b}</div><div class="css-7c">&copy; 2024 Valley Post</div>': "Flood in the valley " + story,
+        f"{nav}<article>{b}</article>{foot}": story,
+    }
+    model = html.default_model()
+    for page, text in pages.items():
+        assert model.extract(f"<html><head><title>Flood</title></head><body>{page}</body></html>") == text, page
+
+
+def test_html_hidden_parts_and_fields():
+    page = '<article><p>One fine paragraph of the text stands here.</p><p hidden>gone</p><div style="display: none"><p>gone<p>gone</div><textarea>gone</textarea><button>gone</button><select><option>gone</select><p title="a hidden gem" data-style="display:none">Another paragraph which stays <span hidden>gone</span><b style="Visibility:hidden">gone</b>here.</p></article>'
+    assert html.default_model().extract(page) == "One fine paragraph of the text stands here. Another paragraph which stays here."
+    nodes = html.parse("<button>never closed<p>text</p>")
+    assert [n.text for n in nodes if n.text] == ["never closed", "text"]
+
+
 def test_html_marginals_are_exact():
     """Sum-product equals the sum over all states of a small tree."""
     nodes = html.parse("<div class=a><p>x<p>y</div><ul><li>z</ul>")
