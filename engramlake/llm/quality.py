@@ -3,9 +3,11 @@
 Each text becomes a fixed row of shape features (repetition, symbols, case, lengths, line and sentence structure). A
 small network with one hidden layer is trained to minimise the non-negative unbiased risk
 ``prior * E_P[l(+)] + max(0, E_U[l(-)] - prior * E_P[l(-)])`` with logistic loss, trusted positives P being labelled
-rows of the training fold and U unlabelled texts of that fold. The class prior is the share of positives among the
-labelled training rows (a fixed value where only positives are labelled). Labels, language, source and id are never
-inputs.
+rows of the training fold and U unlabelled texts of that fold. The class prior is estimated from P and U alone: two
+networks, each trained on one half of the rows, rank the other half, and the prior is the least ratio of the share of U
+to the share of P above a threshold, plus one standard error of that ratio, so that a doubt speaks for keeping
+(``PRIOR_WITHOUT_EVIDENCE`` where either has under ``LEAST_ROWS`` rows). Labels of negatives are not used; labels,
+language, source and id are never inputs.
 
 Bounds: at most ``MAX_POSITIVE`` and ``MAX_UNLABELLED`` rows are drawn for training, by least digest of the id, so the
 draw does not depend on partitions. Every text is scored in its own partition; nothing is shuffled but the ids drawn.
@@ -30,7 +32,10 @@ from engramlake.llm.common import ship
 
 FOLDS, HELD_OUT = 4, 2
 MAX_POSITIVE, MAX_UNLABELLED = 10_000, 20_000
-ACCEPT, PRIOR_WITHOUT_NEGATIVES = 0.7, 0.85
+ACCEPT, PRIOR_WITHOUT_EVIDENCE, LEAST_ROWS = 0.7, 0.85, 20
+#: Prior of the networks that only rank, and their epochs. Their order is that of the density ratio of P to U as long as
+#: this value is below the true prior.
+RANK_PRIOR, RANK_EPOCHS = 0.3, 150
 HIDDEN, EPOCHS, SEED = 16, 400, 7
 UPPER, LOWER, DIGITS, SYMBOLS, MARKS = (bytes(range(65, 91)), bytes(range(97, 123)), b"0123456789", b"#*$%&|<>@^~=_{}[]\\/", b"!?")
 
@@ -123,15 +128,33 @@ class PuNetwork:
         return 1 / (1 + np.exp(-np.clip(g, -30, 30)))
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of positives among the unlabelled rows, from positives and unlabelled rows only.
+
+    Above a threshold at which no negative is left, U holds the prior's share of what P holds; elsewhere it holds more.
+    Thresholds keep at least half of the positives, and each half of the rows is ranked by a network of the other.
+    """
+    if min(len(positive), len(unlabelled)) < LEAST_ROWS:
+        return PRIOR_WITHOUT_EVIDENCE
+    found = []
+    order = np.random.default_rng(SEED)
+    positive, unlabelled = order.permutation(positive), order.permutation(unlabelled)
+    for half in (0, 1):
+        net = PuNetwork(positive[half::2], unlabelled[half::2], RANK_PRIOR, RANK_EPOCHS)
+        p, u = np.sort(net.score(positive[1 - half :: 2])), np.sort(net.score(unlabelled[1 - half :: 2]))
+        at = p[: len(p) // 2 + 1]
+        in_p = 1 - np.searchsorted(p, at) / len(p)
+        in_u = np.maximum(1 - np.searchsorted(u, at) / len(u), 1 / len(u))
+        ratio = in_u / in_p
+        found.append(np.min(ratio * (1 + np.sqrt((1 - in_u) / (in_u * len(u)) + (1 - in_p) / (in_p * len(p))))))
+    return float(np.clip(np.mean(found), 0.02, 0.98))
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> PuNetwork | None:
     """Network from labels of the training fold and unlabelled texts; None without a trusted positive."""
     ship(docs.sparkSession)
     known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     known = known.filter(~held_out(F.col("doc_id")))
-    prior = known.agg(F.avg(F.col("quality").cast("double"))).first()[0]
-    if not prior:
-        return None
-    prior = float(min(prior, 0.98)) if prior < 1 else PRIOR_WITHOUT_NEGATIVES
     draw = lambda df, n: df.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(n)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").filter(~held_out(F.col("doc_id")))
     plain = ids.join(labels.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_anti")
@@ -147,8 +170,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
         return None
     x = x[np.lexsort((*x.T[::-1], p))]  # the order of rows from the cluster does not matter
     p = np.sort(p)
-    unlabelled = x[p == 0] if (p == 0).sum() >= 20 else x
-    return PuNetwork(x[p == 1], unlabelled, prior)
+    unlabelled = x[p == 0] if (p == 0).sum() >= LEAST_ROWS else x
+    return PuNetwork(x[p == 1], unlabelled, estimate_prior(x[p == 1], x[p == 0]))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT, **bounds) -> DataFrame:

@@ -190,6 +190,14 @@ def test_secrets_of_unquoted_assignments_and_long_keys(spark):
     assert near == ["", "AWS_SECRET_ACCESS_KEY_1="]
 
 
+def test_secrets_whose_first_digit_stands_far_in(spark):
+    key = "".join(random.Random(4).choices("abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ", k=240)) + "7Kq9X2mZ4vB1"
+    rows = [(1, f"blob {key} end", ""), (2, f'token = "{key}"', ""), (3, "q" * 300_000 + "1", ""), (4, "7" * 300_000, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {(r.doc_id, len(r.candidate)) for r in secrets.candidates(docs, "doc_id").collect()} == {(1, len(key)), (2, len(key)), (3, 300_001)}
+    assert {r.doc_id: r.text for r in secrets.redact_secrets(docs).collect()}[2] == 'token = "[SECRET]"'
+
+
 def test_secret_forest_on_held_out_findings(spark):
     from pyspark.sql import functions as F
 
