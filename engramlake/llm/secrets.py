@@ -40,7 +40,7 @@ PREFIXES = r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-
 CANDIDATE = (
     r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,30}PRIVATE KEY-----|[A-Za-z0-9+/=\s]*+)"
     rf"|(?<![A-Za-z0-9_+/-])(?:{PREFIXES}"
-    r"|(?=[A-Za-z_+/-]{0,200}[0-9])(?=[0-9_+/-]{0,200}[A-Za-z])[A-Za-z0-9_+/-]{16,}+(?:={1,2}(?![A-Za-z0-9_+/=\"'-]))?+)"
+    r"|(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{16,}+(?:={1,2}(?![A-Za-z0-9_+/=\"'-]))?+)"
     r"|(?<=[:=\s\"'])(?<=(?:[kK]ey|KEY|[tT]oken|TOKEN|[sS]ecret|SECRET|[pP]assword|PASSWORD|[pP]asswd|pwd)\s{0,2}[:=]\s{0,2}[\"']?)(?:[^\s\"',;<>&]|&(?!\w{1,40}=)){8,}+"
 )
 # Words that speak for a placeholder or an ordinary identifier.
@@ -67,7 +67,7 @@ def describe(c: Column, before: Column, after: Column, path: Column) -> dict[str
     share = lambda pattern: count(pattern) / n
     kind = F.concat_ws("|", *map(F.lit, sorted(DICTIONARY, key=lambda w: (-len(w), w))))
     covered = n - F.length(F.regexp_replace(F.lower(c), kind, ""))
-    chars = F.array_distinct(F.split(F.substring(c, 1, 200), ""))
+    chars = F.array_distinct(F.split(c, ""))
     return {
         "length": F.least(n, F.lit(400.0)), "upper": share("[A-Z]"), "lower": share("[a-z]"), "digit": share("[0-9]"), "other": share("[^A-Za-z0-9]"),
         "switches": share("(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])"),

@@ -288,6 +288,18 @@ def test_quality_on_held_out_labels(spark):
     assert kept == {r.doc_id for r in got if r.predicted == 1}
 
 
+def test_class_prior_of_known_mixtures():
+    """The prior comes from positives and unlabelled rows alone."""
+    r = np.random.default_rng(5)
+    good = lambda n: r.normal(0, 1, (n, 6))
+    bad = lambda n: r.normal(2.5, 1, (n, 6))
+    for share in (0.35, 0.6, 0.9):
+        n = 3000
+        mix = np.concatenate([good(round(n * share)), bad(n - round(n * share))])
+        assert abs(quality.estimate_prior(good(1500), mix) - share) < 0.05
+    assert quality.estimate_prior(good(3), good(500)) == quality.PRIOR_WITHOUT_EVIDENCE
+
+
 def test_quality_odd_input(spark):
     labels = spark.createDataFrame([(1, 1, 0), (2, None, 0), (None, 1, 1), (7, 0, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
     got = quality.score_quality(odd_rows(spark), labels).collect()
