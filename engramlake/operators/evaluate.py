@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engramlake.functions import lexicons as L
 from engramlake.functions import text as X
 from engramlake.operators import skew
 from engramlake.operators.textfeatures import abstains, answer_form
+from engramlake.session import materialise
 
 OUTCOMES = ["pass", "partial", "fail", "false_positive"]
 
@@ -41,7 +42,25 @@ def percentiles(m: DataFrame, by: list[str], ps: tuple[int, ...] = (50, 90, 95,
 
 
 def approx_percentiles(m: DataFrame, by: list[str], ps: tuple[int, ...] = (50, 90, 95, 99), accuracy: int = 10000) -> DataFrame:
-    return m.groupBy(*by).agg(F.count("*").alias("n"), *[F.percentile_approx("value", p / 100, accuracy).alias(f"p{p}") for p in ps])
+    """Least value that p percent of the rows of a key do not exceed: brackets from the approximate sketch, exact by a second pass.
+
+    The sketch is off by at most n / accuracy ranks, so the values four times as far to either side hold the wanted one.
+    Rows below a bracket are only counted; the values inside, a bounded share of the key, are counted one by one.
+    """
+    part = lambda x: min(1.0, max(0.0, x))
+    ends = m.groupBy(*by).agg(F.count("value").alias("_n"), F.count("*").alias("n"), *[
+        F.struct(F.percentile_approx("value", part(p / 100 - 4 / accuracy), accuracy).alias("lo"), F.percentile_approx("value", part(p / 100 + 4 / accuracy), accuracy).alias("hi")).alias(f"_e{p}") for p in ps])
+    ends = materialise(ends, "percentile-ends")
+    e = ends.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], "_n", F.explode(F.array(*[F.struct(F.lit(p).alias("p"), f"_e{p}.lo", f"_e{p}.hi") for p in ps])).alias("_e"))
+    same = [m[k].eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(by)]
+    keys = [F.col(f"_k{i}") for i in range(len(by))]
+    j = m.join(e, same).filter(F.col("value") <= F.col("_e.hi"))
+    # One row for all values below a bracket and one for each value inside.
+    c = j.groupBy(*keys, "_n", "_e.p", F.when(F.col("value") >= F.col("_e.lo"), F.col("value")).alias("_v")).agg(F.count("*").alias("_c"))
+    along = Window.partitionBy(*keys, "p").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    c = c.withColumn("_cum", F.sum("_c").over(along)).filter(F.col("_v").isNotNull() & (F.col("_cum") >= F.ceil(F.col("_n") * F.col("p") / 100)))
+    exact = c.groupBy(*keys).agg(*[F.min(F.when(F.col("p") == p, F.col("_v"))).alias(f"p{p}") for p in ps])
+    return ends.select(*by, "n").join(exact, [ends[k].eqNullSafe(exact[f"_k{i}"]) for i, k in enumerate(by)], "left").select(*by, "n", *[f"p{p}" for p in ps])
 
 
 def histogram_buckets(m: DataFrame, by: list[str], bounds: list[float]) -> DataFrame:
