@@ -241,13 +241,14 @@ def hybrid(vec: DataFrame, key: DataFrame, k: int, w_vec: float = 0.7, w_key: fl
     return skew.top_k(j, ["query_id"], [F.col("score").desc(), F.col("memory_id")], k)
 
 
-def text_index(mem: DataFrame, key: str = "memory_id", text: str = "content") -> DataFrame:
+def text_index(mem: DataFrame, key: str = "memory_id", text: str = "content", parts: int | None = None) -> DataFrame:
     """Postings with term frequency and document length: the table all BM25 jobs read.  Write it once per corpus.
 
     Documents are placed by their unique key before they are cut into tokens: the counts need no second
     shuffle, and all postings of a document lie together, so later sums per document combine in one task.
     """
-    d = mem.select(key, X.search_tokens(F.col(text)).alias("t")).repartition(key)
+    d = mem.select(key, X.search_tokens(F.col(text)).alias("t"))
+    d = d.repartition(parts, key) if parts else d.repartition(key)
     return d.select(key, F.size("t").alias("dl"), F.explode("t").alias("token")).groupBy(key, "dl", "token").agg(F.count("*").alias("tf"))
 
 
@@ -268,14 +269,22 @@ class TextIndex(NamedTuple):
     frequency: DataFrame
 
 
-def store_index(mem: DataFrame, path: str, key: str = "memory_id", text: str = "content", buckets: int = 64) -> TextIndex:
+#: Documents of one bucket of the stored index: what a task sums per query and document is bounded by them.  Spark allows 100,000 buckets.
+BUCKET_DOCS, LEAST_BUCKETS, MOST_BUCKETS = 8_000, 16, 100_000
+
+
+def store_index(mem: DataFrame, path: str, key: str = "memory_id", text: str = "content", buckets: int | None = None) -> TextIndex:
     """Write the index of a corpus once: postings bucketed by document, with the statistics beside them.
 
-    Sums per document over a bucketed table need no exchange.  ``buckets`` should grow with the corpus.
+    Sums per document over a bucketed table need no exchange.  Without given ``buckets`` their number grows with the
+    corpus, so that a task holds the sums of ``BUCKET_DOCS`` documents whatever the corpus.
     """
     spark = mem.sparkSession
+    if buckets is None:
+        buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-mem.count() // BUCKET_DOCS)))
     name = f"text_index_{uuid.uuid4().hex}"
-    text_index(mem, key, text).write.bucketBy(buckets, key).option("path", f"{path}/postings").saveAsTable(name)
+    # Documents are placed as the buckets are, so each bucket is one file.
+    text_index(mem, key, text, buckets).write.bucketBy(buckets, key).option("path", f"{path}/postings").saveAsTable(name)
     postings = spark.table(name)
     corpus_stats(postings, key).write.parquet(f"{path}/stats")
     document_frequency(postings).write.parquet(f"{path}/frequency")

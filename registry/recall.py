@@ -236,7 +236,7 @@ s AS (SELECT query_id, memory_id, round(sum(idf * (tf * 2.5) / (tf + 1.5 * (0.25
 
 def stored_index(spark, d):
     """The index of a corpus is written once and read by every query over it."""
-    return stored(spark, d, "text-index", ["documents"], lambda: H.store_index(B.memories(spark, d), work_path(spark, "text-index"), buckets=16))
+    return stored(spark, d, "text-index", ["documents"], lambda: H.store_index(B.memories(spark, d), work_path(spark, "text-index")))
 
 
 def scored(spark, d):
