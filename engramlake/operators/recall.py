@@ -8,13 +8,14 @@ is limited in every task before the shuffle.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engramlake.functions import text as X
-from engramlake.operators import skew
+from engramlake.operators import scan, skew
 from engramlake.operators import topterms as TT
 from engramlake.session import materialise
 
@@ -115,6 +116,15 @@ def keyword_search(q: DataFrame, mem: DataFrame, k: int = 10, blocks: DataFrame
     return best.withColumnRenamed("id", "memory_id")
 
 
+def keyword_best(q: DataFrame, mem: DataFrame, k: int = 10, blocks: Callable[[], DataFrame] | None = None) -> DataFrame:
+    """``keyword_search`` of one batch: few questions go to the tasks and the texts are read once, many meet posting blocks."""
+    asked = scan.question_terms(q, X.word_set(F.col("text")))
+    if asked is None:
+        return keyword_search(q, mem, k, blocks() if blocks else None).drop("importance")
+    rows = mem.select(F.col("memory_id").alias("id"), F.array_join(X.word_list(F.col("content")), " ").cast("binary").alias("words"), F.col("importance").alias("value"))
+    return scan.best_rows(asked, rows, k, lambda matches, asked, words, value: matches * 0.5 + value * 0.3, inside=True).withColumnRenamed("id", "memory_id")
+
+
 def rank_utility(q: DataFrame, pool: DataFrame, as_of, weights: dict[str, float] = UTILITY_WEIGHTS, threshold: float = 0.1, tokens: Column | None = None) -> DataFrame:
     """Weighted utility with its parts.  ``tokens`` may override the token estimate."""
     b = rank_base(q, pool, as_of)
@@ -233,6 +243,16 @@ def jaccard_search(q: DataFrame, mem: DataFrame, k: int = 10, blocks: DataFrame
     return TT.best_rows(units, blocks, bound, exact, k).withColumnRenamed("id", "memory_id")
 
 
+def jaccard_best(q: DataFrame, mem: DataFrame, k: int = 10, blocks: Callable[[], DataFrame] | None = None) -> DataFrame:
+    """``jaccard_search`` of one batch: few questions go to the tasks and the texts are read once, many meet posting blocks."""
+    asked = scan.question_terms(q, X.space_words(F.col("text")))
+    if asked is None:
+        return jaccard_search(q, mem, k, blocks() if blocks else None)
+    # White space of a binary is that of the pattern of ``space_words``.
+    rows = mem.select(F.col("memory_id").alias("id"), F.lower("content").cast("binary").alias("words"), F.lit(0.0).alias("value"))
+    return scan.best_rows(asked, rows, k, lambda matches, asked, words, value: matches / (asked + words - matches)).drop("matches").withColumnRenamed("id", "memory_id")
+
+
 def hybrid(vec: DataFrame, key: DataFrame, k: int, w_vec: float = 0.7, w_key: float = 0.3) -> DataFrame:
     v = vec.select("query_id", "memory_id", F.col("score").alias("v"))
     s = key.select("query_id", "memory_id", F.col("score").alias("s"))

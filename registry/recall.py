@@ -96,8 +96,8 @@ SELECT query_id, memory_id, matches, round(matches * 0.5 + importance * 0.3, 9)
 @query("keyword_search", "SELECT query_id, memory_id, matches, rank, round(score, 6) AS score FROM kws")
 def keyword_search(spark, d):
     m = B.memories(spark, d)
-    blocks = stored(spark, d, "token-blocks", ["documents"], lambda: materialise(H.token_blocks(m), "token-blocks"))
-    return r6(H.keyword_search(_q(spark, d), m, 10, blocks).drop("importance"), "score")
+    blocks = lambda: stored(spark, d, "token-blocks", ["documents"], lambda: materialise(H.token_blocks(m), "token-blocks"))
+    return r6(H.keyword_best(_q(spark, d), m, 10, blocks), "score")
 
 
 EXTRA_CTES["rutil"] = f"""WITH a AS (SELECT *, least(1.0, overlap / greatest(1, query_terms)) AS relevance, greatest(0.1, 1.0 - {S.whole_days(NOW, 'created_at')} / 180) AS recency,
@@ -213,8 +213,8 @@ EXTRA_CTES["jacs"] = "SELECT *, row_number() OVER (PARTITION BY query_id ORDER B
 
 def jaccard(spark, d, k):
     m = B.memories(spark, d)
-    blocks = stored(spark, d, "size-blocks", ["documents"], lambda: materialise(H.size_blocks(m), "size-blocks"))
-    return H.jaccard_search(_q(spark, d), m, k, blocks)
+    blocks = lambda: stored(spark, d, "size-blocks", ["documents"], lambda: materialise(H.size_blocks(m), "size-blocks"))
+    return H.jaccard_best(_q(spark, d), m, k, blocks)
 
 
 @query("jaccard_search", "SELECT query_id, memory_id, round(score, 6) AS score, rank FROM jacs WHERE rank <= 10")
