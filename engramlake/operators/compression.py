@@ -25,9 +25,10 @@ class CompressionLexicon:
     reason: list = field(default_factory=lambda: L.COMPRESS_REASON)
 
 
-def sentence_score(s: Column, lex: CompressionLexicon) -> Column:
+def sentence_score(s: Column, lex: CompressionLexicon, low: Column | None = None) -> Column:
+    """Importance of a sentence; ``low`` is its lower-case form where that is at hand."""
     score = F.lit(0.5)
-    low = F.lower(s)
+    low = F.lower(s) if low is None else low
     for group in lex.markers:
         score = score + F.when(X.contains_any(low, group), 0.2).otherwise(0.0)
     score = score + F.least(F.length(s) / 200.0, F.lit(0.3))
@@ -59,53 +60,71 @@ def compress_light(df: DataFrame, lex: CompressionLexicon = CompressionLexicon()
     return tidy.withColumn("light", F.array_join(kept, " ")).withColumn("sentences_removed", (F.size("_s") - F.size(kept)).cast("long")).drop("_s")
 
 
-def _ranked(s: Column, lex: CompressionLexicon) -> Column:
-    """Sentences best first; equal scores keep their order."""
-    return F.array_sort(F.transform(s, lambda x, i: F.struct((-sentence_score(x, lex)).alias("neg"), i.alias("pos"), x.alias("s"))))
-
-
 def _heading(title: str, items: Column) -> Column:
     return F.when(F.size(items) > 0, F.concat(F.lit(title), F.array_join(items, "\n")))
 
 
+def _once(value: Column) -> Column:
+    """A column of its own that no expression above computes again, as it would inside a lambda for every element."""
+    return F.explode(F.array(value))
+
+
 def compress_all(df: DataFrame, lex: CompressionLexicon = CompressionLexicon(), text: str = "content") -> DataFrame:
     """All compressed forms of each row from one split and one scoring of its sentences."""
-    d = compress_light(df, lex, text).withColumn("_s", X.sentence_list(F.col(text))).withColumn("_r", _ranked(F.col("_s"), lex))
-    s, r = F.col("_s"), F.col("_r")
-    kept = F.slice(r, F.lit(1), F.greatest(F.lit(3), F.floor(F.size(s) * 0.4).cast("int")))["s"]
-    d = d.withColumn("_k", kept).withColumn("episode", F.array_join(F.filter(s, lambda x: F.array_contains(F.col("_k"), x)), " "))
-    decided = lambda x: X.contains_any(F.lower(x), lex.decision)
-    reasoned = lambda x: X.contains_any(F.lower(x), lex.reason)
-    dec = F.slice(F.filter(s, decided), 1, 3)
-    rea = F.slice(F.filter(s, lambda x: ~decided(x) & reasoned(x)), 1, 3)
-    oth = F.slice(F.filter(s, lambda x: ~decided(x) & ~reasoned(x) & (sentence_score(x, lex) > 0.7)), 1, 2)
+    def read(x: Column, i: Column) -> Column:
+        marks = lambda low: F.struct((-sentence_score(x, lex, low)).alias("neg"), i.alias("pos"), x.alias("s"), X.contains_any(low, lex.decision).alias("d"), X.contains_any(low, lex.reason).alias("r"))
+        return F.transform(F.array(F.lower(x)), marks)[0]
+
+    d = compress_light(df, lex, text).withColumn("_x", _once(F.transform(X.sentence_list(F.col(text)), read)))
+    d = d.withColumn("_r", _once(F.array_sort("_x")))
+    x, s, r = F.col("_x"), F.col("_x")["s"], F.col("_r")
+    d = d.withColumn("_k", _once(F.slice(r, F.lit(1), F.greatest(F.lit(3), F.floor(F.size(r) * 0.4).cast("int")))["s"]))
+    d = d.withColumn("_e", _once(F.filter(s, lambda y: F.array_contains(F.col("_k"), y))))
+    reasoned = lambda y: ~y["d"] & y["r"]
+    dec = F.slice(F.filter(x, lambda y: y["d"])["s"], 1, 3)
+    rea = F.slice(F.filter(x, reasoned)["s"], 1, 3)
+    oth = F.slice(F.filter(x, lambda y: ~y["d"] & ~y["r"] & (y["neg"] < -0.7))["s"], 1, 2)
     semantic = F.array_join(F.array_compact(F.array(_heading("**decisions:**\n", dec), _heading("\n**reasons:**\n", rea), _heading("\n**key points:**\n", oth))), "\n")
-    best = F.filter(F.slice(r, 1, 2), lambda x: x["neg"] < -0.6)["s"]
+    best = F.filter(F.slice(r, 1, 2), lambda y: y["neg"] < -0.6)["s"]
     ends = F.when(F.size(s) > 1, F.array(F.get(s, F.lit(0)), F.element_at(s, -1))).otherwise(s)
     long_term = F.array_join(F.when(F.size(best) > 0, best).otherwise(ends), " ")
     return (
-        d.withColumn("semantic", semantic)
+        d.withColumn("episode", F.array_join("_e", " "))
+        .withColumn("semantic", semantic)
         .withColumn("long_term", long_term)
-        .withColumn("sentences_total", F.size(s).cast("long"))
-        .withColumn("sentences_kept", F.size(F.filter(s, lambda x: F.array_contains(F.col("_k"), x))).cast("long"))
-        .withColumn("decisions_found", F.size(F.filter(s, decided)).cast("long"))
-        .withColumn("reasons_found", F.size(F.filter(s, lambda x: ~decided(x) & reasoned(x))).cast("long"))
-        .drop("_s", "_r", "_k")
+        .withColumn("sentences_total", F.size(x).cast("long"))
+        .withColumn("sentences_kept", F.size("_e").cast("long"))
+        .withColumn("decisions_found", F.size(F.filter(x, lambda y: y["d"])).cast("long"))
+        .withColumn("reasons_found", F.size(F.filter(x, reasoned)).cast("long"))
+        .drop("_x", "_r", "_k", "_e")
     )
 
 
-def build_versions(mem: DataFrame, lex: CompressionLexicon = CompressionLexicon(), policy_version: str = "1", algorithm_version: str = "1") -> DataFrame:
-    """One row per resolution below the memory's own, with token counts, ratio and method; a single narrow pass."""
+#: What the rules of ``validate_versions`` read of an original, by name of the column.
+OF_ORIGINAL = {
+    "original_words": lambda o: F.array_distinct(F.split(F.lower(o), r"\s+")),
+    "original_names": lambda o: F.transform(X.entity_set(o), lambda e: F.struct(e.alias("e"), F.lower(e).alias("low"))),
+    "original_keys": lambda o: F.transform(F.array(F.lower(o)), lambda low: F.filter(F.array(*[F.lit(w) for w in L.VALIDATION_DECISION]), lambda w: low.contains(w)))[0],
+}
+
+
+def build_versions(mem: DataFrame, lex: CompressionLexicon = CompressionLexicon(), policy_version: str = "1", algorithm_version: str = "1", rules: bool = False) -> DataFrame:
+    """One row per resolution below the memory's own, with token counts, ratio and method; a single narrow pass.
+
+    With ``rules`` also what ``validate_versions`` reads of the original, worked out once for all versions of a memory.
+    """
     c = compress_all(mem.filter("resolution < 4"), lex)
+    of = {n: fn(F.col("content")) for n, fn in OF_ORIGINAL.items()} if rules else {}
+    c = c.select("*", *[v.alias(n) for n, v in of.items()])
     forms = [(1, "light", "light"), (2, "episode", "episode"), (3, "semantic", "semantic"), (4, "long_term", "long_term"), (5, "deep_long_term", "long_term")]
     fan = F.array(*[F.struct(F.lit(r).alias("resolution"), F.lit(m).alias("method"), F.col(src).alias("content")) for r, m, src in forms])
-    v = c.select("memory_id", F.col("resolution").alias("own"), F.col("memory_type"), F.col("content").alias("original"), F.explode(fan).alias("v"))
+    v = c.select("memory_id", F.col("resolution").alias("own"), F.col("memory_type"), F.col("content").alias("original"), *of, F.explode(fan).alias("v"))
     v = v.filter(F.col("v.resolution") > F.col("own"))
     orig, comp = X.token_estimate(F.col("original")), X.token_estimate(F.col("v.content"))
     return v.select(
         "memory_id", F.col("own").alias("own_resolution"), "memory_type", "original", "v.resolution", "v.method", "v.content",
         orig.alias("original_tokens"), comp.alias("compressed_tokens"), (orig / comp).alias("ratio"),
-        F.lit(policy_version).alias("policy_version"), F.lit(algorithm_version).alias("algorithm_version"),
+        F.lit(policy_version).alias("policy_version"), F.lit(algorithm_version).alias("algorithm_version"), *of,
     )
 
 
@@ -125,20 +144,22 @@ def _three(score: Column, ok: float, warn: float) -> Column:
 
 def validate_versions(ver: DataFrame) -> DataFrame:
     """Rule outcomes of every version as one row per rule, computed inside the row of the version."""
-    v = ver.select("memory_id", "resolution", "memory_type", "ratio", "original", "content", F.lower("original").alias("lo"), F.lower("content").alias("lc"),
-                   X.entity_set(F.col("original")).alias("ents"), X.entity_set(F.col("content")).alias("cents"))
-    names = F.filter("ents", lambda e: ~e.isin(L.ENTITY_STOP_WORDS))
-    keys = F.filter(F.array(*[F.lit(w) for w in L.VALIDATION_DECISION]), lambda w: F.col("lo").contains(w))
+    ver = ver.withColumns({n: fn(F.col("original")) for n, fn in OF_ORIGINAL.items() if n not in ver.columns})
+    # Columns of their own, so that the lambdas below do not compute them for every element.
+    v = ver.withColumn("lc", _once(F.lower("content"))).withColumn("cents", _once(X.entity_set(F.col("content"))))
+    ents, keys = F.col("original_names"), F.col("original_keys")
+    v = v.withColumn("names", F.filter(ents["e"], lambda e: ~e.isin(L.ENTITY_STOP_WORDS)))
+    names = F.col("names")
     part = lambda hits, of: F.when(F.size(of) > 0, hits / F.size(of)).otherwise(F.lit(1.0))
     v = v.select(
         "memory_id", "resolution", "memory_type", "ratio",
         (1 - F.length("content") / F.greatest(F.length("original"), F.lit(1))).alias("truncation"),
         (X.strip(F.col("content")) != "").alias("filled"),
         ((F.col("original") == "") | (F.col("content") == "")).alias("blank"),
-        part(F.size(F.filter("ents", lambda e: F.col("lc").contains(F.lower(e)))), F.col("ents")).alias("phrase"),
+        part(F.size(F.filter(ents, lambda e: F.col("lc").contains(e["low"]))), ents).alias("phrase"),
         part(F.size(F.filter(keys, lambda w: F.col("lc").contains(w))), keys).alias("dec"),
         part(X.overlap(names, F.col("cents")), names).alias("ent"),
-        F.size(F.filter(F.array_except(F.split("lc", r"\s+"), F.split("lo", r"\s+")), lambda w: (F.length(w) > 2) & ~w.isin(L.VALIDATION_FILLER))).alias("new"),
+        F.size(F.filter(F.array_except(F.split("lc", r"\s+"), F.col("original_words")), lambda w: (F.length(w) > 2) & ~w.isin(L.VALIDATION_FILLER))).alias("new"),
     )
     ratio, new, filled, blank = F.col("ratio"), F.col("new"), F.col("filled"), F.col("blank")
     rules = [

@@ -58,6 +58,10 @@ def versions(spark, d):
     return C.build_versions(B.memories(spark, d), LEX)
 
 
+def checked(spark, d):
+    return C.validate_versions(C.build_versions(B.memories(spark, d), LEX, rules=True))
+
+
 @query("sentence_importance", f"""
 WITH e AS (SELECT memory_id, unnest(list_transform({S.sentences('content')}, lambda s, i: {{'s': s, 'i': i}})) AS u FROM mem)
 SELECT memory_id, CAST(u.i - 1 AS BIGINT) AS pos, u.s AS sentence, round({score('u.s')}, 6) AS importance FROM e""")
@@ -128,7 +132,7 @@ SELECT * FROM r"""
 
 @query("validate_versions", "SELECT memory_id, resolution, rule, status, round(score, 6) AS score FROM vrules")
 def validate_versions(spark, d):
-    return C.validate_versions(versions(spark, d)).withColumn("score", F.round("score", 6))
+    return checked(spark, d).withColumn("score", F.round("score", 6))
 
 
 @query("version_verdicts", """
@@ -136,7 +140,7 @@ SELECT memory_id, resolution, count(*) FILTER (status = 'failed') AS failed, cou
   CASE WHEN count(*) FILTER (status = 'failed') > 0 THEN 'failed' WHEN count(*) FILTER (status = 'warning') > 0 THEN 'warning' ELSE 'passed' END AS overall
 FROM vrules GROUP BY memory_id, resolution""")
 def version_verdicts(spark, d):
-    return C.validation_status(C.validate_versions(versions(spark, d)))
+    return C.validation_status(checked(spark, d))
 
 
 @query("expand_to_resolution", """
