@@ -136,33 +136,57 @@ def cooldown_stream(proposals: DataFrame, seconds: int = 3600, label: str = "str
 
 
 def _decay(light_after: int, episode_after: int):
+    """Keys of one bucket with their states and timers; the timer of the bucket is the earliest of theirs."""
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            count, last, level = state.get
-            idle = (state.getCurrentWatermarkMs() - last) // 1000
-            level = 3 if count >= 3 else 2 if idle > episode_after else 1 if idle > light_after else level
-            if level < 2:
-                state.update((count, last, level))
-                state.setTimeoutTimestamp(last + episode_after * 1000 + 1)
-            else:
-                state.remove()
-            yield pd.DataFrame({"entity": [key[0]], "property": [key[1]], "resolution": [level], "access_count": [count], "decayed": [True]})
-            return
-        count, last, level = state.get if state.exists else (0, 0, 0)
-        for pdf in batches:
-            count += len(pdf)
-            last = max(last, int(pdf["ts_ms"].max()))
-        level = 3 if count >= 3 else 0
-        state.update((count, last, level))
-        state.setTimeoutTimestamp(last + light_after * 1000 + 1)
-        yield pd.DataFrame({"entity": [key[0]], "property": [key[1]], "resolution": [level], "access_count": [count], "decayed": [False]})
+        watermark = state.getCurrentWatermarkMs()
+        held = {(e, p): (c, last, level) for e, p, c, last, level in zip(*state.get, strict=True)} if state.exists else {}
+        changed: set[tuple] = set()
+        if not state.hasTimedOut:
+            plain = lambda x: x if isinstance(x, str) else None
+            for pdf in batches:
+                for (e, p), n, last in pdf.groupby(["entity", "property"], dropna=False, sort=False)["ts_ms"].agg(["size", "max"]).itertuples():
+                    k = plain(e), plain(p)
+                    count, before, _ = held.get(k, (0, 0, 0))
+                    held[k] = count + int(n), max(before, int(last)), 3 if count + n >= 3 else 0
+                    changed.add(k)
+        out = [(*k, held[k][2], held[k][0], False) for k in changed]
+        timer = lambda last, level: last + (light_after if level in (0, 3) else episode_after) * 1000 + 1
+        due: list[int] = []
+        for k, (count, last, level) in list(held.items()):
+            at = timer(last, level)
+            if k not in changed and at < watermark:
+                idle = (watermark - last) // 1000
+                level = 3 if count >= 3 else 2 if idle > episode_after else 1 if idle > light_after else max(level, 0)
+                out.append((*k, level, count, True))
+                if level >= 2:
+                    del held[k]
+                    continue
+                # -1: the first timer has fired and the level has stayed.
+                held[k] = count, last, level or -1
+                at = last + episode_after * 1000 + 1
+            due.append(at)
+        if held:
+            state.update(tuple(list(c) for c in zip(*[(*k, *v) for k, v in held.items()], strict=True)))
+            state.setTimeoutTimestamp(max(min(due), watermark + 1))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=["entity", "property", "resolution", "access_count", "decayed"])
 
     return run
 
 
+#: Buckets of keys: a task calls Python once for a bucket, not once for a key.
+DECAY_BUCKETS = 16_384
+
+
 def decay_stream(facts: DataFrame, light_after: int = 36000, episode_after: int = 72000, watermark: str = "1 hour", label: str = "stream-decay", sink: str | None = None, checkpoint: str | None = None) -> DataFrame:
-    """Resolution of each key after silence: event-time timers move idle keys to light and then to episode."""
-    f = facts.withWatermark("ts", watermark).select("entity", "property", "ts", F.unix_millis("ts").alias("ts_ms"))
-    out = f.groupBy("entity", "property").applyInPandasWithState(
-        _decay(light_after, episode_after), "entity string, property string, resolution int, access_count long, decayed boolean", "count long, last_ms long, level int", "append", GroupStateTimeout.EventTimeTimeout)
+    """Resolution of each key after silence: event-time timers move idle keys to light and then to episode.
+
+    The keys of a bucket share one state row, in which each key has its own count, time and timer.
+    """
+    f = facts.withWatermark("ts", watermark).select("entity", "property", "ts", F.unix_millis("ts").alias("ts_ms"), F.pmod(F.xxhash64("entity", "property"), F.lit(DECAY_BUCKETS)).alias("bucket"))
+    out = f.groupBy("bucket").applyInPandasWithState(
+        _decay(light_after, episode_after), "entity string, property string, resolution int, access_count long, decayed boolean",
+        "entity array<string>, property array<string>, count array<long>, last_ms array<long>, level array<int>", "append", GroupStateTimeout.EventTimeTimeout)
     return run_available(out, label, sink=sink, checkpoint=checkpoint).drop("batch_id")
